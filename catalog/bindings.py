@@ -105,6 +105,13 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("passenger_count"),
         (F.col("l_returnflag") == "R").cast("double").alias("is_airport"),
         (F.col("l_linenumber") % 4).cast("int").alias("cluster"),
+        row_hash60(
+            [
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+                F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', l_shipdate)"),
+            ]
+        ).alias("trip_id"),
     )
 
 

@@ -1,11 +1,364 @@
-"""(work in progress)"""
+"""k-means sweeps, silhouettes, cluster profiles and principal components."""
+
 from __future__ import annotations
-from pyspark.sql import Window, functions as F
-def top_drivers(df, features, group, n=3, name="top3_driving_features"):
-    """The n features with the largest absolute group mean, joined by `|`; ties keep feature order."""
+
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from txnsift.functions import percent
+from txnsift.operators.features import Scaler, fit_scaler
+from txnsift.operators.sampling import row_cap
+from txnsift.session import small_rows
+
+#: Rows that seed the centroids, and the most rows a pairwise sample may hold on each executor.
+SEED_ROWS = 4096
+PAIRWISE_ROWS = 50_000
+
+
+@dataclass(frozen=True)
+class Clustering:
+    """Centroids of one fit; `inertia` is the summed squared distance over all rows."""
+
+    features: tuple[str, ...]
+    centers: tuple[tuple[float, ...], ...]
+    inertia: float
+
+    @property
+    def k(self) -> int:
+        return len(self.centers)
+
+    def column(self) -> Column:
+        """Number of the nearest centroid, as a JVM expression; the lower number wins a tie."""
+        return nearest_center(self.features, self.centers)
+
+    def assign(self, df: DataFrame, name: str = "cluster") -> DataFrame:
+        return df.withColumn(name, self.column())
+
+
+def squared_distance(features: Sequence[str], center: Sequence[float]) -> Column:
+    total = F.lit(0.0)
+    for f, c in zip(features, center):
+        gap = F.col(f).cast("double") - F.lit(float(c))
+        total = total + gap * gap
+    return total
+
+
+def nearest_center(features: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    options = [
+        F.struct(squared_distance(features, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)
+    ]
+    if len(options) == 1:
+        return F.lit(0)
+    return F.least(*options)["i"]
+
+
+# -- k-means -------------------------------------------------------------------------------------
+
+
+def _seed_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Distance-weighted seeding on a bounded sample."""
+    centers = [rows[rng.integers(len(rows))]]
+    gap = ((rows - centers[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = gap.sum()
+        pick = rng.integers(len(rows)) if total <= 0 else min(np.searchsorted(np.cumsum(gap), rng.random() * total), len(rows) - 1)
+        centers.append(rows[pick])
+        gap = np.minimum(gap, ((rows - rows[pick]) ** 2).sum(axis=1))
+    return np.array(centers)
+
+
+def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[int, np.ndarray]) -> list:
+    """Per (model, cluster): rows, summed squared distance and feature sums, for all models in one scan."""
+    d = len(features)
+    sums = [f"s{j}" for j in range(d)]
+    schema = ", ".join(["model int", "cluster int", "n bigint", "cost double", *[f"{s} double" for s in sums]])
+
+    def partial(batches: Iterable[pd.DataFrame]):
+        totals = {m: np.zeros((len(c), d + 2)) for m, c in models.items()}
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64)
+            if not len(x):
+                continue
+            length = (x * x).sum(axis=1)
+            for m, c in models.items():
+                gap = (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)
+                near = gap.argmin(axis=1)
+                one = (near[:, None] == np.arange(len(c))[None, :]).astype(np.float64)
+                t = totals[m]
+                t[:, 0] += one.sum(axis=0)
+                t[:, 1] += one.T @ np.maximum(gap[np.arange(len(x)), near] + length, 0.0)
+                t[:, 2:] += one.T @ x
+        rows = [
+            (m, j, int(t[j, 0]), *t[j, 1:])
+            for m, t in totals.items()
+            for j in range(len(t))
+            if t[j, 0] > 0
+        ]
+        yield pd.DataFrame(rows, columns=["model", "cluster", "n", "cost", *sums])
+
+    folded = points.mapInPandas(partial, schema).groupBy("model", "cluster").agg(
+        *[F.sum(c).alias(c) for c in ["n", "cost", *sums]]
+    )
+    return small_rows(folded, "clusters of all models")
+
+
+def kmeans_sweep(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str,
+    ks: Sequence[int] = range(3, 9),
+    restarts: int = 10,
+    seed: int = 42,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+) -> dict[int, Clustering]:
+    """The fit with the lowest inertia over `restarts` seedings, for every k.
+
+    All restarts of all k move together: one scan of the rows per step serves every model, and
+    only sums per centroid leave the executors.
+    """
+    seeds = row_cap(df.select(key, *features), key, SEED_ROWS).orderBy(key).select(*features)
+    rows = np.array([tuple(r) for r in seeds.collect()], dtype=np.float64)
+    if not len(rows):
+        raise ValueError("no rows to cluster")
+    centers = {}
+    for i, (k, r) in enumerate((k, r) for k in ks for r in range(restarts)):
+        centers[i] = _seed_centers(rows, min(k, len(rows)), np.random.default_rng([seed, k, r]))
+    wanted = {i: k for i, k in enumerate(k for k in ks for _ in range(restarts))}
+    limit = tol * rows.var(axis=0).mean()
+
+    points = df.select(*[F.col(f).cast("double").alias(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        active = set(centers)
+        for _ in range(max_iter):
+            if not active:
+                break
+            moved = {m: centers[m].copy() for m in active}
+            for row in _assignment_sums(points, features, {m: centers[m] for m in active}):
+                moved[row["model"]][row["cluster"]] = np.array(row[4:]) / row["n"]
+            active = {m for m, c in moved.items() if ((c - centers[m]) ** 2).sum() > limit}
+            centers.update(moved)
+        inertia = dict.fromkeys(centers, 0.0)
+        for row in _assignment_sums(points, features, centers):
+            inertia[row["model"]] += row["cost"]
+    finally:
+        points.unpersist()
+    best: dict[int, Clustering] = {}
+    for m in sorted(centers):
+        k = wanted[m]
+        if k not in best or inertia[m] < best[k].inertia:
+            best[k] = Clustering(tuple(features), tuple(map(tuple, centers[m].tolist())), float(inertia[m]))
+    return best
+
+
+def total_inertia(df: DataFrame, clustering: Clustering) -> DataFrame:
+    """Rows and summed squared distance to the nearest centroid."""
+    gaps = [squared_distance(clustering.features, c) for c in clustering.centers]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.least(*gaps)).alias("inertia"))
+
+
+def group_centers(df: DataFrame, features: Sequence[str], group: str) -> Clustering:
+    """Group means as centroids, numbered in group order."""
     means = df.groupBy(group).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])
-    return drivers_from_means(means, features, group, n, name)
-def drivers_from_means(means, features, group, n=3, name="top3_driving_features"):
-    entries = [F.struct(-F.abs(F.col(f)).alias("a"), F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(features)]
-    ordered = F.array_sort(F.array(*entries))
-    return means.select(group, F.concat_ws("|", F.transform(F.slice(ordered, 1, n), lambda e: e["f"])).alias(name))
+    rows = sorted(small_rows(means, "groups"), key=lambda r: r[group])
+    return Clustering(tuple(features), tuple(tuple(r[f] for f in features) for r in rows), float("nan"))
+
+
+# -- silhouettes ---------------------------------------------------------------------------------
+
+
+def silhouette(sample: DataFrame, features: Sequence[str], clusters: Sequence[str]) -> DataFrame:
+    """Mean Euclidean silhouette per assignment column: (assignment, n_rows, silhouette).
+
+    The sample is of bounded size, so every executor holds it; its rows are spread over tasks, each
+    of which adds distances up per cluster without emitting pairs. All assignments share them.
+    """
+    spark = sample.sparkSession
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    rows = small_rows(sample.select(*columns, *[F.col(c).cast("int") for c in clusters]), "silhouette sample", PAIRWISE_ROWS)
+    d = len(features)
+    data = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(len(rows), d + len(clusters))
+    points, labels = data[:, :d], data[:, d:].astype(np.int64)
+    shared = spark.sparkContext.broadcast((points, labels))
+    slices = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    names = list(clusters)
+
+    def scores(batches: Iterable[pd.DataFrame]):
+        x, lab = shared.value
+        groups = [np.unique(lab[:, j], return_inverse=True) for j in range(lab.shape[1])]
+        hot = [np.eye(len(u))[inv.reshape(-1)] for u, inv in groups]
+        sizes = [h.sum(axis=0) for h in hot]
+        length = (x * x).sum(axis=1)
+        totals = np.zeros((len(names), 2))
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for start in range(0, len(ids), 512):
+                part = ids[start : start + 512]
+                gap = length[part][:, None] + length[None, :] - 2.0 * (x[part] @ x.T)
+                gap = np.sqrt(np.maximum(gap, 0.0))
+                gap[np.arange(len(part)), part] = 0.0
+                for j in range(len(names)):
+                    own = groups[j][1].reshape(-1)[part]
+                    at = np.arange(len(part)), own
+                    sums = gap @ hot[j]
+                    n_own = sizes[j][own]
+                    a = sums[at] / np.maximum(n_own - 1, 1)
+                    means = sums / sizes[j][None, :]
+                    means[at] = np.inf
+                    b = means.min(axis=1)
+                    s = np.where((n_own > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+                    totals[j] += (s.sum(), len(part))
+        yield pd.DataFrame({"assignment": names, "total": totals[:, 0], "n": totals[:, 1].astype(np.int64)})
+
+    parts = spark.range(len(rows), numPartitions=slices).mapInPandas(scores, "assignment string, total double, n bigint")
+    return parts.groupBy("assignment").agg(
+        F.sum("n").alias("n_rows"), F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("silhouette")
+    )
+
+
+def silhouette_squared(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """Silhouette with squared Euclidean distances over all rows: (n_rows, silhouette).
+
+    Cluster sizes, sums and squared lengths give every mean distance, so two scans suffice.
+    """
+    length = sum([F.col(f) * F.col(f) for f in features], F.lit(0.0))
+    stats = small_rows(
+        df.groupBy(cluster).agg(
+            F.count(F.lit(1)).alias("__n"), F.sum(length).alias("__q"), *[F.sum(f).alias(f) for f in features]
+        ),
+        "clusters",
+    )
+    distances = []
+    for row in stats:
+        dot = sum([F.col(f) * F.lit(row[f]) for f in features], F.lit(0.0))
+        total = F.lit(float(row["__n"])) * F.col("__len") - 2.0 * dot + F.lit(row["__q"])
+        distances.append((row[cluster], row["__n"], total))
+    rows = df.withColumn("__len", length)
+    own, other = F.lit(None).cast("double"), []
+    size = F.lit(None).cast("bigint")
+    for c, n, total in distances:
+        here = F.col(cluster) == F.lit(c)
+        own = F.when(here, total / F.lit(float(max(n - 1, 1)))).otherwise(own)
+        size = F.when(here, F.lit(n)).otherwise(size)
+        other.append(F.when(~here, total / F.lit(float(n))))
+    a, b = F.col("__a"), F.col("__b")
+    nearest = F.least(*other) if len(other) > 1 else F.lit(None).cast("double")
+    scored = rows.select(own.alias("__a"), nearest.alias("__b"), size.alias("__n"))
+    s = F.when((F.col("__n") > 1) & b.isNotNull(), F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+
+
+def sweep_table(
+    fits: dict[int, Clustering], sample: DataFrame, features: Sequence[str]
+) -> DataFrame:
+    """(k, inertia, silhouette) per k; a fit that leaves one cluster scores -1."""
+    spark = sample.sparkSession
+    names = {f"k{k}": k for k in fits}
+    assigned = sample.withColumns({name: fits[k].column() for name, k in names.items()})
+    found = {r["assignment"]: r["silhouette"] for r in silhouette(assigned, features, list(names)).collect()}
+    rows = [(k, fits[k].inertia, found[name] if fits[k].k > 1 else -1.0) for name, k in names.items()]
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def best_k(sweep: DataFrame) -> int:
+    """The k with the highest silhouette, the first on ties."""
+    return sweep.orderBy(F.col("silhouette").desc(), "k").first()["k"]
+
+
+# -- profiles ------------------------------------------------------------------------------------
+
+
+def drivers_column(features: Sequence[str], n: int = 3) -> Column:
+    """Names of the n columns with the largest absolute value, joined by `|`; ties keep their order."""
+    entries = [
+        F.struct((-F.abs(F.col(f))).alias("a"), F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(features)
+    ]
+    return F.concat_ws("|", F.transform(F.slice(F.array_sort(F.array(*entries)), 1, n), lambda e: e["f"]))
+
+
+def top_drivers(
+    df: DataFrame, features: Sequence[str], group: str, n: int = 3, name: str = "top3_driving_features"
+) -> DataFrame:
+    means = df.groupBy(group).agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])
+    return means.select(group, drivers_column(features, n).alias(name))
+
+
+def cluster_profile(
+    df: DataFrame, features: Sequence[str], cluster: str, label: str, amount_feature: str = "log_amount"
+) -> DataFrame:
+    """Per cluster: size, share, mean scaled amount, positive rate and the three main features."""
+    total = F.sum("size").over(Window.partitionBy())
+    means = df.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.avg(F.col(label).cast("double")).alias("__rate"),
+        *[F.avg(F.col(f).cast("double")).alias(f) for f in features],
+    )
+    return means.select(
+        cluster,
+        "size",
+        percent(F.col("size"), total, 3).alias("pct_of_total"),
+        F.round(amount_feature, 4).alias(f"mean_{amount_feature}"),
+        F.round("__rate", 6).alias("positive_rate"),
+        drivers_column(features).alias("top3_driving_features"),
+    )
+
+
+def highest_rate_cluster(profile: DataFrame, cluster: str) -> DataFrame:
+    """The cluster with the highest positive rate and its lift over the rate of all rows."""
+    positives = F.col("positive_rate") * F.col("size")
+    base = F.try_divide(F.sum(positives).over(Window.partitionBy()), F.sum("size").over(Window.partitionBy()))
+    ranked = profile.withColumn("__base", base).orderBy(F.col("positive_rate").desc(), cluster).limit(1)
+    return ranked.select(cluster, "positive_rate", F.round(F.try_divide("positive_rate", "__base"), 4).alias("lift"))
+
+
+# -- principal components ------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Components:
+    features: tuple[str, ...]
+    scaler: Scaler
+    loadings: tuple[tuple[float, ...], ...]
+    variance_ratio: tuple[float, ...]
+
+    def columns(self, n: int) -> list[Column]:
+        out = []
+        for c in range(n):
+            total = F.lit(0.0)
+            for j, f in enumerate(self.features):
+                centred = F.col(f).cast("double") - F.lit(self.scaler.mean[f])
+                total = total + centred * F.lit(self.loadings[c][j])
+            out.append(total)
+        return out
+
+
+def fit_components(df: DataFrame, features: Sequence[str], n: int = 50) -> Components:
+    """Principal components of the centred features; the largest loading of each is positive."""
+    scaler = fit_scaler(df, features)
+    n = min(n, len(features))
+    centred = df.select(
+        array_to_vector(F.array(*[F.col(f).cast("double") - F.lit(scaler.mean[f]) for f in features])).alias("x")
+    )
+    model = PCA(k=n, inputCol="x", outputCol="y").fit(centred)
+    loadings = model.pc.toArray().T
+    signs = np.sign(loadings[np.arange(n), np.abs(loadings).argmax(axis=1)])
+    return Components(
+        tuple(features),
+        scaler,
+        tuple(map(tuple, (loadings * signs[:, None]).tolist())),
+        tuple(float(v) for v in model.explainedVariance.toArray()),
+    )
+
+
+def map_table(df: DataFrame, components: Components, keep: Sequence[str]) -> DataFrame:
+    """Two-dimensional positions for display: `keep` columns plus x and y."""
+    x, y = components.columns(2)
+    return df.select(*keep, x.alias("x"), y.alias("y"))

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnsift.functions import first_match
+from txnsift.operators import clustering, quality
+from txnsift.operators.features import fit_scaler
+from txnsift.operators.profile import group_profile
+from txnsift.operators.sampling import row_cap
+from txnsift.session import materialize
 
 TRIP_COLUMNS = [
     "log_fare", "log_distance", "trip_duration_min", "tip_pct", "hour_of_day", "passenger_count", "is_airport",
@@ -32,3 +37,52 @@ def archetype_label(suffix: str = "") -> Column:
         ((c("tip_pct") > 0.25) & (c("log_fare") > 2.5), "High-tip daytime"),
     ]
     return first_match(rules, "Standard weekday commutes")
+
+
+@dataclass(frozen=True)
+class Archetypes:
+    profile: DataFrame
+    sweep: DataFrame
+    best_k: int
+    rows_before: int
+    rows_after: int
+
+    @property
+    def illustrative_only(self) -> bool:
+        """Whether the input was smaller than nine tenths of the intended sample."""
+        return self.rows_before < 0.9 * TARGET_ROWS
+
+
+def name_groups(profile: DataFrame, cluster: str) -> DataFrame:
+    """Put the archetype name, from the group means, next to each profiled cluster."""
+    rest = [c for c in profile.columns if c != cluster]
+    return profile.select(cluster, archetype_label("_mean").alias("label"), *rest)
+
+
+def run(
+    df: DataFrame,
+    key: str,
+    features: Sequence[str] = TRIP_COLUMNS,
+    not_null: Sequence[str] = ("log_distance", "tip_pct"),
+    ks: Sequence[int] = range(3, 9),
+    restarts: int = 10,
+    silhouette_rows: int = 5000,
+    seed: int = 42,
+) -> Archetypes:
+    """Drop incomplete rows, scale, sweep k, cluster all rows with the best k, profile and name."""
+    quality.require_columns(df, [key, *features])
+    counts = quality.null_drop_counts(df, not_null).first()
+    if counts["rows_after"] < MIN_ROWS:
+        raise ValueError(f"only {counts['rows_after']} rows remain after dropping nulls")
+    clean = df.dropna(subset=list(not_null)).select(key, *features)
+    scaler = fit_scaler(clean, features)
+    scaled = materialize(scaler.transform(clean), "trips-scaled")
+    fits = clustering.kmeans_sweep(scaled, features, key, ks, restarts, seed)
+    sweep = clustering.sweep_table(fits, row_cap(scaled, key, silhouette_rows, seed), features)
+    best = clustering.best_k(sweep)
+    # the scaled values decide the cluster, the original values describe it
+    renamed = [f"{f}__z" for f in features]
+    both = clean.withColumns({f"{f}__z": scaler.column(f) for f in features})
+    nearest = clustering.nearest_center(renamed, fits[best].centers)
+    profile = group_profile(both.withColumn("cluster", nearest).select("cluster", *features), features, "cluster", "trip_count")
+    return Archetypes(name_groups(profile, "cluster"), sweep, best, counts["rows_before"], counts["rows_after"])
