@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalog import evaluation, models, profiling, sampling  # noqa: F401
+    from catalog import evaluation, models, profiling, quality, sampling, sources  # noqa: F401

@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnsift.functions import percent
 from txnsift.operators.features import Scaler, fit_scaler
 from txnsift.operators.sampling import row_cap
-from txnsift.session import small_rows
+from txnsift.session import materialize, small_rows, spread
 
 #: Rows that seed the centroids, and the most rows a pairwise sample may hold on each executor.
-SEED_ROWS = 4096
+SEED_ROWS = 16_384
 PAIRWISE_ROWS = 50_000
 
 
@@ -75,6 +75,48 @@ def _seed_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndar
     return np.array(centers)
 
 
+def _partial_sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Per centroid: rows, summed squared distance and feature sums of the rows nearest to it."""
+    gap = (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)
+    near = gap.argmin(axis=1)
+    one = (near[:, None] == np.arange(len(c))[None, :]).astype(np.float64)
+    cost = np.maximum(gap[np.arange(len(x)), near] + (x * x).sum(axis=1), 0.0)
+    return np.hstack([one.sum(axis=0)[:, None], (one.T @ cost)[:, None], one.T @ x])
+
+
+def _warm_starts(spark: SparkSession, rows: np.ndarray, plans: list[tuple], limit: float) -> dict[int, np.ndarray]:
+    """Seed every (model, k, seeds) plan and settle it on the bounded sample, one plan per task.
+
+    The full rows then need a few steps only. Plans that settle on the same centroids are kept once.
+    """
+    shared = spark.sparkContext.broadcast(rows)
+
+    def settle(batches: Iterable[pd.DataFrame]):
+        x = shared.value
+        for batch in batches:
+            for model, k, seed, restart in batch.itertuples(index=False):
+                c = _seed_centers(x, min(k, len(x)), np.random.default_rng([seed, k, restart]))
+                for _ in range(300):
+                    t = _partial_sums(x, c)
+                    moved = np.where(t[:, :1] > 0, t[:, 2:] / np.maximum(t[:, :1], 1.0), c)
+                    shift, c = ((moved - c) ** 2).sum(), moved
+                    if shift <= limit:
+                        break
+                c = c[np.lexsort(c.T[::-1])]
+                yield pd.DataFrame({"model": [model], "k": [k], "centers": [c.reshape(-1).tolist()]})
+
+    plan = spark.createDataFrame(plans, "model int, k int, seed bigint, restart int")
+    found = plan.repartition(len(plans), "model").mapInPandas(settle, "model int, k int, centers array<double>")
+    out, seen = {}, set()
+    for r in sorted(found.collect(), key=lambda r: r["model"]):
+        c = np.array(r["centers"]).reshape(-1, rows.shape[1])
+        mark = (r["k"], np.round(c, 9).tobytes())
+        if mark not in seen:
+            seen.add(mark)
+            out[r["model"]] = c
+    return out
+
+
 def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[int, np.ndarray]) -> list:
     """Per (model, cluster): rows, summed squared distance and feature sums, for all models in one scan."""
     d = len(features)
@@ -87,15 +129,8 @@ def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[in
             x = batch.to_numpy(dtype=np.float64)
             if not len(x):
                 continue
-            length = (x * x).sum(axis=1)
             for m, c in models.items():
-                gap = (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)
-                near = gap.argmin(axis=1)
-                one = (near[:, None] == np.arange(len(c))[None, :]).astype(np.float64)
-                t = totals[m]
-                t[:, 0] += one.sum(axis=0)
-                t[:, 1] += one.T @ np.maximum(gap[np.arange(len(x)), near] + length, 0.0)
-                t[:, 2:] += one.T @ x
+                totals[m] += _partial_sums(x, c)
         rows = [
             (m, j, int(t[j, 0]), *t[j, 1:])
             for m, t in totals.items()
@@ -110,6 +145,22 @@ def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[in
     return small_rows(folded, "clusters of all models")
 
 
+class _Path:
+    """Moves centroids to the means of their rows with momentum, dropped whenever the cost rises.
+
+    Plain means creep for hundreds of scans where clusters overlap; momentum saves most of them.
+    """
+
+    def __init__(self, start: np.ndarray):
+        self.mean, self.cost, self.age = start, np.inf, 0
+
+    def step(self, mean: np.ndarray, cost: float) -> np.ndarray:
+        self.age = self.age + 1 if cost <= self.cost else 0
+        ahead = self.age / (self.age + 3.0) * (mean - self.mean)
+        self.mean, self.cost = mean, cost
+        return mean + ahead
+
+
 def kmeans_sweep(
     df: DataFrame,
     features: Sequence[str],
@@ -129,23 +180,31 @@ def kmeans_sweep(
     rows = np.array([tuple(r) for r in seeds.collect()], dtype=np.float64)
     if not len(rows):
         raise ValueError("no rows to cluster")
-    centers = {}
-    for i, (k, r) in enumerate((k, r) for k in ks for r in range(restarts)):
-        centers[i] = _seed_centers(rows, min(k, len(rows)), np.random.default_rng([seed, k, r]))
-    wanted = {i: k for i, k in enumerate(k for k in ks for _ in range(restarts))}
+    plans = [(i, k, seed, r) for i, (k, r) in enumerate((k, r) for k in ks for r in range(restarts))]
+    wanted = {model: k for model, k, _, _ in plans}
     limit = tol * rows.var(axis=0).mean()
+    centers = _warm_starts(df.sparkSession, rows, plans, limit)
 
-    points = df.select(*[F.col(f).cast("double").alias(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    # a table of the features alone, read in every step; cached as far as memory goes
+    columns = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    points = spread(materialize(columns, "kmeans-points")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         active = set(centers)
+        paths = {m: _Path(c) for m, c in centers.items()}
         for _ in range(max_iter):
             if not active:
                 break
-            moved = {m: centers[m].copy() for m in active}
+            means = {m: centers[m].copy() for m in active}
+            costs = dict.fromkeys(active, 0.0)
             for row in _assignment_sums(points, features, {m: centers[m] for m in active}):
-                moved[row["model"]][row["cluster"]] = np.array(row[4:]) / row["n"]
-            active = {m for m, c in moved.items() if ((c - centers[m]) ** 2).sum() > limit}
-            centers.update(moved)
+                means[row["model"]][row["cluster"]] = np.array(row[4:]) / row["n"]
+                costs[row["model"]] += row["cost"]
+            for m, mean in means.items():
+                if ((mean - centers[m]) ** 2).sum() <= limit:
+                    centers[m] = mean
+                    active.discard(m)
+                else:
+                    centers[m] = paths[m].step(mean, costs[m])
         inertia = dict.fromkeys(centers, 0.0)
         for row in _assignment_sums(points, features, centers):
             inertia[row["model"]] += row["cost"]
@@ -194,27 +253,36 @@ def silhouette(sample: DataFrame, features: Sequence[str], clusters: Sequence[st
     def scores(batches: Iterable[pd.DataFrame]):
         x, lab = shared.value
         groups = [np.unique(lab[:, j], return_inverse=True) for j in range(lab.shape[1])]
-        hot = [np.eye(len(u))[inv.reshape(-1)] for u, inv in groups]
-        sizes = [h.sum(axis=0) for h in hot]
+        owners = [inv.reshape(-1) for _, inv in groups]
+        starts = np.cumsum([0, *[len(u) for u, _ in groups]])
+        member = np.hstack([np.eye(len(u))[own] for (u, _), own in zip(groups, owners)])
+        sizes = member.sum(axis=0)
         length = (x * x).sum(axis=1)
         totals = np.zeros((len(names), 2))
         for batch in batches:
             ids = batch["id"].to_numpy()
-            for start in range(0, len(ids), 512):
-                part = ids[start : start + 512]
-                gap = length[part][:, None] + length[None, :] - 2.0 * (x[part] @ x.T)
-                gap = np.sqrt(np.maximum(gap, 0.0))
-                gap[np.arange(len(part)), part] = 0.0
+            for start in range(0, len(ids), 128):
+                part = ids[start : start + 128]
+                at = np.arange(len(part))
+                gap = x[part] @ x.T
+                gap *= -2.0
+                gap += length[None, :]
+                gap += length[part][:, None]
+                np.maximum(gap, 0.0, out=gap)
+                np.sqrt(gap, out=gap)
+                gap[at, part] = 0.0
+                sums = gap @ member
                 for j in range(len(names)):
-                    own = groups[j][1].reshape(-1)[part]
-                    at = np.arange(len(part)), own
-                    sums = gap @ hot[j]
-                    n_own = sizes[j][own]
-                    a = sums[at] / np.maximum(n_own - 1, 1)
-                    means = sums / sizes[j][None, :]
-                    means[at] = np.inf
+                    mine = sums[:, starts[j] : starts[j + 1]]
+                    size = sizes[starts[j] : starts[j + 1]]
+                    own = owners[j][part]
+                    a = mine[at, own] / np.maximum(size[own] - 1, 1)
+                    means = mine / size[None, :]
+                    means[at, own] = np.inf
                     b = means.min(axis=1)
-                    s = np.where((n_own > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+                    valid = (size[own] > 1) & np.isfinite(b)
+                    b = np.where(valid, b, 0.0)
+                    s = np.where(valid, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
                     totals[j] += (s.sum(), len(part))
         yield pd.DataFrame({"assignment": names, "total": totals[:, 0], "n": totals[:, 1].astype(np.int64)})
 

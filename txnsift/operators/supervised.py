@@ -76,7 +76,7 @@ def boosted_scores(
     data = _vectors(train, features, label, weights).persist()
     try:
         model = GBTClassifier(
-            weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=True
+            weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=False
         ).fit(data)
     finally:
         data.unpersist()
