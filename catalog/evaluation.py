@@ -86,20 +86,20 @@ def _(spark, sf):
     return _curve(spark, sf).withColumn("score", F.col("score") + F.lit(0.0))
 
 
-@query("o3_top_fraction", f"WITH {SC}, {RK} SELECT model, key, score, label FROM rk WHERE place <= ceil(n * 0.01)")
+@query("o3_top_fraction", f"WITH {SC}, {RK} SELECT model, key, score, label FROM rk WHERE place <= ceil(n * 1e-2)")
 def _(spark, sf):
     return ranking.top_fraction(_long(spark, sf), 0.01).select("model", "key", "score", "label")
 
 
-TOP_SQL = """SELECT model, round(avg(label) FILTER (WHERE place <= ceil(n * 0.01)), 6) AS precision_top1pct,
-    round(sum(label) FILTER (WHERE place <= ceil(n * 0.01)) / greatest(max(p), 1), 6) AS recall_top1pct,
-    round(avg(label) FILTER (WHERE place <= ceil(n * 0.001)), 6) AS precision_top01pct,
-    round(sum(label) FILTER (WHERE place <= ceil(n * 0.001)) / greatest(max(p), 1), 6) AS recall_top01pct
+TOP_SQL = """SELECT model, round(avg(label) FILTER (WHERE place <= ceil(n * 1e-2)), 6) AS precision_top1pct,
+    round(sum(label) FILTER (WHERE place <= ceil(n * 1e-2)) / greatest(max(p), 1), 6) AS recall_top1pct,
+    round(avg(label) FILTER (WHERE place <= ceil(n * 1e-3)), 6) AS precision_top01pct,
+    round(sum(label) FILTER (WHERE place <= ceil(n * 1e-3)) / greatest(max(p), 1), 6) AS recall_top01pct
     FROM rk GROUP BY model"""
 
 
 def _top(spark, sf):
-    out = ranking.top_metrics(_long(spark, sf))
+    out = ranking.top_metrics(_scored(spark, sf), SCORES, "txn_id", "rare")
     names = [f"{m}_{f}" for f in ("top1pct", "top01pct") for m in ("precision", "recall")]
     return out.select("model", *[F.round(c, 6).alias(c) for c in names])
 
@@ -143,11 +143,11 @@ def _(spark, sf):
 @query(
     "e7_base_rate_and_lift",
     f"""WITH {SC}, {RK} SELECT model, round(avg(label), 9) AS base_rate,
-    round(avg(label) FILTER (WHERE place <= ceil(n * 0.01)), 9) AS precision,
-    round(avg(label) FILTER (WHERE place <= ceil(n * 0.01)) / avg(label), 6) AS lift FROM rk GROUP BY model""",
+    round(avg(label) FILTER (WHERE place <= ceil(n * 1e-2)), 9) AS precision,
+    round(avg(label) FILTER (WHERE place <= ceil(n * 1e-2)) / avg(label), 6) AS lift FROM rk GROUP BY model""",
 )
 def _(spark, sf):
-    table = ranking.lift_table(_long(spark, sf))
+    table = ranking.lift_table(_scored(spark, sf), SCORES, "txn_id", "rare")
     return table.select(
         "model", F.round("base_rate", 9).alias("base_rate"), F.round("precision", 9).alias("precision"), F.round("lift", 6).alias("lift")
     )
@@ -226,13 +226,13 @@ def _decision_sql(condition: str) -> str:
 @query("t1_threshold_by_capacity", f"WITH {SC}, {RK}, {_decision_sql('place <= 25 * days')}")
 def _(spark, sf):
     days = ranking.distinct_days(events(spark, sf), "time_s")
-    return ranking.threshold_by_capacity(_long(spark, sf), 25, days)
+    return ranking.threshold_by_capacity(_scored(spark, sf), SCORES, "txn_id", "rare", 25, days)
 
 
-@query("t2_threshold_by_share", f"WITH {SC}, {RK}, {_decision_sql('place <= ceil(n * 0.01)')}")
+@query("t2_threshold_by_share", f"WITH {SC}, {RK}, {_decision_sql('place <= ceil(n * 1e-2)')}")
 def _(spark, sf):
     days = ranking.distinct_days(events(spark, sf), "time_s")
-    return ranking.threshold_by_share(_long(spark, sf), 0.01, days)
+    return ranking.threshold_by_share(_scored(spark, sf), SCORES, "txn_id", "rare", 0.01, days)
 
 
 @query(

@@ -10,7 +10,7 @@ from txnsift.operators import clustering, outliers, sampling, supervised
 from txnsift.operators.features import scaled_features
 from txnsift.operators.neighbours import local_outlier_factor
 from txnsift.plans import archetypes, scoring
-from txnsift.session import materialize
+from txnsift.session import materialize, spread
 
 LINE_FEATURES = ["quantity", "amount", "discount", "tax", "log_amount", "weekday"]
 
@@ -20,7 +20,8 @@ def scaled_vectors(spark, sf):
 
 
 def scaled_lines(spark, sf):
-    return scaled_features(lines(spark, sf), LINE_FEATURES, ["txn_id", "label"])
+    """The scaled matrix of the largest table, stored once, spread over all cores."""
+    return spread(materialize(scaled_features(lines(spark, sf), LINE_FEATURES, ["txn_id", "label"]), "lines-scaled"))
 
 
 # -- outlier scores --------------------------------------------------------------------------------
@@ -106,7 +107,7 @@ def _assigned(spark, sf):
 
 @query("k1_kmeans_sweep")
 def _(spark, sf):
-    matrix = materialize(scaled_lines(spark, sf), "lines-scaled")
+    matrix = scaled_lines(spark, sf)
     fits = clustering.kmeans_sweep(matrix, LINE_FEATURES, "txn_id")
     sample = sampling.stratified_sample(matrix, "txn_id", "label", 30_000)
     return clustering.sweep_table(fits, sample, LINE_FEATURES)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 SECONDS_PER_DAY = 86400
 SECONDS_PER_HOUR = 3600
+#: Upper end of the hashes of `hash60`.
+HASH_BOUND = 1 << 60
 
 
 def _col(c: Column | str) -> Column:

@@ -75,13 +75,22 @@ def _seed_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndar
     return np.array(centers)
 
 
-def _partial_sums(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Per centroid: rows, summed squared distance and feature sums of the rows nearest to it."""
-    gap = (c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)
-    near = gap.argmin(axis=1)
-    one = (near[:, None] == np.arange(len(c))[None, :]).astype(np.float64)
-    cost = np.maximum(gap[np.arange(len(x)), near] + (x * x).sum(axis=1), 0.0)
-    return np.hstack([one.sum(axis=0)[:, None], (one.T @ cost)[:, None], one.T @ x])
+def _partial_sums(x: np.ndarray, centers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per centroid: rows, feature sums and summed squared lengths of the rows nearest to it.
+
+    `centers` stacks all models, `starts` marks where each begins; a row joins one centroid of each.
+    """
+    total = np.zeros((len(centers), x.shape[1] + 2))
+    offset = (centers * centers).sum(axis=1)[:, None]
+    for start in range(0, len(x), 2048):
+        part = x[start : start + 2048]
+        gap = offset - 2.0 * (centers @ part.T)
+        one = np.zeros_like(gap)
+        at = np.arange(len(part))
+        for a, b in zip(starts[:-1], starts[1:]):
+            one[a + gap[a:b].argmin(axis=0), at] = 1.0
+        total += one @ np.hstack([np.ones((len(part), 1)), part, (part * part).sum(axis=1)[:, None]])
+    return total
 
 
 def _warm_starts(spark: SparkSession, rows: np.ndarray, plans: list[tuple], limit: float) -> dict[int, np.ndarray]:
@@ -97,8 +106,8 @@ def _warm_starts(spark: SparkSession, rows: np.ndarray, plans: list[tuple], limi
             for model, k, seed, restart in batch.itertuples(index=False):
                 c = _seed_centers(x, min(k, len(x)), np.random.default_rng([seed, k, restart]))
                 for _ in range(300):
-                    t = _partial_sums(x, c)
-                    moved = np.where(t[:, :1] > 0, t[:, 2:] / np.maximum(t[:, :1], 1.0), c)
+                    t = _partial_sums(x, c, np.array([0, len(c)]))
+                    moved = np.where(t[:, :1] > 0, t[:, 1:-1] / np.maximum(t[:, :1], 1.0), c)
                     shift, c = ((moved - c) ** 2).sum(), moved
                     if shift <= limit:
                         break
@@ -117,32 +126,31 @@ def _warm_starts(spark: SparkSession, rows: np.ndarray, plans: list[tuple], limi
     return out
 
 
-def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[int, np.ndarray]) -> list:
-    """Per (model, cluster): rows, summed squared distance and feature sums, for all models in one scan."""
+def _assignment_sums(points: DataFrame, features: Sequence[str], models: dict[int, np.ndarray]) -> dict:
+    """{model: (rows, sums, cost)} with one entry per centroid, for all models in one scan."""
     d = len(features)
+    order = sorted(models)
+    stacked = np.vstack([models[m] for m in order])
+    starts = np.cumsum([0, *[len(models[m]) for m in order]])
     sums = [f"s{j}" for j in range(d)]
-    schema = ", ".join(["model int", "cluster int", "n bigint", "cost double", *[f"{s} double" for s in sums]])
+    columns = ["n", *sums, "q"]
+    schema = ", ".join(["slot int", *[f"{c} double" for c in columns]])
 
     def partial(batches: Iterable[pd.DataFrame]):
-        totals = {m: np.zeros((len(c), d + 2)) for m, c in models.items()}
+        total = np.zeros((len(stacked), d + 2))
         for batch in batches:
-            x = batch.to_numpy(dtype=np.float64)
-            if not len(x):
-                continue
-            for m, c in models.items():
-                totals[m] += _partial_sums(x, c)
-        rows = [
-            (m, j, int(t[j, 0]), *t[j, 1:])
-            for m, t in totals.items()
-            for j in range(len(t))
-            if t[j, 0] > 0
-        ]
-        yield pd.DataFrame(rows, columns=["model", "cluster", "n", "cost", *sums])
-
-    folded = points.mapInPandas(partial, schema).groupBy("model", "cluster").agg(
-        *[F.sum(c).alias(c) for c in ["n", "cost", *sums]]
-    )
-    return small_rows(folded, "clusters of all models")
+            total += _partial_sums(batch.to_numpy(dtype=np.float64), stacked, starts)
+        out = pd.DataFrame(total, columns=columns)
+        yield out.assign(slot=np.arange(len(out)))[out["n"] > 0]
+
+    folded = points.mapInPandas(partial, schema).groupBy("slot").agg(*[F.sum(c).alias(c) for c in columns])
+    total = np.zeros((len(stacked), d + 2))
+    for row in small_rows(folded, "centroids of all models"):
+        total[row["slot"]] = row[1:]
+    rows, moved, length = total[:, 0], total[:, 1:-1], total[:, -1]
+    cost = length - 2.0 * (stacked * moved).sum(axis=1) + rows * (stacked * stacked).sum(axis=1)
+    cuts = starts[1:-1]
+    return dict(zip(order, zip(np.split(rows, cuts), np.split(moved, cuts), np.split(cost, cuts))))
 
 
 class _Path:
@@ -194,20 +202,15 @@ def kmeans_sweep(
         for _ in range(max_iter):
             if not active:
                 break
-            means = {m: centers[m].copy() for m in active}
-            costs = dict.fromkeys(active, 0.0)
-            for row in _assignment_sums(points, features, {m: centers[m] for m in active}):
-                means[row["model"]][row["cluster"]] = np.array(row[4:]) / row["n"]
-                costs[row["model"]] += row["cost"]
-            for m, mean in means.items():
+            found = _assignment_sums(points, features, {m: centers[m] for m in active})
+            for m, (rows_in, sums, cost) in found.items():
+                mean = np.where(rows_in[:, None] > 0, sums / np.maximum(rows_in, 1.0)[:, None], centers[m])
                 if ((mean - centers[m]) ** 2).sum() <= limit:
                     centers[m] = mean
                     active.discard(m)
                 else:
-                    centers[m] = paths[m].step(mean, costs[m])
-        inertia = dict.fromkeys(centers, 0.0)
-        for row in _assignment_sums(points, features, centers):
-            inertia[row["model"]] += row["cost"]
+                    centers[m] = paths[m].step(mean, cost.sum())
+        inertia = {m: cost.sum() for m, (_, _, cost) in _assignment_sums(points, features, centers).items()}
     finally:
         points.unpersist()
     best: dict[int, Clustering] = {}

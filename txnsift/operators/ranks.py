@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from txnsift.session import null_safe_join, small_rows, small_side
 
 MAX_ZONES = 4096
+#: Parts into which the values inside a bracket are cut, so that no task ranks a whole bracket.
+PARTS = 64
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), name: str = "feature") -> DataFrame:
@@ -117,6 +119,12 @@ def _bracket_bounds(long: DataFrame, keys: list[str], probs: Sequence[float], ac
     return stats.select(*keys, "n", *columns)
 
 
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Place of a value between two bounds, as a whole number below PARTS that rises with the value."""
+    place = F.try_divide((value - low) * F.lit(float(PARTS)), high - low)
+    return F.coalesce(F.least(F.floor(place), F.lit(PARTS - 1)), F.lit(0)).cast("int")
+
+
 def _ranked_candidates(long: DataFrame, keys: list[str], bounds: DataFrame, brackets: int) -> DataFrame:
     """Values inside any bracket with how many rows lie below (`before`) and up to them (`after`).
 
@@ -125,11 +133,18 @@ def _ranked_candidates(long: DataFrame, keys: list[str], bounds: DataFrame, brac
     value = F.col("value").cast("double")
     passed_low = sum([(value >= F.col(f"__lo{i}")).cast("int") for i in range(brackets)], F.lit(0))
     passed_high = sum([(value > F.col(f"__hi{i}")).cast("int") for i in range(brackets)], F.lit(0))
+    # brackets rise with their probability, so the last one entered holds every inside value
+    part = F.lit(0)
+    for i in range(brackets):
+        part = F.when(value >= F.col(f"__lo{i}"), _part(value, F.col(f"__lo{i}"), F.col(f"__hi{i}"))).otherwise(part)
+    inside = passed_low > passed_high
     zoned = null_safe_join(long, small_side(bounds), keys).select(
         *keys,
         "n",
-        (passed_low * F.lit(brackets + 1) + passed_high).alias("zone"),
-        F.when(passed_low > passed_high, F.col("value")).alias("value"),
+        (
+            (passed_low * F.lit(brackets + 1) + passed_high) * F.lit(PARTS) + F.when(inside, part).otherwise(F.lit(0))
+        ).alias("zone"),
+        F.when(inside, F.col("value")).alias("value"),
     )
     counts = zoned.groupBy(*keys, "n", "zone", "value").agg(F.count(F.lit(1)).alias("rows"))
     ranked = prefix_sums(counts, [*keys, "n"], "zone", "value", ["rows"])
@@ -173,21 +188,11 @@ def exact_quantiles(
     return picked.select(*keys, "n", *out)
 
 
-def kth_smallest(
-    long: DataFrame, group: str, ranks: Mapping, sizes: Mapping, accuracy: int = 10_000
-) -> dict:
-    """Exact k-th smallest `value` per group of `long` (group, value): {group: (value, before, after)}.
-
-    `ranks` gives k (from 1) and `sizes` the row count per group; both are small driver-side maps.
-    """
-    groups = [g for g in ranks if 0 < ranks[g] <= sizes.get(g, 0)]
-    if not groups:
-        return {}
+def _sketched_brackets(wanted: DataFrame, group: str, probs: Mapping, sizes: Mapping, accuracy: int) -> dict:
+    """{group: (low, high)} certain to hold the value at the group's rank, from a sketch."""
     margin = 2.0 / accuracy
-    probs = {g: ranks[g] / sizes[g] for g in groups}
     points = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs.values() for s in (-1, 1)})
     value = F.col("value").cast("double")
-    wanted = long.where(F.col(group).isin(groups) & F.col("value").isNotNull())
     sketches = small_rows(
         wanted.groupBy(group).agg(
             F.min(value).alias("lowest"),
@@ -196,44 +201,97 @@ def kth_smallest(
         ),
         "groups of an order statistic",
     )
-    low, high, rank = F.lit(None), F.lit(None), F.lit(None)
+    brackets = {}
     for row in sketches:
         g = row[group]
-        bracket = dict(zip(points, row["sketch"]))
+        at = dict(zip(points, row["sketch"]))
         is_wide = sizes[g] > 4 * accuracy
-        lo, hi = max(0.0, probs[g] - margin), min(1.0, probs[g] + margin)
-        lo_value = bracket[lo] if is_wide and lo > 0 else row["lowest"]
-        hi_value = bracket[hi] if is_wide and hi < 1 else row["highest"]
+        low, high = max(0.0, probs[g] - margin), min(1.0, probs[g] + margin)
+        brackets[g] = (
+            at[low] if is_wide and low > 0 else row["lowest"],
+            at[high] if is_wide and high < 1 else row["highest"],
+        )
+    return brackets
+
+
+def _uniform_brackets(probs: Mapping, sizes: Mapping, bound: int) -> dict:
+    """Brackets for values spread evenly over [0, bound): twelve deviations to either side.
+
+    A miss is all but impossible and would show as a missing rank, never as a wrong one.
+    """
+    out = {}
+    for g, p in probs.items():
+        spread = 12.0 * (p * (1.0 - p) / sizes[g]) ** 0.5 + 12.0 / sizes[g]
+        out[g] = (max(0.0, p - spread) * bound, min(1.0, p + spread) * bound)
+    return out
+
+
+def kth_smallest(
+    long: DataFrame, group: str, ranks: Mapping, sizes: Mapping, accuracy: int = 10_000, uniform: int | None = None
+) -> dict:
+    """Exact k-th smallest `value` per group of `long` (group, value): {group: (value, before, after)}.
+
+    `ranks` gives k (from 1) and `sizes` the row count per group; both are small driver-side maps.
+    Values known to be spread evenly over [0, uniform), such as hashes, need no sketch.
+    """
+    groups = [g for g in ranks if 0 < ranks[g] <= sizes.get(g, 0)]
+    if not groups:
+        return {}
+    probs = {g: ranks[g] / sizes[g] for g in groups}
+    value = F.col("value").cast("double")
+    wanted = long.where(F.col(group).isin(groups) & F.col("value").isNotNull())
+    if uniform is None:
+        brackets = _sketched_brackets(wanted, group, probs, sizes, accuracy)
+    else:
+        brackets = _uniform_brackets(probs, sizes, uniform)
+    low, high, rank = F.lit(None), F.lit(None), F.lit(None)
+    for g, (lo, hi) in brackets.items():
         here = F.col(group) == F.lit(g)
-        low = F.when(here, F.lit(float(lo_value))).otherwise(low)
-        high = F.when(here, F.lit(float(hi_value))).otherwise(high)
+        low = F.when(here, F.lit(float(lo))).otherwise(low)
+        high = F.when(here, F.lit(float(hi))).otherwise(high)
         rank = F.when(here, F.lit(int(ranks[g]))).otherwise(rank)
     zoned = wanted.select(
         group,
-        F.when(value < low, 0).when(value <= high, 1).otherwise(2).alias("zone"),
+        F.when(value < low, -1).when(value <= high, _part(value, low, high)).otherwise(PARTS).alias("zone"),
         F.when((value >= low) & (value <= high), F.col("value")).alias("value"),
     )
     counts = zoned.groupBy(group, "zone", "value").agg(F.count(F.lit(1)).alias("rows"))
     ranked = prefix_sums(counts, [group], "zone", "value", ["rows"]).where(F.col("value").isNotNull())
     hits = ranked.where((F.col("cum_rows") - F.col("rows") < rank) & (rank <= F.col("cum_rows"))).collect()
-    return {r[group]: (r["value"], r["cum_rows"] - r["rows"], r["cum_rows"]) for r in hits}
+    found = {r[group]: (r["value"], r["cum_rows"] - r["rows"], r["cum_rows"]) for r in hits}
+    missed = {g: ranks[g] for g in groups if g not in found}
+    if missed and uniform is not None:
+        found.update(kth_smallest(long, group, missed, sizes, accuracy))
+    elif missed:
+        raise RuntimeError(f"no value found at rank {missed}")
+    return found
+
+
+def group_sizes(df: DataFrame, group: str) -> dict:
+    """{group: rows}; the groups have to be few (classes, models)."""
+    return {r[group]: r["n"] for r in small_rows(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "groups")}
 
 
 def first_k_filter(
-    df: DataFrame, group: str, order: str, key: str, ranks: Mapping, accuracy: int = 10_000
+    df: DataFrame,
+    group: str,
+    order: str,
+    key: str,
+    ranks: Mapping,
+    accuracy: int = 10_000,
+    sizes: Mapping | None = None,
+    uniform: int | None = None,
 ) -> Column:
     """Condition that keeps, per group, exactly the first k rows by (order, key) ascending.
 
     `order` and `key` are numeric columns; `key` is unique. The condition holds literals only, so
     applying it is a filter without shuffle. Ties on `order`, however many, are cut by `key`.
     """
-    sizes = {
-        r[group]: r["n"]
-        for r in small_rows(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "groups of a top-k")
-    }
+    sizes = group_sizes(df, group) if sizes is None else sizes
     keep_all = [g for g in sizes if ranks.get(g, 0) >= sizes[g]]
     partial = {g: k for g, k in ranks.items() if 0 < k < sizes.get(g, 0)}
-    cuts = kth_smallest(df.select(group, F.col(order).alias("value")), group, partial, sizes, accuracy)
+    values = df.select(group, F.col(order).alias("value"))
+    cuts = kth_smallest(values, group, partial, sizes, accuracy, uniform)
     tied = {g: (partial[g] - before, after - before) for g, (_, before, after) in cuts.items() if after > partial[g]}
     key_cuts: dict = {}
     if tied:

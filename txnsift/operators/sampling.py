@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnsift.functions import hash60
-from txnsift.operators.ranks import first_k_filter, global_rank
-from txnsift.session import small_rows
-
-
-def class_sizes(df: DataFrame, label: str) -> dict:
-    return {r[label]: r["n"] for r in small_rows(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "classes")}
+from txnsift.functions import HASH_BOUND, hash60
+from txnsift.operators.ranks import first_k_filter, global_rank, group_sizes
 
 
 def sample_quotas(sizes: dict, wanted: int) -> dict:
@@ -35,9 +30,10 @@ def split_quotas(sizes: dict, fraction: float) -> dict:
     return out
 
 
-def _first_by_hash(df: DataFrame, key: str, label: str, quotas: dict, seed: int):
+def _first_by_hash(df: DataFrame, key: str, label: str, quotas: dict, sizes: dict, seed: int):
     hashed = df.withColumn("__hash", hash60(seed, key))
-    return hashed, first_k_filter(hashed.select(label, "__hash", key), label, "__hash", key, quotas)
+    slim = hashed.select(label, "__hash", key)
+    return hashed, first_k_filter(slim, label, "__hash", key, quotas, sizes=sizes, uniform=HASH_BOUND)
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, wanted: int, seed: int = 42) -> DataFrame:
@@ -45,8 +41,8 @@ def stratified_sample(df: DataFrame, key: str, label: str, wanted: int, seed: in
 
     Per class the rows with the smallest seeded hash are kept; applying the sample is a filter.
     """
-    quotas = sample_quotas(class_sizes(df, label), wanted)
-    hashed, keep = _first_by_hash(df, key, label, quotas, seed)
+    sizes = group_sizes(df, label)
+    hashed, keep = _first_by_hash(df, key, label, sample_quotas(sizes, wanted), sizes, seed)
     return hashed.where(keep).drop("__hash")
 
 
@@ -54,15 +50,18 @@ def stratified_split(
     df: DataFrame, key: str, label: str, fraction: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test) with the class ratio kept; test holds ceil(fraction * n) rows."""
-    quotas = split_quotas(class_sizes(df, label), fraction)
-    hashed, is_test = _first_by_hash(df, key, label, quotas, seed)
+    sizes = group_sizes(df, label)
+    hashed, is_test = _first_by_hash(df, key, label, split_quotas(sizes, fraction), sizes, seed)
     return hashed.where(~is_test).drop("__hash"), hashed.where(is_test).drop("__hash")
 
 
-def row_cap(df: DataFrame, key: str, wanted: int, seed: int = 42) -> DataFrame:
+def row_cap(df: DataFrame, key: str, wanted: int, seed: int = 42, n: int | None = None) -> DataFrame:
     """The min(wanted, n) rows with the smallest seeded hash, for metrics on a bounded sample."""
+    n = df.count() if n is None else n
+    if n <= wanted:
+        return df
     grouped = df.withColumn("__all", F.lit(1))
-    hashed, keep = _first_by_hash(grouped, key, "__all", {1: wanted}, seed)
+    hashed, keep = _first_by_hash(grouped, key, "__all", {1: wanted}, {1: n}, seed)
     return hashed.where(keep).drop("__hash", "__all")
 
 

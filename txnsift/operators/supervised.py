@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnsift.operators.sampling import class_sizes
+from txnsift.operators.ranks import group_sizes
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -44,7 +44,7 @@ def logistic_scores(
 
     The penalty 1 / n on unscaled coefficients is the unit-strength optimum per row.
     """
-    sizes = class_sizes(train, label)
+    sizes = group_sizes(train, label)
     n = sum(sizes.values())
     weights = {c: n / (len(sizes) * m) for c, m in sizes.items()}
     data = _vectors(train, features, label, weights).persist()
@@ -69,7 +69,7 @@ def boosted_scores(
     seed: int = 42,
 ) -> DataFrame:
     """`rows` with the probability of class 1 from boosted trees; positives weigh neg / pos."""
-    sizes = class_sizes(train, label)
+    sizes = group_sizes(train, label)
     if not sizes.get(1) or not sizes.get(0):
         raise ValueError("boosted trees need rows of both classes")
     weights = {1: round(sizes[0] / sizes[1], 2), 0: 1.0}

@@ -86,9 +86,14 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df`, a plain table scan, with at least one partition per core for compute-heavy tasks."""
+    """`df`, a plain scan of stored files, with enough partitions to keep all cores busy.
+
+    Only a few small files are shuffled; a table of many files or splits is returned as it is.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
