@@ -363,6 +363,22 @@ def _(spark, sf):
     return _round(out, 4, *[f"{f}_{s}" for f in features for s in ("mean", "median")])
 
 
+@query(
+    "a9_ranges_from_class_moments",
+    f"""WITH {VE}, {VL} SELECT feature, min(x) AS min_val, max(x) AS max_val, round(avg(x), 6) AS mean_val,
+    round(stddev(x), 6) AS std_val, CASE WHEN abs(avg(x)) > 0.1 THEN 'FLAG' ELSE 'ok' END AS mean_flag
+    FROM vl GROUP BY feature""",
+)
+def _(spark, sf):
+    return profile.ranges_from_moments(profile.label_moments(vectors(spark, sf), V, "label"), "label")
+
+
+@query("a10_correlation_from_class_moments", f"WITH {EV}, {EF}, {EFL} {_corr_sql('efl')}")
+def _(spark, sf):
+    moments = profile.label_moments(event_features(spark, sf), ["amount", "log_amount", "hour_of_day"], "label")
+    return profile.correlation_from_moments(moments, "label")
+
+
 @query(
     "a18_band_share",
     f"""WITH {EV}, h AS ({HOUR_SQL}) SELECT

@@ -53,6 +53,33 @@ def rate_by_day(df: DataFrame, time_s: str, label: str) -> DataFrame:
     return rate_by(df, day_index(time_s), "day", label)
 
 
+def calendar(df: DataFrame, time_s: str, label: str) -> DataFrame:
+    """(label, day, hour_of_day, n_rows, min_time_s, max_time_s): the cube behind all time reports."""
+    return df.groupBy(label, day_index(time_s).alias("day"), hour_bucket(time_s).alias("hour_of_day")).agg(
+        _count().alias("n_rows"), F.min(time_s).alias("min_time_s"), F.max(time_s).alias("max_time_s")
+    )
+
+
+def balance_from_calendar(cube: DataFrame, label: str) -> DataFrame:
+    total = F.sum("n_rows").over(Window.partitionBy())
+    return cube.groupBy(label).agg(F.sum("n_rows").alias("n_rows")).withColumn("pct", percent(F.col("n_rows"), total))
+
+
+def rates_from_calendar(cube: DataFrame, bucket: str, label: str) -> DataFrame:
+    positives = F.sum(F.when(F.col(label) == 1, F.col("n_rows")).otherwise(F.lit(0)))
+    return (
+        cube.groupBy(bucket)
+        .agg(F.sum("n_rows").alias("n_transactions"), positives.alias("n_positive"))
+        .withColumn("positive_rate_pct", percent(F.col("n_positive"), F.col("n_transactions")))
+    )
+
+
+def coverage_from_calendar(cube: DataFrame) -> DataFrame:
+    return cube.agg(F.min("min_time_s").alias("min_time_s"), F.max("max_time_s").alias("max_time_s")).withColumn(
+        "span_hours", F.round((F.col("max_time_s") - F.col("min_time_s")) / F.lit(3600.0), 2)
+    )
+
+
 def peak_bucket(rates: DataFrame, bucket: str, rate: str = "positive_rate_pct") -> DataFrame:
     """The bucket with the highest rate; the lowest bucket wins a tie."""
     best = F.max(F.struct(F.col(rate).alias("rate"), (-F.col(bucket)).alias("low")))
@@ -165,17 +192,86 @@ def label_correlation(df: DataFrame, features: Sequence[str], label: str) -> Dat
 
 
 def label_moments(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(label, feature, mean, std), rounded to six places, from one scan."""
+    """(label, feature, n, mean, std, var_pop, min, max) from one scan: one row per class and feature.
+
+    Ranges, correlations with the label, class distributions and separation all follow from it.
+    """
+    value = F.col("value")
     return (
         melt(df, features, by=[label])
         .groupBy(label, "feature")
-        .agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std"))
+        .agg(
+            F.count(value).alias("n"),
+            F.avg(value).alias("mean"),
+            F.stddev(value).alias("std"),
+            F.var_pop(value).alias("var_pop"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
+    )
+
+
+def _pooled(moments: DataFrame, label: str) -> DataFrame:
+    """Per feature: row counts, mean and squared deviations over both classes."""
+
+    def pick(c: str, v: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col(label) == v, F.col(c))), F.lit(0.0))
+
+    sides = moments.withColumn("n", F.col("n").cast("double")).groupBy("feature").agg(
+        *[pick(c, v).alias(f"{c}{v}") for c in ("n", "mean", "var_pop") for v in (0, 1)],
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+    )
+    n = F.col("n0") + F.col("n1")
+    gap = F.col("mean1") - F.col("mean0")
+    return sides.select(
+        "*",
+        n.alias("n"),
+        F.try_divide(F.col("n0") * F.col("mean0") + F.col("n1") * F.col("mean1"), n).alias("mean"),
+        gap.alias("gap"),
+        (
+            F.col("n0") * F.col("var_pop0")
+            + F.col("n1") * F.col("var_pop1")
+            + F.coalesce(F.try_divide(F.col("n0") * F.col("n1") * gap * gap, n), F.lit(0.0))
+        ).alias("squares"),
     )
 
 
+def ranges_from_moments(moments: DataFrame, label: str, mean_limit: float = 0.1) -> DataFrame:
+    """`feature_ranges` from class moments, for a 0/1 label without nulls."""
+    return _pooled(moments, label).select(
+        "feature",
+        F.col("min").alias("min_val"),
+        F.col("max").alias("max_val"),
+        F.round("mean", 6).alias("mean_val"),
+        F.round(F.sqrt(F.try_divide(F.col("squares"), F.when(F.col("n") > 1, F.col("n") - 1))), 6).alias("std_val"),
+        threshold_flag("mean", mean_limit).alias("mean_flag"),
+    )
+
+
+def correlation_from_moments(moments: DataFrame, label: str) -> DataFrame:
+    """`label_correlation` from class moments: the covariance with a 0/1 label is n0 n1 gap / n^2."""
+    spread = F.sqrt(F.col("squares") * F.col("n0") * F.col("n1") / F.col("n"))
+    corr = F.when(spread > 0, F.try_divide(F.col("n0") * F.col("n1") * F.col("gap") / F.col("n"), spread))
+    return (
+        _pooled(moments, label)
+        .where(F.col("n") > 0)
+        .select("feature", corr.alias("corr"))
+        .select("feature", F.round("corr", 6).alias("corr_with_label"), F.round(F.abs("corr"), 6).alias("abs_corr"))
+    )
+
+
+def rounded_moments(moments: DataFrame, label: str) -> DataFrame:
+    return moments.select(label, "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 def label_distributions(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One row per class with `<feature>_mean` and `<feature>_std` columns."""
-    cells = label_moments(df, features, label)
+    return distributions_from_moments(label_moments(df, features, label), features, label)
+
+
+def distributions_from_moments(moments: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    cells = rounded_moments(moments, label)
     picks = []
     for f in features:
         here = F.col("feature") == F.lit(f)
@@ -190,6 +286,8 @@ def separation_scores(df: DataFrame, features: Sequence[str], label: str) -> Dat
 
 
 def separation_from_moments(moments: DataFrame, label: str) -> DataFrame:
+    moments = rounded_moments(moments, label)
+
     def pick(c: str, v: int) -> Column:
         return F.max(F.when(F.col(label) == v, F.col(c)))
 

@@ -7,27 +7,40 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnsift.functions import percent
 from txnsift.operators import profile
+from txnsift.session import materialize
 
 
 def suite(
     df: DataFrame, time_s: str, amount: str, label: str, features: Sequence[str]
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Reports by name, in running order; each is planned only when called."""
+    """Reports by name, in running order.
+
+    Two small tables, each from one scan and stored once, carry all reports but two: counts per
+    class, day and hour, and moments per class and feature. The label has to be 0 or 1.
+    """
+    cube, moments = shared_tables(df, time_s, label, features)
     return {
-        "class_balance": lambda: profile.group_share(df, label),
-        "time_coverage": lambda: profile.time_coverage(df, time_s),
-        "rate_by_hour": lambda: profile.rate_by_hour(df, time_s, label),
+        "class_balance": lambda: profile.balance_from_calendar(cube, label),
+        "time_coverage": lambda: profile.coverage_from_calendar(cube),
+        "rate_by_hour": lambda: profile.rates_from_calendar(cube, "hour_of_day", label),
         "amount_quantiles": lambda: profile.exact_quantiles_by_label(df, amount, label),
         "zero_amount": lambda: profile.zero_amounts(df, amount, label),
-        "feature_ranges": lambda: profile.feature_ranges(df, features),
-        "label_correlation": lambda: profile.label_correlation(df, features, label),
-        "label_distributions": lambda: profile.label_distributions(df, features, label),
-        "separation_scores": lambda: profile.separation_scores(df, features, label),
-        "rate_by_day": lambda: profile.rate_by_day(df, time_s, label),
+        "feature_ranges": lambda: profile.ranges_from_moments(moments, label),
+        "label_correlation": lambda: profile.correlation_from_moments(moments, label),
+        "label_distributions": lambda: profile.distributions_from_moments(moments, features, label),
+        "separation_scores": lambda: profile.separation_from_moments(moments, label),
+        "rate_by_day": lambda: profile.rates_from_calendar(cube, "day", label),
     }
 
 
+def shared_tables(df: DataFrame, time_s: str, label: str, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The stored cube of counts and the stored class moments."""
+    cube = materialize(profile.calendar(df, time_s, label), "calendar")
+    return cube, materialize(profile.label_moments(df, features, label), "moments")
+
+
 def run_suite(reports: Mapping[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:
     """Write every report as parquet below `folder`; returns the path per report."""
     paths = {}
@@ -39,22 +52,23 @@ def run_suite(reports: Mapping[str, Callable[[], DataFrame]], folder: str) -> di
 
 def summary(df: DataFrame, time_s: str, amount: str, label: str, features: Sequence[str]) -> DataFrame:
     """The headline record: one row, one struct or array of structs per report."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.col(label).cast("bigint")).alias("n_positive"),
-        F.round(F.avg(F.col(label).cast("double")) * F.lit(100.0), 4).alias("positive_pct"),
+    cube, moments = shared_tables(df, time_s, label, features)
+    positives = F.sum(F.when(F.col(label) == 1, F.col("n_rows")).otherwise(F.lit(0)))
+    counts = cube.agg(F.sum("n_rows").alias("row_count"), positives.alias("n_positive")).withColumn(
+        "positive_pct", percent(F.col("n_positive"), F.col("row_count"))
     )
-    hours = profile.rate_by_hour(df, time_s, label)
-    correlations = profile.label_correlation(df, features, label)
-    separation = profile.separation_scores(df, features, label)
+    hours = profile.rates_from_calendar(cube, "hour_of_day", label)
+    correlations = profile.correlation_from_moments(moments, label)
+    separation = profile.separation_from_moments(moments, label)
+    ranges = profile.ranges_from_moments(moments, label)
     parts = {
         "class_balance": counts,
-        "time_coverage": profile.time_coverage(df, time_s),
+        "time_coverage": profile.coverage_from_calendar(cube),
         "peak_hour": profile.peak_bucket(hours, "hour_of_day"),
-        "rate_by_day": profile.rate_by_day(df, time_s, label),
+        "rate_by_day": profile.rates_from_calendar(cube, "day", label),
         "amount": profile.approx_quantiles_by_label(df, amount, label),
         "zero_amount": profile.zero_amounts(df, amount, label),
-        "flagged_features": profile.feature_ranges(df, features).where(F.col("mean_flag") == "FLAG").select("feature"),
+        "flagged_features": ranges.where(F.col("mean_flag") == "FLAG").select("feature"),
         "top_correlations": correlations.orderBy(F.col("abs_corr").desc(), "feature").limit(6),
         "top_separation": separation.orderBy(F.col("sep_score").desc(), "feature").limit(6),
     }
