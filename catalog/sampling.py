@@ -112,14 +112,14 @@ def _(spark, sf):
     s AS (SELECT avg(quantity) AS qm, stddev_pop(quantity) AS qs, avg(discount) AS dm, stddev_pop(discount) AS ds,
       avg(tax) AS tm, stddev_pop(tax) AS ts, avg(log_amount) AS lm, stddev_pop(log_amount) AS ls,
       avg(h) AS hm, stddev_pop(h) AS hs FROM d)
-    SELECT txn_id, label, CAST(floor(time_s / 86400) AS INTEGER) AS day, round((quantity - qm) / qs, 6) AS quantity,
-    round((discount - dm) / ds, 6) AS discount, round((tax - tm) / ts, 6) AS tax,
-    round((log_amount - lm) / ls, 6) AS log_amount,
-    CASE WHEN hs > 0 THEN round((h - hm) / hs, 6) ELSE 0.0 END AS hour_of_day FROM d, s""",
+    SELECT txn_id, label, CAST(floor(time_s / 86400) AS INTEGER) AS day, round((quantity - qm) / qs, 4) AS quantity,
+    round((discount - dm) / ds, 4) AS discount, round((tax - tm) / ts, 4) AS tax,
+    round((log_amount - lm) / ls, 4) AS log_amount,
+    CASE WHEN hs > 0 THEN round((h - hm) / hs, 4) ELSE 0.0 END AS hour_of_day FROM d, s""",
 )
 def _(spark, sf):
     matrix = features.feature_matrix(
         lines(spark, sf), "txn_id", "time_s", "amount", "label", ["quantity", "discount", "tax"]
     )
     scaled = ["quantity", "discount", "tax", "log_amount", "hour_of_day"]
-    return matrix.withColumns({c: F.round(c, 6) for c in scaled})
+    return matrix.withColumns({c: F.round(c, 4) for c in scaled})
