@@ -42,3 +42,34 @@ def test_a_global_rank_moves_only_zone_totals_to_one_partition(spark, sf):
 def test_a_top_fraction_is_a_filter(spark, sf):
     long = ranking.long_scores(bindings.events(spark, sf), {"m": "amount"}, "txn_id", "label")
     assert "Exchange" not in plan_of(ranking.top_fraction(long, 0.01))
+
+
+def final_plan(df):
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0]
+
+
+def test_quantiles_rank_only_bracketed_values_from_one_scan(spark, sf):
+    plan = final_plan(ranks.exact_quantiles(bindings.lines(spark, sf), ["amount", "tax"], {"m": 0.5}, ["label"]))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_a_curve_reads_its_rows_once(spark, sf):
+    events = bindings.events(spark, sf)
+    curve = ranking.cumulative_counts(events, {"amount": "amount", "time": "time_s"}, "label")
+    plan = final_plan(ranking.curve_summary(curve, {"top": ranking.fraction_size(0.01)}))
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+
+
+def test_a_global_rank_reads_its_rows_twice(spark, sf):
+    rows = bindings.lines(spark, sf).select("txn_id", "discount")
+    assert final_plan(ranks.global_rank(rows, "discount", "txn_id")).count("FileScan") == 2
+
+
+def test_suite_reports_come_from_two_small_tables(spark, sf):
+    from txnsift.plans.profiling import suite
+
+    features = ["amount", "log_amount", "hour_of_day"]
+    reports = suite(bindings.event_features(spark, sf), "time_s", "amount", "label", features)
+    for name in set(reports) - {"amount_quantiles", "zero_amount"}:
+        assert "events.parquet" not in plan_of(reports[name]())

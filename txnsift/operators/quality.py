@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from txnsift.functions import reason_text, row_hash60
 from txnsift.operators.ranking import cumulative_counts
 
-#: Fixed limits of the checks.
+# Limits of the drift checks, texts of their reasons, and the checks that fail a table.
 MEAN_DRIFT_LIMIT = 2.0
 KS_P_LIMIT = 0.01
+MEAN_DRIFT_TEXT = "mean-drift=%.3f>"
+KS_TEXT = "KS p=%.4f<"
 HARD_CHECKS = ("SCHEMA", "NULL", "NEGATIVE")
 
 ISSUES = T.StructType(
@@ -69,7 +71,7 @@ def mean_drift(current: DataFrame, earlier: DataFrame, limit: float = MEAN_DRIFT
     prev = earlier.select("column", F.col("mean").alias("prev_mean"), F.col("std").alias("prev_std"))
     score = F.try_divide(F.abs(F.col("mean") - F.col("prev_mean")), F.col("prev_std"))
     hit = F.coalesce(F.col("drift_score") > F.lit(float(limit)), F.lit(False))
-    text = F.format_string(f"mean-drift=%.3f>{limit:.1f}", "drift_score")
+    text = F.format_string(f"{MEAN_DRIFT_TEXT}{limit:.1f}", "drift_score")
     return (
         current.join(prev, "column")
         .select("column", score.alias("drift_score"))
@@ -111,8 +113,8 @@ def drift_report(mean: DataFrame, ks: DataFrame | None = None) -> DataFrame:
     by_mean = F.coalesce(F.col("drift_score") > MEAN_DRIFT_LIMIT, F.lit(False))
     by_ks = F.coalesce(F.col("ks_pvalue") < KS_P_LIMIT, F.lit(False))
     reasons = [
-        (by_mean, F.format_string("mean-drift=%.3f>2.0", "drift_score")),
-        (by_ks, F.format_string("KS p=%.4f<0.01", "ks_pvalue")),
+        (by_mean, F.format_string(f"{MEAN_DRIFT_TEXT}{MEAN_DRIFT_LIMIT:.1f}", "drift_score")),
+        (by_ks, F.format_string(f"{KS_TEXT}{KS_P_LIMIT}", "ks_pvalue")),
     ]
     return joined.select(
         "*", (by_mean | by_ks).cast("int").alias("flagged"), reason_text(reasons).alias("flag_reason")

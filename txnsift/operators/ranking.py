@@ -85,7 +85,8 @@ def curve_summary(curve: DataFrame, sizes: Mapping[str, TopSize]) -> DataFrame:
     """One row per model from one pass over the curve: its areas and, per named top size, its cut.
 
     A cut is the struct (k, score, pos, neg, tp, fp) of the distinct score the k-th row falls on.
-    Each distinct score carries what its predecessor had reached, so no second window is needed.
+    Each distinct score carries what its predecessor had reached, so no second window is needed, and
+    its fields are picked one by one, because an aggregate over structs would sort the curve.
     """
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
@@ -97,7 +98,8 @@ def curve_summary(curve: DataFrame, sizes: Mapping[str, TopSize]) -> DataFrame:
         k = size(F.col("all_pos") + F.col("all_neg"))
         last = F.col("tp") + F.col("fp")
         hit = (last - F.col("pos") - F.col("neg") < k) & (k <= last)
-        cuts.append(F.max(F.when(hit, F.struct(k.alias("k"), "score", "pos", "neg", "tp", "fp"))).alias(name))
+        cuts.append(F.max(F.when(hit, k)).alias(f"{name}__k"))
+        cuts += [F.max(F.when(hit, F.col(c))).alias(f"{name}__{c}") for c in ("score", "pos", "neg", "tp", "fp")]
     sums = curve.groupBy("model", "all_pos", "all_neg").agg(
         F.sum(pos * (all_neg - fp + neg / 2)).alias("won"),
         F.sum(pos * here).alias("ap"),
@@ -111,7 +113,13 @@ def curve_summary(curve: DataFrame, sizes: Mapping[str, TopSize]) -> DataFrame:
         F.try_divide(F.col("won"), all_pos * all_neg).alias("roc_auc"),
         F.try_divide(F.col("ap"), all_pos).alias("average_precision"),
         F.try_divide(F.col("pr"), all_pos).alias("pr_auc"),
-        *sizes,
+        *[
+            F.when(
+                F.col(f"{name}__k").isNotNull(),
+                F.struct(*[F.col(f"{name}__{c}").alias(c) for c in ("k", "score", "pos", "neg", "tp", "fp")]),
+            ).alias(name)
+            for name in sizes
+        ],
     )
 
 
@@ -334,15 +342,18 @@ def threshold_by_share(
 def threshold_by_recall(curve: DataFrame, recall: float, days: int) -> DataFrame:
     """The highest cut-off that reaches the wanted recall, per model, with its precision and load."""
     reached = curve.where(F.col("tp") >= F.lit(recall) * F.col("all_pos"))
-    best = reached.groupBy("model").agg(F.max_by(F.struct("score", "tp", "fp", "all_pos"), "score").alias("c"))
-    flagged = F.col("c.tp") + F.col("c.fp")
+    # counts only grow as the score falls, so the highest cut-off has the lowest counts
+    best = reached.groupBy("model", "all_pos").agg(
+        F.max("score").alias("cutoff"), F.min("tp").alias("tp"), F.min("fp").alias("fp")
+    )
+    flagged = F.col("tp") + F.col("fp")
     return best.select(
         "model",
-        F.col("c.score").alias("cutoff"),
+        "cutoff",
         flagged.alias("n_flagged"),
-        F.col("c.tp").alias("n_captured"),
-        F.round(F.col("c.tp") / flagged, 6).alias("precision"),
-        F.round(F.try_divide(F.col("c.tp").cast("double"), F.col("c.all_pos").cast("double")), 6).alias("recall"),
+        F.col("tp").alias("n_captured"),
+        F.round(F.col("tp") / flagged, 6).alias("precision"),
+        F.round(F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")), 6).alias("recall"),
         F.round(flagged / F.lit(float(days)), 4).alias("workload_per_day"),
     )
 

@@ -91,32 +91,49 @@ def with_zones(df: DataFrame, columns: Sequence[str], zones: int | None = None)
 # -- selection of exact order statistics --------------------------------------------------------
 
 
-def _bracket_bounds(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """Per key: n and, per probability, bounds certain to hold the order statistic at that rank.
+def _bracket_bounds(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], name: str, probs: Sequence[float], accuracy: int
+) -> DataFrame:
+    """Per (by, column): n and, per probability, bounds certain to hold the order statistic there.
 
-    The sketch errs by at most n/accuracy ranks; bounds are taken 2/accuracy to either side. Groups
-    too small for that margin to exceed a few ranks use their whole range.
+    The sketch errs by at most n/accuracy ranks; bounds are taken 2/accuracy to either side. Columns
+    too short for that margin to exceed a few ranks use their whole range. The sketches are built
+    side by side per group: one group per column would exceed what object aggregation keeps hashed.
     """
     margin = 2.0 / accuracy
     points = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     position = {p: i for i, p in enumerate(points)}
-    value = F.col("value").cast("double")
-    stats = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.min(value).alias("lowest"),
-        F.max(value).alias("highest"),
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in points]), F.lit(accuracy)).alias("sketch"),
-    )
+    levels = F.array(*[F.lit(p) for p in points])
+    aggregates = []
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        aggregates += [
+            F.count(value).alias(f"__n{i}"),
+            F.min(value).alias(f"__min{i}"),
+            F.max(value).alias(f"__max{i}"),
+            F.percentile_approx(value, levels, F.lit(accuracy)).alias(f"__sketch{i}"),
+        ]
+    entries = [
+        F.struct(
+            F.lit(c).alias(name),
+            F.col(f"__n{i}").alias("n"),
+            F.col(f"__min{i}").alias("lowest"),
+            F.col(f"__max{i}").alias("highest"),
+            F.col(f"__sketch{i}").alias("sketch"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    stats = df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*entries))).where(F.col("n") > 0)
     wide = F.col("n") > 4 * accuracy
-    columns = []
+    bounds = []
     for i, p in enumerate(probs):
         low = max(0.0, p - margin)
         high = min(1.0, p + margin)
         low_value = F.col("sketch")[position[low]] if low > 0 else F.col("lowest")
         high_value = F.col("sketch")[position[high]] if high < 1 else F.col("highest")
-        columns.append(F.when(wide, low_value).otherwise(F.col("lowest")).alias(f"__lo{i}"))
-        columns.append(F.when(wide, high_value).otherwise(F.col("highest")).alias(f"__hi{i}"))
-    return stats.select(*keys, "n", *columns)
+        bounds.append(F.when(wide, low_value).otherwise(F.col("lowest")).alias(f"__lo{i}"))
+        bounds.append(F.when(wide, high_value).otherwise(F.col("highest")).alias(f"__hi{i}"))
+    return stats.select(*by, name, "n", *bounds)
 
 
 def _part(value: Column, low: Column, high: Column) -> Column:
@@ -167,9 +184,12 @@ def exact_quantiles(
     brackets (about 4/accuracy of the rows each) are shuffled and ranked; all others are counted.
     """
     keys = [*by, name]
-    long = melt(df, columns, by, name).where(F.col("value").isNotNull())
+    # a generator instead of unpivot: its exchange is recognised as the same for both readers in
+    # prefix_sums, so the rows are scanned once
+    entries = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns]
+    long = df.select(*by, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
     levels = list(probs.values())
-    bounds = _bracket_bounds(long, keys, levels, accuracy)
+    bounds = _bracket_bounds(df, columns, by, name, levels, accuracy)
     ranked = _ranked_candidates(long, keys, bounds, len(levels))
 
     def at(rank: Column) -> Column:
@@ -319,11 +339,15 @@ def first_k_filter(
 def global_rank(df: DataFrame, order: str, key: str, descending: bool = True, name: str = "rank") -> DataFrame:
     """Add the 1-based position of every row by (order, key ascending), computed in parallel.
 
+    Rows need a value and a key.
+
     Positions come from three sums: rows with an earlier value, rows of the same value in earlier
     key zones, and the place inside the key zone; a value shared by many rows spreads over zones.
     """
-    zoned = with_zones(df, [order, key])
     value_zone, key_zone = f"{order}__zone", f"{key}__zone"
+    present = F.col(order).isNotNull() & F.col(value_zone).isNotNull() & F.col(key_zone).isNotNull()
+    # stated here, not inferred from the joins below, so that all readers share one exchange
+    zoned = with_zones(df, [order, key]).where(present)
     cells = zoned.groupBy(value_zone, order, key_zone).agg(F.count(F.lit(1)).alias("rows"))
     values = cells.groupBy(value_zone, order).agg(F.sum("rows").alias("rows")).withColumn("one", F.lit(1))
     earlier = prefix_sums(values, ["one"], value_zone, order, ["rows"], descending).select(
