@@ -32,13 +32,13 @@ def test_forest_ranks_planted_points_first(planted):
 def test_forest_does_not_depend_on_partitions(planted):
     a = outliers.fit_isolation_forest(planted.repartition(8), NAMES, "id", trees=20)
     b = outliers.fit_isolation_forest(planted.coalesce(1), NAMES, "id", trees=20)
-    assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.left, b.left)
+    assert np.array_equal(a.threshold, b.threshold) and np.array_equal(a.path, b.path)
 
 
 def test_forest_on_more_rows_than_its_pool(spark):
     df = spark.range(20_000).select("id", F.sin("id").alias("f0"), F.cos(F.col("id") * 3).alias("f1"))
     forest = outliers.fit_isolation_forest(df, ["f0", "f1"], "id", trees=10, sample_size=64)
-    assert len(forest.roots) == 10 and forest.sample_size == 64
+    assert len(forest.path) == 10 and forest.sample_size == 64
 
 
 def test_expected_path_of_a_full_sample():

@@ -73,3 +73,10 @@ def test_suite_reports_come_from_two_small_tables(spark, sf):
     reports = suite(bindings.event_features(spark, sf), "time_s", "amount", "label", features)
     for name in set(reports) - {"amount_quantiles", "zero_amount"}:
         assert "events.parquet" not in plan_of(reports[name]())
+
+
+def test_copies_are_limited_before_the_shuffle(spark, sf):
+    from txnsift.operators.neighbours import distinct_points
+
+    plan = plan_of(distinct_points(bindings.lines(spark, sf), "txn_id", ["quantity", "discount"], 20))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
