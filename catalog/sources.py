@@ -121,7 +121,9 @@ def event_digest(spark, sf):
 def _(spark, sf):
     found = event_digest(spark, sf).first()
     schema = table(spark, sf, "events").schema
-    record = quality.lineage_record(spark, "r1", "events", found["digest"], found["n_rows"], schema, {"engine": spark.version})
+    record = runs.lineage_record(
+        spark, "r1", "events", found["digest"], found["n_rows"], schema, {"spark": spark.version}, f"{sf}/events.parquet"
+    )
     path = files.write_table(record, scratch_path(spark, "lineage") + ".json")
     stored = files.read_json(spark, path, runs.LINEAGE, multi_line=True)
     return stored.select(

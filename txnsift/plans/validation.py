@@ -47,6 +47,7 @@ def validate(
     positive_band: tuple[int, int] | None = None,
     versions: Mapping[str, str] | None = None,
     earlier_rows: DataFrame | None = None,
+    stored_at: str | None = None,
 ) -> Report:
     """Check a delivery against expectations and the run before it, and store everything.
 
@@ -56,8 +57,8 @@ def validate(
     """
     spark = df.sparkSession
     digest = quality.content_digest(df, df.columns).first()
-    record = quality.lineage_record(
-        spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions or {}
+    record = runs.lineage_record(
+        spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions, stored_at
     )
     before = _earlier(spark, root, "lineage", run_id)
     unchanged = before is not None and not before.where(
