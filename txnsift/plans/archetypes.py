@@ -13,7 +13,7 @@ from txnsift.operators import clustering, quality
 from txnsift.operators.features import fit_scaler
 from txnsift.operators.profile import group_profile
 from txnsift.operators.sampling import row_cap
-from txnsift.session import materialize
+from txnsift.session import materialize, spread
 
 TRIP_COLUMNS = [
     "log_fare", "log_distance", "trip_duration_min", "tip_pct", "hour_of_day", "passenger_count", "is_airport",
@@ -71,12 +71,14 @@ def run(
 ) -> Archetypes:
     """Drop incomplete rows, scale, sweep k, cluster all rows with the best k, profile and name."""
     quality.require_columns(df, [key, *features])
-    counts = quality.null_drop_counts(df, not_null).first()
+    # stored once, so that whatever produced the trips (often a join) runs a single time
+    stored = spread(materialize(df.select(key, *features), "trips"))
+    counts = quality.null_drop_counts(stored, not_null).first()
     if counts["rows_after"] < MIN_ROWS:
         raise ValueError(f"only {counts['rows_after']} rows remain after dropping nulls")
-    clean = df.dropna(subset=list(not_null)).select(key, *features)
+    clean = stored.dropna(subset=list(not_null))
     scaler = fit_scaler(clean, features)
-    scaled = materialize(scaler.transform(clean), "trips-scaled")
+    scaled = scaler.transform(clean)
     fits = clustering.kmeans_sweep(scaled, features, key, ks, restarts, seed)
     sweep = clustering.sweep_table(fits, row_cap(scaled, key, silhouette_rows, seed), features)
     best = clustering.best_k(sweep)
