@@ -114,3 +114,15 @@ def test_published_counts_give_published_metrics(spark):
     assert df.where("label = 1").count() == 492
     row = ranking.metric_table(df, {"m": "score"}, "key", "label").first()
     assert (row["precision_top1pct"], row["precision_top01pct"], row["recall_top1pct"]) == (0.0986, 0.3544, 0.5711)
+
+
+def test_rows_without_label_are_split_too(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3 - 1).cast("int").alias("g"))
+    train, test = sampling.stratified_split(df, "id", "g")
+    assert {r["g"]: r["count"] for r in test.groupBy("g").count().collect()} == {None: 20, 0: 20, 1: 20}
+    assert train.count() == 240
+
+
+def test_unlabelled_rows_do_not_break_a_curve(spark):
+    found = _areas(spark, [(1, None, 0.9), (2, 0, 0.1), (3, 0, 0.4), (4, 1, 0.35), (5, 1, 0.8)])
+    assert found["roc_auc"] == pytest.approx(0.75)

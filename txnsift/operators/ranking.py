@@ -66,7 +66,7 @@ def pr_curve(curve: DataFrame) -> DataFrame:
     """(model, precision, recall, threshold) per distinct score plus the closing point (1, 0)."""
     points = curve.select(
         "model",
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
         F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")).alias("recall"),
         F.col("score").alias("threshold"),
     )
@@ -91,7 +91,7 @@ def curve_summary(curve: DataFrame, sizes: Mapping[str, TopSize]) -> DataFrame:
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     all_pos, all_neg = F.col("all_pos").cast("double"), F.col("all_neg").cast("double")
-    here = tp / (tp + fp)
+    here = F.try_divide(tp, tp + fp)
     earlier = F.coalesce(F.try_divide(tp - pos, tp - pos + fp - neg), F.lit(1.0))
     cuts = []
     for name, size in sizes.items():

@@ -246,6 +246,17 @@ def _uniform_brackets(probs: Mapping, sizes: Mapping, bound: int) -> dict:
     return out
 
 
+def _is(group: str, g) -> Column:
+    return F.col(group).eqNullSafe(F.lit(g))
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def kth_smallest(
     long: DataFrame, group: str, ranks: Mapping, sizes: Mapping, accuracy: int = 10_000, uniform: int | None = None
 ) -> dict:
@@ -259,14 +270,14 @@ def kth_smallest(
         return {}
     probs = {g: ranks[g] / sizes[g] for g in groups}
     value = F.col("value").cast("double")
-    wanted = long.where(F.col(group).isin(groups) & F.col("value").isNotNull())
+    wanted = long.where(_any([_is(group, g) for g in groups]) & F.col("value").isNotNull())
     if uniform is None:
         brackets = _sketched_brackets(wanted, group, probs, sizes, accuracy)
     else:
         brackets = _uniform_brackets(probs, sizes, uniform)
     low, high, rank = F.lit(None), F.lit(None), F.lit(None)
     for g, (lo, hi) in brackets.items():
-        here = F.col(group) == F.lit(g)
+        here = _is(group, g)
         low = F.when(here, F.lit(float(lo))).otherwise(low)
         high = F.when(here, F.lit(float(hi))).otherwise(high)
         rank = F.when(here, F.lit(int(ranks[g]))).otherwise(rank)
@@ -315,9 +326,7 @@ def first_k_filter(
     tied = {g: (partial[g] - before, after - before) for g, (_, before, after) in cuts.items() if after > partial[g]}
     key_cuts: dict = {}
     if tied:
-        at_cut = F.lit(False)
-        for g in tied:
-            at_cut = at_cut | ((F.col(group) == F.lit(g)) & (F.col(order) == F.lit(cuts[g][0])))
+        at_cut = _any([_is(group, g) & (F.col(order) == F.lit(cuts[g][0])) for g in tied])
         key_cuts = kth_smallest(
             df.where(at_cut).select(group, F.col(key).alias("value")),
             group,
@@ -325,15 +334,15 @@ def first_k_filter(
             {g: n for g, (_, n) in tied.items()},
             accuracy,
         )
-    condition = F.col(group).isin(keep_all) if keep_all else F.lit(False)
+    condition = _any([_is(group, g) for g in keep_all])
     for g, (cut, _, _) in cuts.items():
         inside = F.col(order) <= F.lit(cut)
         if g in key_cuts:
             inside = (F.col(order) < F.lit(cut)) | (
                 (F.col(order) == F.lit(cut)) & (F.col(key) <= F.lit(key_cuts[g][0]))
             )
-        condition = condition | ((F.col(group) == F.lit(g)) & inside)
-    return condition
+        condition = condition | (_is(group, g) & inside)
+    return F.coalesce(condition, F.lit(False))
 
 
 def global_rank(df: DataFrame, order: str, key: str, descending: bool = True, name: str = "rank") -> DataFrame:

@@ -25,7 +25,7 @@ def split_quotas(sizes: dict, fraction: float) -> dict:
     exact = {c: total * m / n for c, m in sizes.items()}
     out = {c: int(x) for c, x in exact.items()}
     rest = total - sum(out.values())
-    for c in sorted(exact, key=lambda c: (out[c] - exact[c], c))[:rest]:
+    for c in sorted(exact, key=lambda c: (out[c] - exact[c], str(c)))[:rest]:
         out[c] += 1
     return out
 
