@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnsift.llm import chat, langid, licenses, simhash, urlfilter
+from txnsift.llm import chat, decontaminate, langid, licenses, mixing, simhash, tokenfile, urlfilter
 from txnsift.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(load(spark, sf_dir, "documents")).select("doc_id", "license", "score")
 
 
+def tokenizer_file() -> str:
+    """The vocabulary that the token queries use, installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_token_file")
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(load(spark, sf_dir, "documents"), tokenizer_file()))
+
+
 #: The rules of the url query: host, path, verdict.
 URL_RULES = [
     ("net", "/", "block"),
@@ -149,6 +161,36 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_source_mix")
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    rows = mixing.sized_rows(docs, "doc_id", "text", "source", 17)
+    placed = mixing.place(rows, mixing.plan_mix(rows))
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.size("shards")).alias("taken"),
+    )
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_spans(docs, load(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("__spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+    items = F.array_sort(F.transform("__items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("__items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
