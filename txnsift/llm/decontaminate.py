@@ -315,6 +315,8 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     around a passage, so texts are searched again until nothing is hit.
     """
 
+    names = docs.columns
+
     def cut(batches):
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
@@ -323,7 +325,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             new = [cut_spans(t, [(s["start"], s["stop"]) for s in p]) if p else t for t, p in zip(old, spans, strict=True)]
             kept = pa.array([not p or bool(words_of(t)) for t, p in zip(new, spans, strict=True)])
             batch = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
-            yield batch.select(docs.columns).filter(kept)
+            yield batch.select(names).filter(kept)
 
     marked = materialize(find_spans(docs, benchmark, text), "spans")
     clean = marked.filter(F.size("__spans") == 0).select(docs.columns)
