@@ -6,7 +6,7 @@ many documents as come near the rest.
 
 Documents of a source are permuted by a hash of id and text and cut, in that order of hash ranges, into blocks of about
 `block_words` words. The blocks of the last pass are taken in order while they fit into the rest; the
-block at the edge gives the documents that still fit, tried in order of their hash. So each source has an exact
+block at the edge gives the documents that still fit, tried in order of their hash, with a last exchange. So each source has an exact
 quota of block draws. The draws of all sources are then dealt to the output shards: a node of the tree, a range of
 shards, splits its vector of quotas by one draw from the multivariate hypergeometric distribution, which is the law
 of a uniform shuffle of all draws. A shard recomputes the path from the root to itself from seeded nodes, so shards
@@ -199,16 +199,36 @@ def plan_mix(
     return plan
 
 
+def _fill(sizes: np.ndarray, room: float) -> np.ndarray:
+    """Which of `sizes`, in their order, to take so that they come near `room` and not above.
+
+    First those that still fit; then, while it brings the sum nearer, one that is taken gives way to a larger one.
+    """
+    taken = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes.tolist()):
+        if 0 < size <= room:
+            taken[i] = True
+            room -= size
+    while True:
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken & (sizes > 0))
+        if not len(inside) or not len(outside):
+            return taken
+        outside = outside[np.argsort(sizes[outside], kind="stable")]
+        place = np.searchsorted(sizes[outside], sizes[inside] + room, "right") - 1
+        gain = np.where(place >= 0, sizes[outside[place]] - sizes[inside], 0)
+        best = int(np.argmax(gain))
+        if gain[best] <= 0:
+            return taken
+        taken[inside[best]], taken[outside[place[best]]] = False, True
+        room -= gain[best]
+
+
 def _first_fit(rows: pa.Table) -> pa.Table:
     """Of one source's edge block: the last copy goes to rows that, in order of their hash, still fit."""
     rows = rows.sort_by([("mix", "ascending"), ("size", "ascending")])
-    left = rows.column("left")[0].as_py() if rows.num_rows else 0.0
-    lists = rows.column("shards").to_pylist()
-    for i, size in enumerate(rows.column("size").to_pylist()):
-        if 0 < size <= left:
-            left -= size
-        else:
-            lists[i] = lists[i][:-1]
+    room = rows.column("left")[0].as_py() if rows.num_rows else 0.0
+    taken = _fill(rows.column("size").to_numpy(), room)
+    lists = [s if t else s[:-1] for s, t in zip(rows.column("shards").to_pylist(), taken, strict=True)]
     return rows.set_column(rows.schema.get_field_index("shards"), "shards", pa.array(lists, pa.list_(pa.int64())))
 
 

@@ -151,20 +151,27 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _labelled(docs: DataFrame, doc_id: str, text: str, distance: int, blocks: int, dense: int) -> DataFrame:
+    """Per row: id, text_hash, fp, root (a fingerprint of the component) and component_id."""
+    slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    marked = materialize(with_fingerprints(slim, "text", "fp").select("id", "text_hash", "fp"), "fingerprints")
+    prints = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    parts = components(near_pairs(prints.select("fp"), distance, blocks, dense))
+    linked = prints.join(parts, prints["fp"] == parts["node"]).select("fp", "root", "least")
+    roots = linked.groupBy("root").agg(F.min("least").alias("smallest"))
+    named = linked.join(roots, "root").select("fp", "root", "smallest")
+    labels = prints.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")
+    )
+    return marked.join(labels, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = BLOCKS, dense: int = DENSE
 ) -> DataFrame:
     """Per document: `doc_id`, fingerprint (16 hexadecimal digits), component_id."""
-    slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    marked = materialize(with_fingerprints(slim, "__text").select("__id", F.col("__fp").alias("fp")), "fingerprints")
-    prints = materialize(marked.groupBy("fp").agg(F.min("__id").alias("least")), "prints")
-    parts = components(near_pairs(prints.select("fp"), distance, blocks, dense))
-    linked = prints.join(parts, prints["fp"] == parts["node"]).select("fp", "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("smallest"))
-    named = linked.join(roots, "root").select("fp", "smallest")
-    labels = prints.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return marked.join(labels, "fp").select(
-        F.col("__id").alias(doc_id),
+    return _labelled(docs, doc_id, text, distance, blocks, dense).select(
+        F.col("id").alias(doc_id),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
@@ -173,11 +180,17 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = BLOCKS, dense: int = DENSE
 ) -> DataFrame:
-    """The rows of `docs`, one of each component: its smallest id. Of repeated rows of that id one stays.
+    """The rows of `docs`, one of each component: its smallest id (no id comes last), then the smaller text hash.
 
-    Rows of null id stay, unless their component has an id.
+    Rows that repeat both id and text are one. Only ids and hashes are grouped; whole rows are joined once.
     """
-    found = near_duplicates(docs, doc_id, text, distance, blocks, dense)
-    kept = found.filter(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.col(doc_id).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([doc_id])
+    rows = _labelled(docs, doc_id, text, distance, blocks, dense).groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")).alias("first")
+    kept = rows.groupBy("root").agg(first).select(
+        F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.n").alias("__n")
+    )
+    kept = materialize(kept, "kept")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    found = docs.join(kept, same)
+    single = found.filter("__n = 1").select(docs.columns)
+    return single.unionByName(found.filter("__n > 1").dropDuplicates([doc_id, "__hash"]).select(docs.columns))
