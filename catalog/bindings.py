@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from txnsift.functions import hour_fraction, log_amount, row_hash60
 
-V = [f"V{i}" for i in range(1, 29)]
+V = [f"V{i}" for i in range(1, 65)]
+
+
+def row_hash60_sql(expressions: list[str]) -> str:
+    """The row hash of the library in SQL: each value behind its length, a null as a dash."""
+    parts = ", ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in expressions)
+    return f"CAST('0x' || substr(md5(concat({parts})), 1, 15) AS BIGINT)"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,19 +44,29 @@ EV = """ev AS (SELECT event_id AS txn_id, user_id, (epoch_us(ts) - 1704067200000
 LINE_FEATURES = ["quantity", "amount", "discount", "tax", "log_amount", "weekday"]
 
 
+#: What tells order lines apart at every size, for Spark and as SQL.
+LINE_KEY_SQL = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)", "epoch_us(l_shipdate)",
+]
+
+
+def line_key():
+    return row_hash60(
+        [
+            "l_orderkey",
+            "l_linenumber",
+            "l_partkey",
+            "l_suppkey",
+            F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+            F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', l_shipdate)"),
+        ]
+    )
+
+
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The largest table as transactions: numeric features, time, amount and a 0/1 label."""
     return table(spark, sf, "lineitem").select(
-        row_hash60(
-            [
-                "l_orderkey",
-                "l_linenumber",
-                "l_partkey",
-                "l_suppkey",
-                F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-                F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', l_shipdate)"),
-            ]
-        ).alias("txn_id"),
+        line_key().alias("txn_id"),
         seconds_since("1995-01-01", "l_shipdate").alias("time_s"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("amount"),
@@ -62,15 +78,14 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-LI = """li AS (SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CAST(round(l_extendedprice * 100) AS BIGINT), epoch_us(l_shipdate))), 1, 15) AS BIGINT) AS txn_id,
+LI = f"""li AS (SELECT {row_hash60_sql(LINE_KEY_SQL)} AS txn_id,
   (epoch_us(l_shipdate) - 788918400000000) / 1e6 AS time_s, l_quantity AS quantity, l_extendedprice AS amount,
   l_discount AS discount, l_tax AS tax, ln(1 + l_extendedprice) AS log_amount,
   CAST(isodow(l_shipdate) - 1 AS DOUBLE) AS weekday, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem)"""
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide features: vec_id, V1..V28, label (vector class 0), group (vector class)."""
+    """Wide features: vec_id, V1..V64, label (vector class 0), group (vector class)."""
     return table(spark, sf, "embeddings").select(
         "vec_id",
         *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(V)],
@@ -105,13 +120,7 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").cast("double").alias("passenger_count"),
         (F.col("l_returnflag") == "R").cast("double").alias("is_airport"),
         (F.col("l_linenumber") % 4).cast("int").alias("cluster"),
-        row_hash60(
-            [
-                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                F.round(F.col("l_extendedprice") * 100).cast("bigint"),
-                F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', l_shipdate)"),
-            ]
-        ).alias("trip_id"),
+        line_key().alias("trip_id"),
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.bindings import EV, customers, event_features, events, table
-from catalog.sources import DIGEST_SQL, event_digest
+from catalog.sources import DIGEST_SCHEMA, DIGEST_SQL, EVENT_HASH, digest_columns, event_digest
+from txnsift.functions import row_hash60
 from txnsift.operators import profile, quality
 from txnsift.plans.validation import validate
 from txnsift.session import scratch_path
@@ -118,12 +119,112 @@ ISSUE_SQL = f"""SELECT 'CLASS BALANCE' AS "check", 'soft' AS severity, 'positive
     UNION ALL SELECT 'DIGEST REWRITE', 'soft', 'content changed under the name events'"""
 
 
-@query("d10_silent_rewrite", "SELECT 'content changed under the name events' AS detail, count(*) > 0 AS seen FROM events")
+def _digest_sql(rows: str) -> str:
+    return f"""(SELECT sha256(count(*) || ':' || CAST(bit_xor(h) AS BIGINT) || ':' || CAST(sum(h) AS VARCHAR) || ':' ||
+      '{DIGEST_SCHEMA}') FROM (SELECT {EVENT_HASH} AS h FROM {rows}))"""
+
+
+HALF = "(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')"
+EDITED = "(SELECT * REPLACE (CASE WHEN event_id = 7 THEN value + 1 ELSE value END AS value) FROM events)"
+
+
+@query(
+    "d10_silent_rewrite",
+    f"""SELECT 'content changed under the name ' || name AS detail FROM (VALUES
+      ('edited', {_digest_sql(EDITED)}, {_digest_sql('events')}), ('shorter', {_digest_sql(HALF)}, {_digest_sql('events')}),
+      ('same', {_digest_sql('events')}, {_digest_sql('events')})) t(name, now, old) WHERE now <> old""",
+)
+def _(spark, sf):
+    """One column list throughout: a value edited, rows missing, and the same rows in another order as control."""
+    source = table(spark, sf, "events")
+    edited = source.withColumn("value", F.when(F.col("event_id") == 7, F.col("value") + 1).otherwise(F.col("value")))
+    versions = {
+        "edited": edited,
+        "shorter": source.where("ts < TIMESTAMP_NTZ'2024-01-16'"),
+        "same": source.repartition(5, "user_id"),
+    }
+
+    def record(name, rows):
+        return quality.content_digest(rows, digest_columns()).select(F.lit(name).alias("data_file"), "digest")
+
+    now, old = None, None
+    for name, rows in versions.items():
+        now = record(name, rows) if now is None else now.unionByName(record(name, rows))
+        old = record(name, source) if old is None else old.unionByName(record(name, source))
+    return quality.rewrite_issues(now, old).select("detail")
+
+
+@query(
+    "d1_digest_separators",
+    """SELECT count(*) AS n_rows, count(DISTINCT md5(concat(coalesce(length(a) || ':' || a, '-'),
+      coalesce(length(b) || ':' || b, '-')))) AS n_hashes FROM (
+      SELECT DISTINCT a, b FROM (SELECT event_type || '|' || user_id AS a, CAST(event_id % 5 AS VARCHAR) AS b FROM events
+        UNION ALL SELECT event_type, user_id || '|' || event_id % 5 FROM events
+        UNION ALL SELECT event_type, NULL FROM events UNION ALL SELECT event_type, '\\N' FROM events
+        UNION ALL SELECT event_type, '-' FROM events UNION ALL SELECT event_type, '' FROM events))""",
+)
+def _(spark, sf):
+    """Rows that a separator, or a text for null, would confuse: every one has a hash of its own."""
+    source = table(spark, sf, "events")
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    fifth = (F.col("event_id") % 5).cast("string")
+    shapes = [
+        (F.concat(kind, F.lit("|"), user), fifth), (kind, F.concat(user, F.lit("|"), fifth)),
+        (kind, F.lit(None).cast("string")), (kind, F.lit("\\N")), (kind, F.lit("-")), (kind, F.lit("")),
+    ]
+    pairs = source.select(F.inline(F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in shapes]))).distinct()
+    return pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(row_hash60(["a", "b"])).alias("n_hashes"))
+
+
+@query(
+    "d5_ks_with_nulls",
+    f"""WITH {EV}, n AS (SELECT time_s >= {SPLIT} AS late, CASE WHEN time_s < {SPLIT} OR txn_id % 3 > 0 THEN amount END AS x FROM ev),
+    g AS (SELECT x, count(*) FILTER (WHERE late) AS a, count(*) FILTER (WHERE NOT late) AS b FROM n WHERE x IS NOT NULL GROUP BY 1),
+    c AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM g
+      WINDOW w AS (ORDER BY x DESC))
+    SELECT 'amount' AS "column", round(max(abs(ca / na - cb / nb)), 9) AS ks_stat,
+      (SELECT count(*) FILTER (WHERE x IS NULL) FROM n) AS n_null FROM c""",
+)
+def _(spark, sf):
+    early, late = _runs(spark, sf)
+    late = late.withColumn("amount", F.when(F.col("txn_id") % 3 > 0, F.col("amount")))
+    out = quality.ks_drift(early, late, ["amount"])
+    return out.select("column", F.round("ks_stat", 9).alias("ks_stat"), "n_null")
+
+
+@query(
+    "d13_clean_after_dirty",
+    f"""WITH {EV} SELECT CASE WHEN min(amount) < 0 THEN 'FAIL' ELSE 'PASS' END AS verdict, CAST(1 AS INTEGER) AS reused,
+    CAST(0 AS BIGINT) AS n_issues, 'FAIL' AS verdict_of_dirty FROM ev WHERE time_s < {SPLIT}""",
+)
 def _(spark, sf):
-    digest = event_digest(spark, sf).select(F.lit("events").alias("data_file"), "digest")
+    """A file with a negative amount, then a clean one, then the clean one again: its own verdict comes back."""
+    root = scratch_path(spark, "validation")
+    clean, dirty = _runs(spark, sf)
+    dirty = dirty.withColumn("amount", -F.col("amount"))
+    checks = dict(numeric=NUMERIC, expected_columns=clean.columns, label="rare", amount="amount")
+    first = validate(dirty, root, "r1", "dirty", **checks).verdict
+    validate(clean, root, "r0", "clean", **checks)  # the run before, without drift
+    again = validate(clean, root, "r3", "clean", **checks)
+    return again.verdict.select(
+        "verdict",
+        F.lit(int(again.reused)).alias("reused"),
+        (F.col("n_hard") + F.col("n_soft")).alias("n_issues"),
+        F.lit(first.first()["verdict"]).alias("verdict_of_dirty"),
+    )
+
+
+@query(
+    "d13_changed_expectations",
+    f"""WITH {EV} SELECT CAST(0 AS INTEGER) AS reused, 'SCHEMA MISMATCH' AS "check" FROM ev HAVING count(*) > 0""",
+)
+def _(spark, sf):
+    """The same rows under the same name, but another list of expected columns: checked anew."""
+    root, _, checks = _delivered(spark, sf)
     early, _ = _runs(spark, sf)
-    old = quality.content_digest(early, early.columns).select(F.lit("events").alias("data_file"), "digest")
-    return quality.rewrite_issues(digest, old).select("detail", F.lit(True).alias("seen"))
+    report = validate(early, root, "2024-01-17_0000", "events", **(checks | {"expected_columns": ["txn_id"]}))
+    hard = report.issues.where("severity = 'hard'")
+    return hard.select(F.lit(int(report.reused)).alias("reused"), "check")
 
 
 @query(

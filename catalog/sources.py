@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.bindings import EF, EV, LI, event_features, events, lines, table
+from catalog.bindings import EF, EV, LI, event_features, events, lines, row_hash60_sql, table
 from catalog.profiling import HOUR_SQL
 from txnsift.operators import features, profile, quality
 from txnsift.plans import profiling as suite
@@ -101,21 +101,27 @@ def _(spark, sf):
     )
 
 
-EVENT_DIGEST = f"""h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', event_id, user_id, event_type,
-    CAST(value AS DECIMAL(18, 2)))), 1, 15) AS BIGINT) AS h FROM events),
+DIGEST_COLUMNS = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "decimal(18,2)"}
+DIGEST_SCHEMA = quality.schema_text(DIGEST_COLUMNS.items())
+EVENT_HASH = row_hash60_sql(["event_id", "user_id", "event_type", "CAST(value AS DECIMAL(18, 2))"])
+EVENT_DIGEST = f"""h AS (SELECT {EVENT_HASH} AS h FROM events),
   dg AS (SELECT count(*) AS n_rows, CAST(bit_xor(h) AS BIGINT) AS xor60, CAST(sum(h) AS VARCHAR) AS sum60 FROM h)"""
-DIGEST_SQL = f"WITH {EVENT_DIGEST} SELECT *, sha256(n_rows || ':' || xor60 || ':' || sum60) AS digest FROM dg"
+DIGEST_TEXT = f"sha256(n_rows || ':' || xor60 || ':' || sum60 || ':' || '{DIGEST_SCHEMA}')"
+DIGEST_SQL = f"WITH {EVENT_DIGEST} SELECT *, {DIGEST_TEXT} AS digest FROM dg"
+
+
+def digest_columns():
+    return [F.col(c).cast(kind).alias(c) for c, kind in DIGEST_COLUMNS.items()]
 
 
 def event_digest(spark, sf):
-    columns = ["event_id", "user_id", "event_type", F.col("value").cast("decimal(18,2)")]
-    return quality.content_digest(table(spark, sf, "events"), columns)
+    return quality.content_digest(table(spark, sf, "events"), digest_columns())
 
 
 @query(
     "s7_lineage_json",
     f"""WITH {EVENT_DIGEST} SELECT 'r1' AS run_id, 'events' AS data_file,
-    sha256(n_rows || ':' || xor60 || ':' || sum60) AS digest, n_rows AS row_count,
+    {DIGEST_TEXT} AS digest, n_rows AS row_count,
     CAST(6 AS INTEGER) AS column_count, 'bigint' AS type_of_user FROM dg""",
 )
 def _(spark, sf):

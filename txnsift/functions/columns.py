@@ -80,6 +80,7 @@ def hash60(seed: int | str, key: Column | str) -> Column:
 
 
 def row_hash60(columns: Sequence[Column | str]) -> Column:
-    """60-bit hash of a row's values as text; nulls differ from empty strings."""
-    parts = [F.coalesce(_col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+    """60-bit hash of a row: each value as text behind its length, a null as a dash, so no two rows share a text."""
+    texts = [_col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,17 +50,25 @@ def class_rows(df: DataFrame, label: str, value) -> DataFrame:
     return df.where(F.col(label) == F.lit(value))
 
 
+def schema_text(columns: Iterable[tuple[str, str]]) -> str:
+    """Names and types, each behind its length."""
+    return "".join(f"{len(part)}:{part}" for column in columns for part in column)
+
+
 def content_digest(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
-    """Row count plus order-independent xor and sum of 60-bit row hashes.
+    """Row count, order-independent xor and sum of 60-bit row hashes, and a digest of them with names and types.
 
     The sum tells tables apart that differ by an even number of copies, which the xor cannot see.
     """
-    hashed = df.select(row_hash60(columns).alias("h"))
+    chosen = df.select(*columns)
+    described = schema_text(chosen.dtypes)
+    plain = chosen.toDF(*[f"c{i}" for i in range(len(chosen.columns))])
+    hashed = plain.select(row_hash60(plain.columns).alias("h"))
     return hashed.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.bit_xor("h"), F.lit(0).cast("bigint")).alias("xor60"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("sum60"),
-    ).withColumn("digest", F.sha2(F.concat_ws(":", "n_rows", "xor60", "sum60"), 256))
+    ).withColumn("digest", F.sha2(F.concat_ws(":", "n_rows", "xor60", "sum60", F.lit(described)), 256))
 
 
 def mean_drift(current: DataFrame, earlier: DataFrame, limit: float = MEAN_DRIFT_LIMIT) -> DataFrame:
@@ -92,14 +100,19 @@ def kolmogorov_tail(x: Column, terms: int = 100) -> Column:
 
 
 def ks_drift(earlier: DataFrame, current: DataFrame, columns: Sequence[str], p_limit: float = KS_P_LIMIT) -> DataFrame:
-    """Two-sample distance and asymptotic p-value per column, from the raw rows of both runs."""
+    """Two-sample distance and asymptotic p-value per column, from the raw rows of both runs.
+
+    Nulls take no part; n_null counts them. Columns without a value on one side are left out.
+    """
     both = earlier.select(*columns, F.lit(0).alias("side")).unionByName(current.select(*columns, F.lit(1).alias("side")))
     gap = F.abs(F.col("tp") / F.col("all_pos") - F.col("fp") / F.col("all_neg"))
     size = F.sqrt(F.col("all_pos") * F.col("all_neg") / (F.col("all_pos") + F.col("all_neg")))
     curve = cumulative_counts(both, {c: c for c in columns}, "side").where("all_pos > 0 AND all_neg > 0")
     stats = curve.groupBy(F.col("model").alias("column")).agg(F.max(gap).alias("ks_stat"), F.max(size).alias("scale"))
+    nulls = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("none")) for c in columns])))
+    nulls = nulls.groupBy("column").agg(F.count_if("none").alias("n_null"))
     p = kolmogorov_tail(F.col("scale") * F.col("ks_stat"))
-    return stats.select("column", "ks_stat", p.alias("ks_pvalue")).withColumn(
+    return stats.join(nulls, "column").select("column", "ks_stat", p.alias("ks_pvalue"), "n_null").withColumn(
         "flagged", (F.col("ks_pvalue") < p_limit).cast("int")
     )
 
@@ -139,7 +152,7 @@ def schema_issues(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     rows = []
     if list(df.columns) != list(expected):
-        rows.append(("SCHEMA MISMATCH", "hard", f"expected {list(expected)}, got {list(df.columns)}"))
+        rows.append(("SCHEMA MISMATCH", "hard", f"columns are {list(df.columns)}, not {list(expected)}"))
     return spark.createDataFrame(rows, ISSUES)
 
 

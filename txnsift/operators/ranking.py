@@ -33,7 +33,8 @@ def cumulative_counts(df: DataFrame, scores: Mapping[str, str], label: str) -> D
     """Per model and distinct score: positives, negatives and their running sums from the top.
 
     Columns: model, score, pos, neg, tp, fp, all_pos, all_neg. The score ranges come from a sketch;
-    equal scores collapse before the shuffle.
+    equal scores collapse before the shuffle. Rows of null score are not ranked and count nowhere (see
+    `unranked_counts`).
     """
     columns = list(dict.fromkeys(scores.values()))
     zoned = with_zones(df.select(label, *columns), columns)
@@ -47,6 +48,7 @@ def cumulative_counts(df: DataFrame, scores: Mapping[str, str], label: str) -> D
     ]
     counts = (
         zoned.select(F.col(label).cast("int").alias("label"), F.inline(F.array(*entries)))
+        .where("score IS NOT NULL")
         .groupBy("model", "zone", "score")
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     )
@@ -62,6 +64,12 @@ def cumulative_counts(df: DataFrame, scores: Mapping[str, str], label: str) -> D
     )
 
 
+def unranked_counts(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
+    """Rows without a score per model, which no curve or metric counts."""
+    entries = [F.struct(F.lit(m).alias("model"), F.col(c).isNull().alias("none")) for m, c in scores.items()]
+    return df.select(F.inline(F.array(*entries))).groupBy("model").agg(F.count_if("none").alias("n_unranked"))
+
+
 def pr_curve(curve: DataFrame) -> DataFrame:
     """(model, precision, recall, threshold) per distinct score plus the closing point (1, 0)."""
     points = curve.select(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from txnsift.operators import profile, quality
@@ -24,14 +25,27 @@ class Report:
 
 def _earlier(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame | None:
     """The table of the newest earlier run that stored one."""
+    table = _stored(spark, root, name)
+    previous = None if table is None else runs.previous_run(table, run_id)
+    return None if previous is None else table.where(F.col("run_id") == previous)
+
+
+def _stored(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     try:
-        table = runs.read_runs(spark, root, name)
+        return runs.read_runs(spark, root, name)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    previous = runs.previous_run(table, run_id)
-    return None if previous is None else table.where(F.col("run_id") == previous)
+
+
+def _last_record(spark: SparkSession, root: str, data_file: str, run_id: str) -> Row | None:
+    """The newest earlier lineage record of the same source name."""
+    lineage = _stored(spark, root, "lineage")
+    if lineage is None:
+        return None
+    own = lineage.where((F.col("data_file") == data_file) & (F.col("run_id") < run_id))
+    return own.orderBy(F.desc("run_id")).select("digest", "expectations", "issues_path").first()
 
 
 def validate(
@@ -51,25 +65,26 @@ def validate(
 ) -> Report:
     """Check a delivery against expectations and the run before it, and store everything.
 
-    An unchanged digest under the same name reuses the stored issues and verdict. Schema, null and
+    The newest earlier record of the same name decides: with the same digest and the same expectations its stored
+    issues, and so its verdict, are reused; another digest is a rewrite. Schema, null and
     negative-amount issues fail the delivery; other issues warn. With `earlier_rows` the drift
     check compares distributions too, not only means.
     """
     spark = df.sparkSession
     digest = quality.content_digest(df, df.columns).first()
-    record = runs.lineage_record(
-        spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions, stored_at
+    checked = json.dumps(
+        [list(expected_columns), label, amount, expected_rows, positive_band, list(numeric), earlier_rows is not None]
     )
-    before = _earlier(spark, root, "lineage", run_id)
-    unchanged = before is not None and not before.where(
-        (F.col("data_file") == data_file) & (F.col("digest") == digest["digest"])
-    ).isEmpty()
-    if unchanged:
-        old_issues = _earlier(spark, root, "issues", run_id)
-        if old_issues is None:
-            old_issues = spark.createDataFrame([], quality.ISSUES)
-        kept = old_issues.select("check", "severity", "detail")
-        runs.write_run(record, root, "lineage", run_id)
+
+    def record(issues_path: str) -> DataFrame:
+        return runs.lineage_record(
+            spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions, stored_at, checked, issues_path
+        )
+
+    before = _last_record(spark, root, data_file, run_id)
+    if before is not None and before["digest"] == digest["digest"] and before["expectations"] == checked:
+        kept = spark.read.parquet(before["issues_path"]).select("check", "severity", "detail")
+        runs.write_run(record(before["issues_path"]), root, "lineage", run_id)
         return Report(kept, quality.verdict(kept), None, None, True)
 
     stats_path = runs.write_run(profile.fingerprint(df, numeric), root, "feature_stats", run_id)
@@ -79,7 +94,9 @@ def validate(
         quality.table_issues(df, label, amount, expected_rows, positive_band),
     ]
     if before is not None:
-        issues.append(quality.rewrite_issues(record, before))
+        names = "data_file string, digest string"
+        now = spark.createDataFrame([(data_file, digest["digest"])], names)
+        issues.append(quality.rewrite_issues(now, spark.createDataFrame([(data_file, before["digest"])], names)))
     drift = None
     old_stats = _earlier(spark, root, "feature_stats", run_id)
     if old_stats is not None:
@@ -90,8 +107,9 @@ def validate(
     found = issues[0]
     for more in issues[1:]:
         found = found.unionByName(more)
-    found = spark.read.parquet(runs.write_run(found, root, "issues", run_id))
+    issues_path = runs.write_run(found, root, "issues", run_id)
+    found = spark.read.parquet(issues_path)
     verdict = quality.verdict(found)
     runs.write_run(verdict, root, "verdict", run_id)
-    runs.write_run(record, root, "lineage", run_id)
+    runs.write_run(record(issues_path), root, "lineage", run_id)
     return Report(found, verdict, statistics, drift, False)
