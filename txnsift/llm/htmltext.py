@@ -12,7 +12,7 @@ other valid classes nest below the root element on their path. A template says
 
 Extraction walks a page once more. What is in head, menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments (by element name, role, class or id) is closed. Open text inside article or main elements is
-the result, else that inside the template's element, else all open text; template text goes. Character references
+the result, else that inside the template's element, else all open text; template text goes, unless it is most of it. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is changed.
 
 Hosts of fewer pages have no template and rely on the page alone. Null and empty pages, and pages without text, give
@@ -45,7 +45,7 @@ SALT = 16
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr img".split()
+    "strike strong sub sup time tt u var wbr img script style template noscript".split()
 )
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 _CLOSED = frozenset(
@@ -111,7 +111,7 @@ class _Open:
 
 
 def walk(page: str, tokens: dict[tuple[int, str], int]):
-    """Events of a page in order: ("element", token, depth) and ("text", path of tokens, text, closed, main).
+    """Events of a page in order: ("element", token, depth) and, for open text, ("text", path of tokens, text, main).
 
     `tokens` remembers the numbers of paths between pages.
     """
@@ -124,7 +124,7 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
         parts.clear()
         if text:
             top = stack[-1]
-            yield "text", [e.token for e in stack if e.name not in _INLINE], text, top.closed, top.main
+            yield "text", [e.token for e in stack if e.name not in _INLINE], text, top.main
 
     def push(element):
         stack.append(element)
@@ -145,9 +145,10 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
     while at <= len(page):
         tag = _TAG.search(page, at)
         if not tag:
-            parts.append(html.unescape(page[at:]))
+            if not stack[-1].closed:
+                parts.append(html.unescape(page[at:]))
             break
-        if tag.start() > at:
+        if tag.start() > at and not stack[-1].closed:
             parts.append(html.unescape(page[at : tag.start()]))
         at = max(tag.end(), at + 1)
         if not tag[2]:
@@ -197,7 +198,7 @@ def _page_counts(page: str, tokens: dict) -> tuple[dict, dict]:
         if event[0] == "element":
             found = elements.setdefault(event[1], [0, event[2], 0])
             found[0] += 1
-        elif not event[3]:
+        else:
             path, text = event[1], event[2]
             for token in set(path):
                 if token in elements:
@@ -302,22 +303,25 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, main: int | None, texts: frozenset, tokens: dict) -> str:
-    """The text of one page under the template of its host."""
+    """The text of one page under the template of its host.
+
+    Where template text is more than half of the main text, the pages of the host are copies of each other and it stays.
+    """
     inside, below, anywhere, nth = [], [], [], {}
-    if not page:
-        return ""
-    for event in walk(page, tokens):
-        if event[0] == "element" or event[3]:
-            continue
-        _, path, text, _, in_main = event
-        if _slot(path[-1], nth) in texts:
+    for event in walk(page or "", tokens):
+        if event[0] == "element":
             continue
-        anywhere.append(text)
+        _, path, text, in_main = event
+        found = text, _slot(path[-1], nth) in texts
+        anywhere.append(found)
         if in_main:
-            inside.append(text)
+            inside.append(found)
         if main is not None and main in path:
-            below.append(text)
-    return " ".join(inside or below or anywhere)
+            below.append(found)
+    chosen = inside or below or anywhere
+    if 2 * sum(len(t) for t, framed in chosen if framed) <= sum(len(t) for t, _ in chosen):
+        chosen = [c for c in chosen if not c[1]]
+    return " ".join(t for t, _ in chosen)
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:

@@ -6,7 +6,7 @@ many documents as come near the rest.
 
 Documents of a source are permuted by a hash of id and text and cut, in that order of hash ranges, into blocks of about
 `block_words` words. The blocks of the last pass are taken in order while they fit into the rest; the
-block at the edge gives the documents that still fit, tried in order of their hash, with a last exchange. So each source has an exact
+block at the edge gives the documents that still fit, tried in order of their hash, with exchanges that bring the sum nearer. So each source has an exact
 quota of block draws. The draws of all sources are then dealt to the output shards: a node of the tree, a range of
 shards, splits its vector of quotas by one draw from the multivariate hypergeometric distribution, which is the law
 of a uniform shuffle of all draws. A shard recomputes the path from the root to itself from seeded nodes, so shards
@@ -200,9 +200,10 @@ def plan_mix(
 
 
 def _fill(sizes: np.ndarray, room: float) -> np.ndarray:
-    """Which of `sizes`, in their order, to take so that they come near `room` and not above.
+    """Which of `sizes`, in their order, to take so that their sum comes near `room`.
 
-    First those that still fit; then, while it brings the sum nearer, one that is taken gives way to a larger one.
+    First those that still fit; then, while it brings the sum nearer, one more is taken, or one that is taken gives way
+    to another.
     """
     taken = np.zeros(len(sizes), bool)
     for i, size in enumerate(sizes.tolist()):
@@ -210,17 +211,23 @@ def _fill(sizes: np.ndarray, room: float) -> np.ndarray:
             taken[i] = True
             room -= size
     while True:
-        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken & (sizes > 0))
-        if not len(inside) or not len(outside):
+        outside = np.flatnonzero(~taken & (sizes > 0))
+        if not len(outside):
             return taken
         outside = outside[np.argsort(sizes[outside], kind="stable")]
-        place = np.searchsorted(sizes[outside], sizes[inside] + room, "right") - 1
-        gain = np.where(place >= 0, sizes[outside[place]] - sizes[inside], 0)
-        best = int(np.argmax(gain))
-        if gain[best] <= 0:
+        inside = np.append(np.flatnonzero(taken), -1)  # -1: nothing gives way
+        freed = np.where(inside >= 0, sizes[inside], 0)
+        above = np.minimum(np.searchsorted(sizes[outside], freed + room), len(outside) - 1)
+        tries = np.concatenate([above, np.maximum(above - 1, 0)])
+        left = room + np.tile(freed, 2) - sizes[outside[tries]]
+        best = int(np.argmin(np.abs(left)))
+        if abs(left[best]) >= abs(room):
             return taken
-        taken[inside[best]], taken[outside[place[best]]] = False, True
-        room -= gain[best]
+        gone = inside[best % len(inside)]
+        if gone >= 0:
+            taken[gone] = False
+        taken[outside[tries[best]]] = True
+        room = left[best]
 
 
 def _first_fit(rows: pa.Table) -> pa.Table:

@@ -180,7 +180,33 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query("op8_decontaminate")
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+
+_DECONTAMINATE_SQL = f"""
+with docs as (select doc_id, row_number() over () as row_no, {_ITEM_WORDS} as w from documents),
+items as (select item_id, {_ITEM_WORDS} as w from benchmark),
+windows as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as words
+  from (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i
+        from items where len(w) > 0)),
+sizes as (select distinct size from windows),
+places as (select row_no, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes where len(w) >= size),
+found as (
+  select distinct p.row_no, p.i, p.size, v.item_id
+  from (select row_no, i, size, array_to_string(w[i:i + size - 1], ' ') as words from places) p
+  join windows v on v.size = p.size and v.words = p.words),
+hits as (select row_no, count(distinct word) as n_hit from (select row_no, unnest(range(i, i + size)) as word from found) group by 1),
+owners as (
+  select row_no, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct row_no, item_id::varchar as item from found) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (row_no) left join owners using (row_no)
+"""
+
+
+@query("op8_decontaminate", _DECONTAMINATE_SQL)
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_spans(docs, load(spark, sf_dir, "benchmark"))
