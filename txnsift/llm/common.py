@@ -15,9 +15,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a record batch that goes to Python. Rows of long texts make the default of 64 MB costly on both sides.
+BATCH_BYTES = "4m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package to the workers and bounds the record batches of the session."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a folder of Parquet tables."""
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,7 +37,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    """`fn` over the record batches of each partition. Batches hold at most 64 MB or one row."""
+    """`fn` over the record batches of each partition. Batches are bounded in bytes (see `prepare`)."""
     return df.mapInArrow(fn, schema)
 
 

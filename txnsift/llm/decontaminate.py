@@ -24,7 +24,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -260,15 +259,22 @@ def find_spans(
 
 def _searcher(phrases, text: str, item_type: pa.DataType, again: bool):
     def search(batches):
+        held, size = [], 0
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            shard = np.cumsum(sizes, dtype=np.int64) // SHARD_BYTES
-            for number in np.unique(shard):
-                rows = np.flatnonzero(shard == number)
-                part = batch.slice(int(rows[0]), len(rows))
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                yield _extend(part, search_shard(texts, phrases.value), item_type, again)
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index(text)).nbytes
+            if size >= SHARD_BYTES:
+                yield from shard(held)
+                held, size = [], 0
+        if held:
+            yield from shard(held)
+
+    def shard(held):
+        texts = [t for b in held for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+        found, at = search_shard(texts, phrases.value), 0
+        for batch in held:
+            yield _extend(batch, found[at : at + len(batch)], item_type, again)
+            at += len(batch)
 
     return search
 

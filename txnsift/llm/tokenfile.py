@@ -41,7 +41,7 @@ from txnsift.session import materialize, scratch_path
 MAGIC = b"TKF1"
 _HEADER = struct.Struct("<4sI4Q")
 #: Words and pieces that a worker keeps with their ids before it starts afresh.
-CACHED = 600_000
+CACHED = 200_000
 
 # -- tokenizing
 
