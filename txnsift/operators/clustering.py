@@ -7,20 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txnsift.functions import percent
+from txnsift.functions import HASH_BOUND, hash60, percent
 from txnsift.operators.features import Scaler, fit_scaler
-from txnsift.operators.sampling import row_cap
-from txnsift.session import materialize, small_rows, spread
+from txnsift.session import materialize, small_rows
 
-#: Rows that seed the centroids, and the most rows a pairwise sample may hold on each executor.
-SEED_ROWS = 16_384
-PAIRWISE_ROWS = 50_000
+#: Candidates that one seeding scan adds, and seeding scans. They bound the driver's part, not the rows that are read.
+SEED_CANDIDATES, SEED_SCANS = 256, 4
+#: Rows of a block of the pairwise silhouette.
+PAIRWISE_BLOCK = 2_048
 
 
 @dataclass(frozen=True)
@@ -63,20 +63,67 @@ def nearest_center(features: Sequence[str], centers: Sequence[Sequence[float]])
 # -- k-means -------------------------------------------------------------------------------------
 
 
-def _seed_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Distance-weighted seeding on a bounded sample."""
-    centers = [rows[rng.integers(len(rows))]]
-    gap = ((rows - centers[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = gap.sum()
-        pick = rng.integers(len(rows)) if total <= 0 else min(np.searchsorted(np.cumsum(gap), rng.random() * total), len(rows) - 1)
+def _candidates(points: DataFrame, features: Sequence[str], key: str, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Seeding candidates with the number of rows nearest to each, and the mean variance of the features.
+
+    Each scan of all rows draws `SEED_CANDIDATES` rows with chances in proportion to their squared distance from the
+    candidates so far: every row runs a race of exponential clocks, each task keeps its first arrivals, and the
+    first ones of all tasks win. The last scan weighs the candidates.
+    """
+    d = len(features)
+    stats = points.agg(
+        *[F.avg(f).alias(f"m{j}") for j, f in enumerate(features)], *[F.var_pop(f).alias(f"v{j}") for j, f in enumerate(features)]
+    ).first()
+    if stats[0] is None:
+        raise ValueError("no rows to cluster")
+    chosen = np.array([stats[:d]], dtype=np.float64)
+    picked = []
+    for scan in range(SEED_SCANS):
+        draw = (hash60(f"{seed}:{scan}", F.col(key)) + 0.5) / float(HASH_BOUND)
+        drawn = points.select(draw.alias("__u"), *features).mapInPandas(
+            _racers(chosen), "at double, " + ", ".join(f"x{j} double" for j in range(d))
+        )
+        first = drawn.orderBy("at", *[f"x{j}" for j in range(d)]).limit(SEED_CANDIDATES)
+        picked += [list(r[1:]) for r in first.collect()]
+        chosen = np.array(picked, dtype=np.float64).reshape(-1, d) if picked else chosen
+    chosen = np.unique(chosen, axis=0)
+    weights = _assignment_sums(points.select(*features), features, {0: chosen})[0][0]
+    return chosen[weights > 0], weights[weights > 0], float(np.mean(stats[d:]))
+
+
+def _racers(chosen: np.ndarray):
+    def race(batches: Iterable[pd.DataFrame]):
+        best = np.zeros((0, chosen.shape[1] + 1))
+        for batch in batches:
+            data = batch.to_numpy(dtype=np.float64)
+            for start in range(0, len(data), 2048):
+                u, x = data[start : start + 2048, 0], data[start : start + 2048, 1:]
+                gap = ((x * x).sum(axis=1)[:, None] - 2.0 * x @ chosen.T + (chosen * chosen).sum(axis=1)).min(axis=1)
+                far = gap > 1e-12
+                rows = np.column_stack([-np.log(u[far]) / gap[far], x[far]])
+                best = np.vstack([best, rows])
+                best = best[np.argsort(best[:, 0], kind="stable")[:SEED_CANDIDATES]]
+        yield pd.DataFrame(best, columns=["at", *[f"x{j}" for j in range(chosen.shape[1])]])
+
+    return race
+
+
+def _seed_centers(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Distance-weighted seeding among weighted candidates."""
+    centers: list[np.ndarray] = []
+    gap = np.ones(len(rows))
+    for _ in range(k):
+        odds = np.cumsum(gap * weights)
+        total = odds[-1]
+        pick = rng.integers(len(rows)) if total <= 0 else min(np.searchsorted(odds, rng.random() * total), len(rows) - 1)
         centers.append(rows[pick])
-        gap = np.minimum(gap, ((rows - rows[pick]) ** 2).sum(axis=1))
+        far = ((rows - rows[pick]) ** 2).sum(axis=1)
+        gap = far if len(centers) == 1 else np.minimum(gap, far)
     return np.array(centers)
 
 
-def _partial_sums(x: np.ndarray, centers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per centroid: rows, feature sums and summed squared lengths of the rows nearest to it.
+def _partial_sums(x: np.ndarray, centers: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Per centroid: rows, feature sums and summed squared lengths of the (weighted) rows nearest to it.
 
     `centers` stacks all models, `starts` marks where each begins; a row joins one centroid of each.
     """
@@ -88,25 +135,27 @@ def _partial_sums(x: np.ndarray, centers: np.ndarray, starts: np.ndarray) -> np.
         one = np.zeros_like(gap)
         at = np.arange(len(part))
         for a, b in zip(starts[:-1], starts[1:]):
-            one[a + gap[a:b].argmin(axis=0), at] = 1.0
+            one[a + gap[a:b].argmin(axis=0), at] = 1.0 if weights is None else weights[start : start + 2048]
         total += one @ np.hstack([np.ones((len(part), 1)), part, (part * part).sum(axis=1)[:, None]])
     return total
 
 
-def _warm_starts(spark: SparkSession, rows: np.ndarray, plans: list[tuple], limit: float) -> dict[int, np.ndarray]:
-    """Seed every (model, k, seeds) plan and settle it on the bounded sample, one plan per task.
+def _warm_starts(
+    spark: SparkSession, rows: np.ndarray, weights: np.ndarray, plans: list[tuple], limit: float
+) -> dict[int, np.ndarray]:
+    """Seed every (model, k, seeds) plan and settle it on the weighted candidates, one plan per task.
 
-    The full rows then need a few steps only. Plans that settle on the same centroids are kept once.
+    The full rows then need fewer steps. Plans that settle on the same centroids would move alike and are kept once.
     """
-    shared = spark.sparkContext.broadcast(rows)
+    shared = spark.sparkContext.broadcast((rows, weights))
 
     def settle(batches: Iterable[pd.DataFrame]):
-        x = shared.value
+        x, w = shared.value
         for batch in batches:
             for model, k, seed, restart in batch.itertuples(index=False):
-                c = _seed_centers(x, min(k, len(x)), np.random.default_rng([seed, k, restart]))
+                c = _seed_centers(x, w, min(k, len(x)), np.random.default_rng([seed, k, restart]))
                 for _ in range(300):
-                    t = _partial_sums(x, c, np.array([0, len(c)]))
+                    t = _partial_sums(x, c, np.array([0, len(c)]), w)
                     moved = np.where(t[:, :1] > 0, t[:, 1:-1] / np.maximum(t[:, :1], 1.0), c)
                     shift, c = ((moved - c) ** 2).sum(), moved
                     if shift <= limit:
@@ -181,38 +230,35 @@ def kmeans_sweep(
 ) -> dict[int, Clustering]:
     """The fit with the lowest inertia over `restarts` seedings, for every k.
 
-    All restarts of all k move together: one scan of the rows per step serves every model, and
-    only sums per centroid leave the executors.
+    All restarts of all k move together: one scan of the rows per step serves every model, and only sums per centroid
+    leave the executors. `df` is read in place by every scan, so it should be a stored table. Seeds are drawn from all
+    rows. A model stops where its centroids are the means of their rows up to `tol` of the mean variance; one that has
+    not done so after `max_iter` steps is an error.
     """
-    seeds = row_cap(df.select(key, *features), key, SEED_ROWS).orderBy(key).select(*features)
-    rows = np.array([tuple(r) for r in seeds.collect()], dtype=np.float64)
-    if not len(rows):
-        raise ValueError("no rows to cluster")
+    points = df.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    rows, weights, variance = _candidates(points, features, key, seed)
     plans = [(i, k, seed, r) for i, (k, r) in enumerate((k, r) for k in ks for r in range(restarts))]
     wanted = {model: k for model, k, _, _ in plans}
-    limit = tol * rows.var(axis=0).mean()
-    centers = _warm_starts(df.sparkSession, rows, plans, limit)
-
-    # a table of the features alone, read in every step; cached as far as memory goes
-    columns = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    points = spread(materialize(columns, "kmeans-points")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        active = set(centers)
-        paths = {m: _Path(c) for m, c in centers.items()}
-        for _ in range(max_iter):
-            if not active:
-                break
-            found = _assignment_sums(points, features, {m: centers[m] for m in active})
-            for m, (rows_in, sums, cost) in found.items():
-                mean = np.where(rows_in[:, None] > 0, sums / np.maximum(rows_in, 1.0)[:, None], centers[m])
-                if ((mean - centers[m]) ** 2).sum() <= limit:
-                    centers[m] = mean
-                    active.discard(m)
-                else:
-                    centers[m] = paths[m].step(mean, cost.sum())
-        inertia = {m: cost.sum() for m, (_, _, cost) in _assignment_sums(points, features, centers).items()}
-    finally:
-        points.unpersist()
+    limit = tol * variance
+    centers = _warm_starts(df.sparkSession, rows, weights, plans, limit)
+
+    points = points.select(*features)
+    active = set(centers)
+    paths = {m: _Path(c) for m, c in centers.items()}
+    for _ in range(max_iter):
+        if not active:
+            break
+        found = _assignment_sums(points, features, {m: centers[m] for m in active})
+        for m, (rows_in, sums, cost) in found.items():
+            mean = np.where(rows_in[:, None] > 0, sums / np.maximum(rows_in, 1.0)[:, None], centers[m])
+            if ((mean - centers[m]) ** 2).sum() <= limit:
+                centers[m] = mean
+                active.discard(m)
+            else:
+                centers[m] = paths[m].step(mean, cost.sum())
+    if active:
+        raise RuntimeError(f"{len(active)} models have not settled after {max_iter} steps")
+    inertia = {m: cost.sum() for m, (_, _, cost) in _assignment_sums(points, features, centers).items()}
     best: dict[int, Clustering] = {}
     for m in sorted(centers):
         k = wanted[m]
@@ -237,60 +283,76 @@ def group_centers(df: DataFrame, features: Sequence[str], group: str) -> Cluster
 # -- silhouettes ---------------------------------------------------------------------------------
 
 
-def silhouette(sample: DataFrame, features: Sequence[str], clusters: Sequence[str]) -> DataFrame:
+def silhouette(sample: DataFrame, features: Sequence[str], clusters: Sequence[str], block: int = PAIRWISE_BLOCK) -> DataFrame:
     """Mean Euclidean silhouette per assignment column: (assignment, n_rows, silhouette).
 
-    The sample is of bounded size, so every executor holds it; its rows are spread over tasks, each
-    of which adds distances up per cluster without emitting pairs. All assignments share them.
+    Rows are packed into stored blocks. Each block meets every block in a task step of bounded memory that adds distances
+    up per row and cluster; the sums of a block over all others are added and scored together. All
+    assignments share the distances, no pair of rows is emitted and nothing but cluster sizes reaches the driver.
     """
-    spark = sample.sparkSession
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    rows = small_rows(sample.select(*columns, *[F.col(c).cast("int") for c in clusters]), "silhouette sample", PAIRWISE_ROWS)
-    d = len(features)
-    data = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(len(rows), d + len(clusters))
-    points, labels = data[:, :d], data[:, d:].astype(np.int64)
-    shared = spark.sparkContext.broadcast((points, labels))
-    slices = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    names = list(clusters)
-
-    def scores(batches: Iterable[pd.DataFrame]):
-        x, lab = shared.value
-        groups = [np.unique(lab[:, j], return_inverse=True) for j in range(lab.shape[1])]
-        owners = [inv.reshape(-1) for _, inv in groups]
-        starts = np.cumsum([0, *[len(u) for u, _ in groups]])
-        member = np.hstack([np.eye(len(u))[own] for (u, _), own in zip(groups, owners)])
-        sizes = member.sum(axis=0)
-        length = (x * x).sum(axis=1)
-        totals = np.zeros((len(names), 2))
+    names, d = list(clusters), len(features)
+    labels = F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("int").alias("c")) for j, c in enumerate(names)]))
+    counts = sorted(small_rows(sample.select(labels).groupBy("j", "c").agg(F.count(F.lit(1)).alias("n")), "clusters"))
+    slots = {(j, c): i for i, (j, c, _) in enumerate(counts)}
+    sizes = np.array([n for _, _, n in counts], dtype=np.float64)
+    of = np.array([j for j, _, _ in counts], dtype=np.int64)
+    total = int(sizes[of == 0].sum())
+    n_blocks = max(1, -(-total // block))
+
+    def pack(batches: Iterable[pd.DataFrame]):
+        held = [b.to_numpy(dtype=np.float64) for b in batches]
+        data = np.vstack(held) if held else np.zeros((0, d + len(names)))
+        if len(data):
+            own = [[slots[j, int(c)] for j, c in enumerate(row)] for row in data[:, d:]]
+            at = TaskContext.get().partitionId()
+            yield pd.DataFrame({"block": [at], "x": [data[:, :d].tobytes()], "own": [np.array(own, np.int32).tobytes()]})
+
+    columns = [F.col(f).cast("double").alias(f) for f in features] + [F.col(c).cast("double").alias(f"__{c}") for c in names]
+    dealt = sample.select(*columns).repartition(n_blocks)
+    blocks = materialize(dealt.mapInPandas(pack, "block int, x binary, own binary"), "silhouette-blocks")
+    ids = [r["block"] for r in small_rows(blocks.select("block"), "silhouette blocks", n_blocks)]
+    left = blocks.select(F.col("block").alias("left"), F.col("x").alias("lx"), F.col("own").alias("lo"))
+    left = left.withColumn("block", F.explode(F.array(*map(F.lit, ids)))) if ids else left.withColumn("block", F.lit(0))
+    pairs = left.join(blocks, "block").select("left", "block", "lx", "lo", "x", "own")
+
+    def add_up(batches: Iterable[pd.DataFrame]):
+        sums: dict[int, list] = {}
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            for start in range(0, len(ids), 128):
-                part = ids[start : start + 128]
-                at = np.arange(len(part))
-                gap = x[part] @ x.T
-                gap *= -2.0
-                gap += length[None, :]
-                gap += length[part][:, None]
-                np.maximum(gap, 0.0, out=gap)
-                np.sqrt(gap, out=gap)
-                gap[at, part] = 0.0
-                sums = gap @ member
-                for j in range(len(names)):
-                    mine = sums[:, starts[j] : starts[j + 1]]
-                    size = sizes[starts[j] : starts[j + 1]]
-                    own = owners[j][part]
-                    a = mine[at, own] / np.maximum(size[own] - 1, 1)
-                    means = mine / size[None, :]
-                    means[at, own] = np.inf
-                    b = means.min(axis=1)
-                    valid = (size[own] > 1) & np.isfinite(b)
-                    b = np.where(valid, b, 0.0)
-                    s = np.where(valid, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                    totals[j] += (s.sum(), len(part))
-        yield pd.DataFrame({"assignment": names, "total": totals[:, 0], "n": totals[:, 1].astype(np.int64)})
-
-    parts = spark.range(len(rows), numPartitions=slices).mapInPandas(scores, "assignment string, total double, n bigint")
-    return parts.groupBy("assignment").agg(
+            for at, other, lx, lo, rx, ro in batch.itertuples(index=False):
+                x, y = (np.frombuffer(v).reshape(-1, d) for v in (lx, rx))
+                member = np.zeros((len(y), len(sizes)))
+                owners = np.frombuffer(ro, np.int32).reshape(len(y), -1)
+                member[np.arange(len(y))[:, None], owners] = 1.0
+                gap = -2.0 * (x @ y.T) + (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+                gap = np.sqrt(np.maximum(gap, 0.0))
+                if at == other:
+                    np.fill_diagonal(gap, 0.0)
+                held = sums.setdefault(at, [lo, 0.0])
+                held[1] = held[1] + gap @ member
+            while sum(h[1].nbytes for h in sums.values()) > 1 << 26:
+                at, (lo, found) = sums.popitem()
+                yield pd.DataFrame({"left": [at], "lo": [lo], "sums": [found.tobytes()]})
+        for at, (lo, found) in sums.items():
+            yield pd.DataFrame({"left": [at], "lo": [lo], "sums": [found.tobytes()]})
+
+    def score(parts: pd.DataFrame) -> pd.DataFrame:
+        sums = sum(np.frombuffer(v).reshape(-1, len(sizes)) for v in parts["sums"])
+        owners = np.frombuffer(parts["lo"].iloc[0], np.int32).reshape(len(sums), -1)
+        rows, out = np.arange(len(sums)), []
+        for j in range(len(names)):
+            own, mine = owners[:, j], np.where(of == j, sums / sizes, np.inf)
+            a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+            mine[rows, own] = np.inf
+            b = mine.min(axis=1)
+            valid = (sizes[own] > 1) & np.isfinite(b)
+            b = np.where(valid, b, 0.0)
+            s = np.where(valid, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            out.append((names[j], s.sum(), len(s)))
+        return pd.DataFrame(out, columns=["assignment", "total", "n"])
+
+    partial = pairs.mapInPandas(add_up, "left int, lo binary, sums binary")
+    scored = partial.groupBy("left").applyInPandas(score, "assignment string, total double, n bigint")
+    return scored.groupBy("assignment").agg(
         F.sum("n").alias("n_rows"), F.try_divide(F.sum("total"), F.sum("n").cast("double")).alias("silhouette")
     )
 

@@ -13,7 +13,7 @@ from txnsift.operators import clustering, quality
 from txnsift.operators.features import fit_scaler
 from txnsift.operators.profile import group_profile
 from txnsift.operators.sampling import row_cap
-from txnsift.session import materialize, spread
+from txnsift.session import materialize
 
 TRIP_COLUMNS = [
     "log_fare", "log_distance", "trip_duration_min", "tip_pct", "hour_of_day", "passenger_count", "is_airport",
@@ -72,7 +72,7 @@ def run(
     """Drop incomplete rows, scale, sweep k, cluster all rows with the best k, profile and name."""
     quality.require_columns(df, [key, *features])
     # stored once, so that whatever produced the trips (often a join) runs a single time
-    stored = spread(materialize(df.select(key, *features), "trips"))
+    stored = materialize(df.select(key, *features), "trips")
     counts = quality.null_drop_counts(stored, not_null).first()
     if counts["rows_after"] < MIN_ROWS:
         raise ValueError(f"only {counts['rows_after']} rows remain after dropping nulls")

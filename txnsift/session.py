@@ -85,17 +85,6 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df`, a plain scan of stored files, with enough partitions to keep all cores busy.
-
-    Only a few small files are shuffled; a table of many files or splits is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(2 * cores)
-
-
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """`df` with a broadcast hint when it is proven to hold at most `max_rows` rows.
 
