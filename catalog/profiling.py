@@ -169,18 +169,24 @@ def _(spark, sf):
     return profile.approx_quantiles_by_label(events(spark, sf), "amount", "label")
 
 
-@query(
-    "a6_exact_quantiles",
-    f"""WITH {EV} SELECT label, count(*) AS n, round(quantile_cont(amount, 0.01), 2) AS p01,
+QUANTILES_SQL = f"""WITH {EV} SELECT label, count(*) AS n, round(quantile_cont(amount, 0.01), 2) AS p01,
     round(quantile_cont(amount, 0.1), 2) AS p10, round(quantile_cont(amount, 0.5), 2) AS p50,
     round(quantile_cont(amount, 0.9), 2) AS p90, round(quantile_cont(amount, 0.99), 2) AS p99,
     round(quantile_cont(amount, 0.999), 2) AS p999, round(avg(amount), 2) AS mean_amount,
-    round(stddev(amount), 2) AS std_amount, round(max(amount), 2) AS max_amount FROM ev GROUP BY label""",
-)
+    round(stddev(amount), 2) AS std_amount, round(max(amount), 2) AS max_amount FROM ev GROUP BY label"""
+
+
+@query("a6_exact_quantiles", QUANTILES_SQL)
 def _(spark, sf):
     return profile.exact_quantiles_by_label(events(spark, sf), "amount", "label")
 
 
+@query("a6_quantiles_from_narrow_brackets", QUANTILES_SQL)
+def _(spark, sf):
+    """Sketches so coarse that even the smaller class is bracketed in every part."""
+    return profile.exact_quantiles_by_label(events(spark, sf), "amount", "label", accuracy=25)
+
+
 @query(
     "a7_zero_amount",
     f"""WITH {LI} SELECT count(*) AS n_zero_amount, CAST(coalesce(sum(label), 0) AS BIGINT) AS n_positive,

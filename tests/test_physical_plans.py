@@ -30,13 +30,13 @@ def test_rows_are_never_moved_to_one_partition(spark, sf):
         assert "SinglePartition" not in plan_of(df)
 
 
-def test_a_global_rank_moves_only_zone_totals_to_one_partition(spark, sf):
+def test_a_global_rank_moves_only_range_totals_to_one_partition(spark, sf):
     events = bindings.events(spark, sf).select("txn_id", "amount")
     lines = plan_of(ranks.global_rank(events, "amount", "txn_id")).splitlines()
     single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
     assert len(single) == 1
-    # below it: the totals per zone, at most MAX_ZONES rows
-    assert "functions=[sum(rows" in lines[single[0] + 1]
+    # below it: one count per range
+    assert "HashAggregate(keys=[__range" in lines[single[0] + 1]
 
 
 def test_a_top_fraction_is_a_filter(spark, sf):
@@ -51,7 +51,8 @@ def final_plan(df):
 
 def test_quantiles_rank_only_bracketed_values_from_one_scan(spark, sf):
     plan = final_plan(ranks.exact_quantiles(bindings.lines(spark, sf), ["amount", "tax"], {"m": 0.5}, ["label"]))
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    # the other scans read the stored statistics
+    assert plan.count("ReadSchema: struct<l_") == 1 and "ReusedExchange" in plan
 
 
 def test_a_curve_reads_its_rows_once(spark, sf):
@@ -61,9 +62,24 @@ def test_a_curve_reads_its_rows_once(spark, sf):
     assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
 
 
-def test_a_global_rank_reads_its_rows_twice(spark, sf):
-    rows = bindings.lines(spark, sf).select("txn_id", "discount")
-    assert final_plan(ranks.global_rank(rows, "discount", "txn_id")).count("FileScan") == 2
+def scans_of_lines(spark, run):
+    """Scans of the order lines in the plans of all jobs of `run`."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList()
+    texts = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    return sum(text.count("ReadSchema: struct<l_") for text in texts)
+
+
+def test_ranks_and_statistics_are_stored_by_one_scan(spark, sf):
+    rows = bindings.lines(spark, sf).select("txn_id", "discount", "amount", "label")
+    # a rank is read back from its stored ranges; the sample that finds them is a scan of two columns
+    assert scans_of_lines(spark, lambda: ranks.global_rank(rows, "discount", "txn_id").collect()) == 1
+    # sketches, moments and counters together; the ranked values are the second and last scan (see above)
+    stats = lambda: ranks.column_stats(rows, ["discount", "amount"], ["label"], "column", [0.5], 10_000)
+    assert scans_of_lines(spark, stats) == 1
 
 
 def test_suite_reports_come_from_two_small_tables(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnsift.functions import day_index, hour_bucket, hour_fraction, log_amount, percent, threshold_flag
-from txnsift.operators.ranks import exact_quantiles, melt
+from txnsift.operators.ranks import melt, quantiles_and_stats
 from txnsift.session import null_safe_join
 
 #: Fixed quantile levels of the amount report and of the feature fingerprint.
@@ -112,20 +112,14 @@ def approx_quantiles_by_label(df: DataFrame, amount: str, label: str, accuracy:
 
 def exact_quantiles_by_label(df: DataFrame, amount: str, label: str, accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated amount quantiles per class with mean, sample stddev and maximum."""
-    quantiles = exact_quantiles(df, [amount], AMOUNT_LEVELS, by=[label], accuracy=accuracy).drop("feature", "n")
-    moments = df.groupBy(label).agg(
-        _count().alias("n"),
-        F.round(F.avg(amount), 2).alias("mean_amount"),
-        F.round(F.stddev(amount), 2).alias("std_amount"),
-        F.round(F.max(amount), 2).alias("max_amount"),
-    )
-    return null_safe_join(moments, quantiles, [label], "left").select(
+    found = quantiles_and_stats(df, [amount], AMOUNT_LEVELS, by=[label], accuracy=accuracy)
+    return found.select(
         label,
-        "n",
+        (F.col("n") + F.col("nulls")).alias("n"),
         *[F.round(name, 2).alias(name) for name in AMOUNT_LEVELS],
-        "mean_amount",
-        "std_amount",
-        "max_amount",
+        F.round("mean", 2).alias("mean_amount"),
+        F.round("std", 2).alias("std_amount"),
+        F.round("highest", 2).alias("max_amount"),
     )
 
 
@@ -311,23 +305,17 @@ def separation_from_moments(moments: DataFrame, label: str) -> DataFrame:
 
 def fingerprint(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
     """Per numeric column: moments, range, five exact quantiles, null, zero and negative counts."""
-    value = F.col("value")
-    moments = (
-        melt(df, columns, name="column")
-        .groupBy("column")
-        .agg(
-            F.avg(value).alias("mean"),
-            F.stddev(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.count_if(value.isNull()).alias("null_count"),
-            F.count_if(value == 0).alias("zero_count"),
-            F.count_if(value < 0).alias("negative_count"),
-        )
-    )
-    quantiles = exact_quantiles(df, columns, FINGERPRINT_LEVELS, accuracy=accuracy, name="column").drop("n")
-    return moments.join(quantiles, "column", "left").select(
-        "column", "mean", "std", "min", "max", *FINGERPRINT_LEVELS, "null_count", "zero_count", "negative_count"
+    found = quantiles_and_stats(df, columns, FINGERPRINT_LEVELS, accuracy=accuracy, name="column")
+    return found.select(
+        "column",
+        "mean",
+        "std",
+        F.col("lowest").alias("min"),
+        F.col("highest").alias("max"),
+        *FINGERPRINT_LEVELS,
+        F.col("nulls").alias("null_count"),
+        F.col("zeros").alias("zero_count"),
+        F.col("negatives").alias("negative_count"),
     )
 
 
@@ -345,17 +333,14 @@ def group_profile(
 ) -> DataFrame:
     """Per group: row count, share in percent, mean and exact median of every feature."""
     total = F.sum(count_name).over(Window.partitionBy())
-    means = df.groupBy(group).agg(
-        _count().alias(count_name), *[F.avg(F.col(f).cast("double")).alias(f"{f}_mean") for f in features]
-    )
-    medians = exact_quantiles(df, features, {"median": 0.5}, by=[group], accuracy=accuracy)
-    wide = medians.groupBy(group).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"{f}_median") for f in features]
+    found = quantiles_and_stats(df, features, {"median": 0.5}, by=[group], accuracy=accuracy)
+    wide = found.groupBy(group).agg(
+        F.max(F.col("n") + F.col("nulls")).alias(count_name),
+        *[F.max(F.when(F.col("feature") == f, F.col(s))).alias(f"{f}_{s}") for f in features for s in ("mean", "median")],
     )
     flat = [f"{f}_{s}" for f in features for s in ("mean", "median")]
     return (
-        null_safe_join(means, wide, [group], "left")
-        .withColumn("share_pct", percent(F.col(count_name), total, 2))
+        wide.withColumn("share_pct", percent(F.col(count_name), total, 2))
         .select(group, count_name, "share_pct", *flat)
     )
 

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnsift.session import null_safe_join, small_rows, small_side
+from txnsift.session import materialize, null_safe_join, small_rows
 
 MAX_ZONES = 4096
 #: Parts into which the values inside a bracket are cut, so that no task ranks a whole bracket.
@@ -91,49 +91,61 @@ def with_zones(df: DataFrame, columns: Sequence[str], zones: int | None = None)
 # -- selection of exact order statistics --------------------------------------------------------
 
 
-def _bracket_bounds(
+#: Parts of the rows that are sketched apart, so that no task merges the sketches of all rows.
+SKETCH_PARTS = 16
+
+
+def column_stats(
     df: DataFrame, columns: Sequence[str], by: Sequence[str], name: str, probs: Sequence[float], accuracy: int
 ) -> DataFrame:
-    """Per (by, column): n and, per probability, bounds certain to hold the order statistic there.
+    """Per (by, column), stored: n, nulls, zeros, negatives, mean, std, lowest, highest, and bounds per probability.
 
-    The sketch errs by at most n/accuracy ranks; bounds are taken 2/accuracy to either side. Columns
-    too short for that margin to exceed a few ranks use their whole range. The sketches are built
-    side by side per group: one group per column would exceed what object aggregation keeps hashed.
+    One scan. Rows are sketched in `SKETCH_PARTS` parts dealt by a hash. A sketch errs by at most n/accuracy ranks of
+    its part; its bounds are taken 2/accuracy to either side, so they hold the part's own order statistic, and the
+    lowest and highest bounds of all parts hold that of all rows. Parts too short for that margin to exceed a few
+    ranks give their whole range.
     """
     margin = 2.0 / accuracy
     points = sorted({min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)})
     position = {p: i for i, p in enumerate(points)}
     levels = F.array(*[F.lit(p) for p in points])
-    aggregates = []
+    aggregates, entries = [], []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
-        aggregates += [
-            F.count(value).alias(f"__n{i}"),
-            F.min(value).alias(f"__min{i}"),
-            F.max(value).alias(f"__max{i}"),
-            F.percentile_approx(value, levels, F.lit(accuracy)).alias(f"__sketch{i}"),
-        ]
-    entries = [
-        F.struct(
-            F.lit(c).alias(name),
-            F.col(f"__n{i}").alias("n"),
-            F.col(f"__min{i}").alias("lowest"),
-            F.col(f"__max{i}").alias("highest"),
-            F.col(f"__sketch{i}").alias("sketch"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    stats = df.groupBy(*by).agg(*aggregates).select(*by, F.inline(F.array(*entries))).where(F.col("n") > 0)
+        parts = {
+            "n": F.count(value), "nulls": F.count_if(value.isNull()), "zeros": F.count_if(value == 0),
+            "negatives": F.count_if(value < 0), "mean": F.avg(value), "squares": F.var_pop(value) * F.count(value),
+            "lowest": F.min(value), "highest": F.max(value), "sketch": F.percentile_approx(value, levels, F.lit(accuracy)),
+        }
+        aggregates += [column.alias(f"__{part}{i}") for part, column in parts.items()]
+        entries.append(F.struct(F.lit(c).alias(name), *[F.col(f"__{part}{i}").alias(part) for part in parts]))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(SKETCH_PARTS)).alias("__salt")
+    sketched = df.withColumn("__salt", salt).groupBy(*by, "__salt").agg(*aggregates).select(*by, F.inline(F.array(*entries)))
     wide = F.col("n") > 4 * accuracy
     bounds = []
     for i, p in enumerate(probs):
-        low = max(0.0, p - margin)
-        high = min(1.0, p + margin)
+        low, high = max(0.0, p - margin), min(1.0, p + margin)
         low_value = F.col("sketch")[position[low]] if low > 0 else F.col("lowest")
         high_value = F.col("sketch")[position[high]] if high < 1 else F.col("highest")
-        bounds.append(F.when(wide, low_value).otherwise(F.col("lowest")).alias(f"__lo{i}"))
-        bounds.append(F.when(wide, high_value).otherwise(F.col("highest")).alias(f"__hi{i}"))
-    return stats.select(*by, name, "n", *bounds)
+        bounds.append(F.min(F.when(wide, low_value).otherwise(F.col("lowest"))).alias(f"__lo{i}"))
+        bounds.append(F.max(F.when(wide, high_value).otherwise(F.col("highest"))).alias(f"__hi{i}"))
+    counts = [F.sum(c).alias(c) for c in ("n", "nulls", "zeros", "negatives")]
+    total = F.sum(F.col("n") * F.col("mean"))
+    mean = F.try_divide(total, F.sum("n").cast("double"))
+    moments = F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "squares")))  # one per part
+    stats = sketched.groupBy(*by, name).agg(
+        *counts, mean.alias("mean"), moments.alias("__moments"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), *bounds
+    )
+    squares = F.aggregate(
+        "__moments",
+        F.lit(0.0),
+        lambda total, m: total + m["squares"] + m["n"] * (m["mean"] - F.col("mean")) * (m["mean"] - F.col("mean")),
+    )
+    std = F.when(F.col("n") > 1, F.sqrt(squares / (F.col("n") - 1)))
+    named = [c for i in range(len(probs)) for c in (f"__lo{i}", f"__hi{i}")]
+    return materialize(
+        stats.select(*by, name, "n", "nulls", "zeros", "negatives", "mean", std.alias("std"), "lowest", "highest", *named), "column-stats"
+    )
 
 
 def _part(value: Column, low: Column, high: Column) -> Column:
@@ -155,7 +167,7 @@ def _ranked_candidates(long: DataFrame, keys: list[str], bounds: DataFrame, brac
     for i in range(brackets):
         part = F.when(value >= F.col(f"__lo{i}"), _part(value, F.col(f"__lo{i}"), F.col(f"__hi{i}"))).otherwise(part)
     inside = passed_low > passed_high
-    zoned = null_safe_join(long, small_side(bounds), keys).select(
+    zoned = null_safe_join(long, bounds, keys).select(
         *keys,
         "n",
         (
@@ -178,18 +190,33 @@ def exact_quantiles(
     accuracy: int = 10_000,
     name: str = "feature",
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: (by..., feature, n, <one column per entry of probs>).
+    """Exact linearly interpolated quantiles: (by..., feature, n, <one column per entry of probs>)."""
+    found = quantiles_and_stats(df, columns, probs, by, accuracy, name).where(F.col("n") > 0)
+    return found.select(*by, name, "n", *probs)
+
 
-    Two scans and no full sort: a sketch brackets each quantile, then only the values inside the
-    brackets (about 4/accuracy of the rows each) are shuffled and ranked; all others are counted.
+def quantiles_and_stats(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Mapping[str, float],
+    by: Sequence[str] = (),
+    accuracy: int = 10_000,
+    name: str = "feature",
+) -> DataFrame:
+    """The statistics of `column_stats` with exact quantiles (null where a column has no value).
+
+    Two scans and no full sort: a sketch brackets each quantile, then only the values inside the brackets (about
+    4/accuracy of the rows each) are shuffled and ranked; all others are counted. A rank outside its bracket would be
+    an error of the sketch, and fails the query.
     """
     keys = [*by, name]
+    levels = list(probs.values())
+    stats = column_stats(df, columns, by, name, levels, accuracy)
     # a generator instead of unpivot: its exchange is recognised as the same for both readers in
     # prefix_sums, so the rows are scanned once
     entries = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns]
     long = df.select(*by, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
-    levels = list(probs.values())
-    bounds = _bracket_bounds(df, columns, by, name, levels, accuracy)
+    bounds = stats.where(F.col("n") > 0).select(*keys, "n", *[c for c in stats.columns if c.startswith("__")])
     ranked = _ranked_candidates(long, keys, bounds, len(levels))
 
     def at(rank: Column) -> Column:
@@ -201,11 +228,13 @@ def exact_quantiles(
         picks += [at(F.floor(spot)).alias(f"__a{i}"), at(F.ceil(spot)).alias(f"__b{i}")]
     picked = ranked.groupBy(*keys, "n").agg(*picks)
     out = []
+    missed = F.raise_error(F.lit("no value found at the rank of a quantile")).cast("double")
     for i, (label, p) in enumerate(probs.items()):
         spot = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
+        low, high = F.coalesce(F.col(f"__a{i}"), missed), F.coalesce(F.col(f"__b{i}"), missed)
         out.append((low + (high - low) * (spot - F.floor(spot))).alias(label))
-    return picked.select(*keys, "n", *out)
+    plain = stats.select(*[c for c in stats.columns if not c.startswith("__")])
+    return null_safe_join(plain, picked.select(*keys, *out), keys, "left")
 
 
 def _sketched_brackets(wanted: DataFrame, group: str, probs: Mapping, sizes: Mapping, accuracy: int) -> dict:
@@ -348,26 +377,19 @@ def first_k_filter(
 def global_rank(df: DataFrame, order: str, key: str, descending: bool = True, name: str = "rank") -> DataFrame:
     """Add the 1-based position of every row by (order, key ascending), computed in parallel.
 
-    Rows need a value and a key.
-
-    Positions come from three sums: rows with an earlier value, rows of the same value in earlier
-    key zones, and the place inside the key zone; a value shared by many rows spreads over zones.
+    Rows need a value and a key; others are left out. Rows are dealt by ranges of (order, key), so a value that many rows
+    share is split by key, sorted in their range and stored once with their place in it; the rows of the ranges before,
+    one number per range, are added when the table is read back.
     """
-    value_zone, key_zone = f"{order}__zone", f"{key}__zone"
-    present = F.col(order).isNotNull() & F.col(value_zone).isNotNull() & F.col(key_zone).isNotNull()
-    # stated here, not inferred from the joins below, so that all readers share one exchange
-    zoned = with_zones(df, [order, key]).where(present)
-    cells = zoned.groupBy(value_zone, order, key_zone).agg(F.count(F.lit(1)).alias("rows"))
-    values = cells.groupBy(value_zone, order).agg(F.sum("rows").alias("rows")).withColumn("one", F.lit(1))
-    earlier = prefix_sums(values, ["one"], value_zone, order, ["rows"], descending).select(
-        order, (F.col("cum_rows") - F.col("rows")).alias("__earlier")
-    )
-    same = Window.partitionBy(order).orderBy(key_zone).rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(order, key_zone, F.coalesce(F.sum("rows").over(same), F.lit(0)).alias("__same"))
-    starts = starts.join(earlier, order)
-    place = F.row_number().over(Window.partitionBy(order, key_zone).orderBy(key))
-    return (
-        zoned.withColumn("__place", place)
-        .join(starts, [order, key_zone])
-        .select(*df.columns, (F.col("__earlier") + F.col("__same") + F.col("__place")).cast("bigint").alias(name))
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    present = df.where(F.col(order).isNotNull() & F.col(key).isNotNull())
+    ranged = present.repartitionByRange(zone_count(df), direction, F.col(key).asc()).sortWithinPartitions(direction, F.col(key).asc())
+    # the low 33 bits count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(ranged.select("*", F.spark_partition_id().alias("__range"), place.alias("__place")), "ranked")
+    counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy().orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("__range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(starts), "__range").select(
+        *df.columns, (F.col("__before") + F.col("__place") + 1).cast("bigint").alias(name)
     )
