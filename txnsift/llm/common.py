@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,16 @@ def ascii_lower(text: Column) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    """`fn` over the record batches of each partition. Batches are bounded in bytes (see `prepare`)."""
-    return df.mapInArrow(fn, schema)
+    """`fn` over the record batches of each partition. Batches are bounded in bytes (see `prepare`).
+
+    A worker that has ended its partition gives the memory of its batches back before it waits for the next.
+    """
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def extended(df: DataFrame, *fields: T.StructField) -> T.StructType:

@@ -318,9 +318,8 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """`docs` with every removal span cut out of the text; a text of which no word is left goes.
 
     Rows without a hit are unchanged. `n_chars`, where present, follows the new text. Cutting joins what stood
-    around a passage, so texts are searched again until nothing is hit.
+    around a passage, so what was cut is searched again until nothing is hit.
     """
-
     names = docs.columns
 
     def cut(batches):
@@ -334,12 +333,13 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             yield batch.select(names).filter(kept)
 
     marked = materialize(find_spans(docs, benchmark, text), "spans")
-    clean = marked.filter(F.size("__spans") == 0).select(docs.columns)
+    clean = marked.filter(F.size("__spans") == 0).select(names)
     dirty = marked.filter(F.size("__spans") > 0)
     while not dirty.isEmpty():
-        again = materialize(find_spans(arrow_map(dirty, cut, docs.schema), benchmark, text), "spans")
-        done = again.filter(F.size("__spans") == 0).select(docs.columns)
-        if n_chars in docs.columns:
+        shorter = materialize(arrow_map(dirty, cut, docs.schema), "cut")
+        again = materialize(find_spans(shorter, benchmark, text), "spans")
+        done = again.filter(F.size("__spans") == 0).select(names)
+        if n_chars in names:
             done = done.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
         clean, dirty = clean.unionByName(done), again.filter(F.size("__spans") > 0)
     return clean

@@ -40,12 +40,33 @@ from txnsift.session import materialize, scratch_path
 
 MAGIC = b"TKF1"
 _HEADER = struct.Struct("<4sI4Q")
-#: Words and pieces that a worker keeps with their ids before it starts afresh.
-CACHED = 200_000
+#: Words, and pieces, that a worker keeps with their ids in each of two generations.
+CACHED = 100_000
 
 # -- tokenizing
 
 
+class _Memory:
+    """What was computed last: a generation that fills up, and the one before, from which used entries return."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= CACHED:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer of the tokenizers library, with a memory for words.
 
@@ -63,8 +84,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Memory(), _Memory()
         mapped = [t[0] for t in (self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in ("!", "é"))]
         self.by_piece = mapped == [("!", (0, 1)), ("Ã©", (0, 1))]
         shown = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in map(chr, range(33, 256))}
@@ -73,14 +93,15 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
             text = piece if piece.isascii() else "".join([self.shown[c] for c in piece])
             found = array("H", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-            self.pieces[piece] = found
+            self.pieces.put(piece, found)
         return found
 
     def _word(self, word: bytes) -> bytes:
+        found = self.words.get(word)
+        if found is not None:
+            return found
         text = word.decode("utf-8", "surrogatepass")
         if self.by_piece and "<|" not in text and text.isprintable() and (text.isascii() or _latin1(text)):
             lowered = text.lower()
@@ -91,16 +112,18 @@ class WordTokenizer:
         else:
             found = array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[word] = found
+            self.words.put(word, found)
         return found
 
     def encode(self, text: str) -> bytes:
         """Packed 16-bit ids."""
         words = text.encode("utf-8", "surrogatepass").split()
-        known, ask = self.words.get, self._word
-        return b"".join([known(w) or ask(w) for w in words])
+        ask = self._word
+        parts = []
+        for at in range(0, len(words), 65536):  # the generation may change between slices
+            known = self.words.new.get
+            parts += [known(w) or ask(w) for w in words[at : at + 65536]]
+        return b"".join(parts)
 
 
 def _latin1(text: str) -> bool:
