@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnsift.functions import hour_fraction, log_amount, row_hash60
+from txnsift.plans.archetypes import TRIP_COLUMNS as TRIP_FEATURES  # noqa: F401
 
 V = [f"V{i}" for i in range(1, 65)]
 
@@ -124,10 +125,6 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-TRIP_FEATURES = [
-    "log_fare", "log_distance", "trip_duration_min", "tip_pct", "hour_of_day", "passenger_count", "is_airport",
-]
-
 TR = """tr AS (SELECT ln(l_extendedprice) AS log_fare, CASE WHEN l_tax > 0 THEN ln(l_quantity) END AS log_distance,
   abs(datediff_s / 86400.0) AS trip_duration_min, CASE WHEN l_discount > 0 THEN l_discount END AS tip_pct,
   CAST(isodow(l_shipdate) - 1 AS DOUBLE) AS hour_of_day, CAST(l_linenumber AS DOUBLE) AS passenger_count,

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.bindings import EV, V, VE, VL, VZ, events, lines, table, trips, vectors
+from catalog.bindings import EV, LINE_FEATURES, V, VE, VL, VZ, events, lines, table, trips, vectors
 from txnsift.operators import clustering, outliers, sampling, supervised
 from txnsift.operators.features import scaled_features
 from txnsift.operators.neighbours import local_outlier_factor
 from txnsift.plans import archetypes, scoring
 from txnsift.session import materialize
 
-LINE_FEATURES = ["quantity", "amount", "discount", "tax", "log_amount", "weekday"]
-
-
 def scaled_vectors(spark, sf):
     return scaled_features(vectors(spark, sf), V, ["vec_id", "label", "grp"])
 

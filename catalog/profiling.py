@@ -97,6 +97,7 @@ def _(spark, sf):
     return events(spark, sf).select("txn_id", inverted("amount").alias("score"))
 
 
+# The limits, their order and the names of the archetypes.
 LABEL_SQL = """CASE WHEN is_airport > 0.3 THEN 'Airport runs'
   WHEN log_fare > 3.2 AND trip_duration_min > 30 THEN 'Long premium rides'
   WHEN trip_duration_min <= 10 AND log_distance < 0.5 THEN 'Short urban hops'

@@ -137,7 +137,11 @@ def _(spark, sf):
     )
 
 
-@query("s9_row_count", "SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns FROM lineitem")
+@query(
+    "s9_row_count",
+    """SELECT count(*) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns
+    WHERE table_name = 'lineitem') AS n_columns FROM lineitem""",
+)
 def _(spark, sf):
     source = table(spark, sf, "lineitem")
     return source.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(source.columns)))

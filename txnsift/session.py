@@ -68,7 +68,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if _LOCAL_SCRATCH is None:
             _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="txnsift-")
         base = _LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/txnsift/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/txnsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; for its owner, once all results are written."""
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
