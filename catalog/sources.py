@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLES, query
 from catalog.bindings import EF, EV, LI, event_features, events, lines, row_hash60_sql, table
 from catalog.profiling import HOUR_SQL
 from txnsift.operators import features, profile, quality
@@ -197,3 +197,40 @@ def _(spark, sf):
         one = spark.read.parquet(path).agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"))
         counts = one if counts is None else counts.unionByName(one)
     return counts
+
+
+#: Reports of the suite whose every value is compared: key column and metrics.
+STACKED = {
+    "class_balance": ("a1_class_balance", "label", ["n_rows", "pct"]),
+    "rate_by_hour": ("a3_rate_by_hour", "hour_of_day", ["n_transactions", "n_positive", "positive_rate_pct"]),
+    "rate_by_day": ("a4_rate_by_day", "day", ["n_transactions", "n_positive", "positive_rate_pct"]),
+    "amount_quantiles": (
+        "a6_exact_quantiles", "label", ["n", "p01", "p10", "p50", "p90", "p99", "p999", "mean_amount", "std_amount", "max_amount"],
+    ),
+}
+
+
+def _stacked_sql() -> str:
+    parts = []
+    for report, (name, key, metrics) in STACKED.items():
+        values = ", ".join(f"CAST({m} AS DOUBLE)" for m in metrics)
+        parts.append(
+            f"SELECT '{report}' AS report, CAST({key} AS VARCHAR) AS key, unnest({metrics}) AS metric, unnest([{values}]) AS value "
+            f"FROM ({ORACLES[name]})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("s12_report_values", _stacked_sql())
+def _(spark, sf):
+    """The stored reports of the suite as (report, key, metric, value)."""
+    reports = suite.suite(event_features(spark, sf), "time_s", "amount", "label", ["amount", "log_amount", "hour_of_day"])
+    paths = suite.run_suite({name: reports[name] for name in STACKED}, scratch_path(spark, "suite"))
+    out = None
+    for report, (_, key, metrics) in STACKED.items():
+        entries = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        rows = spark.read.parquet(paths[report]).select(
+            F.lit(report).alias("report"), F.col(key).cast("string").alias("key"), F.inline(F.array(*entries))
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out

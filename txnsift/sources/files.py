@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnsift.session import materialize, small_side
+from txnsift.session import materialize
 
 
 def transaction_schema(n_components: int = 28) -> T.StructType:
@@ -86,6 +86,6 @@ def index_rows(df: DataFrame, name: str = "txn_id") -> DataFrame:
     sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     # one row per input partition
     offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__from"))
-    return numbered.join(small_side(offsets, 2_000_000), "__part").select(
+    return numbered.join(offsets, "__part").select(
         (F.col("__at") + F.col("__from")).alias(name), *df.columns
     )
