@@ -16,14 +16,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of a record batch that goes to Python. Rows of long texts make the default of 64 MB costly on both sides.
-BATCH_BYTES = "4m"
+#: Bytes of a record batch that goes to Python, and rows that a scan decodes at once. Rows of long texts make the
+#: defaults (64 MB, 4,096 rows) costly in memory.
+BATCH_BYTES, SCAN_ROWS = "4m", "1024"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the package to the workers and bounds the record batches of the session."""
+    """Ships the package to the workers and bounds the batches of the session."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

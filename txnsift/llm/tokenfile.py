@@ -42,6 +42,8 @@ MAGIC = b"TKF1"
 _HEADER = struct.Struct("<4sI4Q")
 #: Words, and pieces, that a worker keeps with their ids in each of two generations.
 CACHED = 100_000
+#: Values that are coded at once, a multiple of 8.
+SLICE = 1 << 18
 
 # -- tokenizing
 
@@ -125,6 +127,10 @@ class WordTokenizer:
             parts += [known(w) or ask(w) for w in words[at : at + 65536]]
         return b"".join(parts)
 
+    def forget(self) -> None:
+        """Give the memory of words back, before the worker waits or does other work."""
+        self.words, self.pieces = _Memory(), _Memory()
+
 
 def _latin1(text: str) -> bool:
     try:
@@ -155,8 +161,20 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
     by_rank = distinct[np.argsort(-counts[distinct], kind="stable")]
     rank_of = np.zeros(len(counts), np.uint32)
     rank_of[by_rank] = np.arange(len(distinct), dtype=np.uint32)
-    ranks = rank_of[ids]
     bits = 1 if len(distinct) <= 1 << 16 else 2
+    packed = [_pack(rank_of[ids[at : at + SLICE]], bits) for at in range(0, len(ids), SLICE)]
+    control, data = b"".join(p[0] for p in packed), b"".join(p[1] for p in packed)
+    nulls = np.array([d is None for d in doc_ids], np.uint8)
+    known = np.array([0 if d is None else d for d in doc_ids], "<i8")
+    head = _HEADER.pack(MAGIC, bits, len(doc_ids), len(ids), len(distinct), len(data))
+    return b"".join(
+        [head, by_rank.astype("<u4").tobytes(), known.tobytes(), nulls.tobytes(),
+         np.asarray(lengths, "<u8").tobytes(), control, data]
+    )
+
+
+def _pack(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Control and data bytes of up to `SLICE` values."""
     sizes = np.ones(len(ranks), np.uint8)
     for limit in (1 << 8, 1 << 16, 1 << 24):
         sizes += ranks >= limit
@@ -167,18 +185,12 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
     for i in range(per):
         control |= padded[i::per] << (bits * i)
     ends = np.cumsum(sizes, dtype=np.int64)
-    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    data = np.zeros(int(ends[-1]), np.uint8)
     starts = ends - sizes
-    for i in range(int(sizes.max(initial=0))):
+    for i in range(int(sizes.max())):
         have = sizes > i
         data[starts[have] + i] = (ranks[have] >> (8 * i)) & 0xFF
-    nulls = np.array([d is None for d in doc_ids], np.uint8)
-    known = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    head = _HEADER.pack(MAGIC, bits, len(doc_ids), len(ids), len(distinct), len(data))
-    return b"".join(
-        [head, by_rank.astype("<u4").tobytes(), known.tobytes(), nulls.tobytes(),
-         np.asarray(lengths, "<u8").tobytes(), control.tobytes(), data.tobytes()]
-    )
+    return control.tobytes(), data.tobytes()
 
 
 def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -196,14 +208,19 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
     by_rank, known, nulls, lengths = take("<u4", n_ids), take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs)
     control = take("u1", -(-n_tokens // (8 // bits)))
-    data = np.concatenate([take("u1", n_data), np.zeros(3, np.uint8)])
-    sizes = _length_table(bits)[control].reshape(-1)[:n_tokens]
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
-    ranks = data[starts].astype(np.uint32)
-    for i in range(1, int(sizes.max(initial=0))):
-        have = np.flatnonzero(sizes > i)
-        ranks[have] |= data[starts[have] + i].astype(np.uint32) << np.uint32(8 * i)
-    return [None if x else int(d) for d, x in zip(known, nulls, strict=True)], lengths, by_rank[ranks]
+    data = take("u1", n_data)
+    table, ids, at = _length_table(bits), np.empty(n_tokens, "<u4"), 0
+    for first in range(0, n_tokens, SLICE):
+        n = min(SLICE, n_tokens - first)
+        sizes = table[control[first * bits // 8 : -(-(first + n) * bits // 8)]].reshape(-1)[:n]
+        starts = at + np.cumsum(sizes, dtype=np.int64) - sizes
+        ranks = data[starts].astype(np.uint32)
+        for i in range(1, int(sizes.max())):
+            have = np.flatnonzero(sizes > i)
+            ranks[have] |= data[starts[have] + i].astype(np.uint32) << np.uint32(8 * i)
+        ids[first : first + n] = by_rank[ranks]
+        at += int(sizes.sum())
+    return [None if x else int(d) for d, x in zip(known, nulls, strict=True)], lengths, ids
 
 
 # -- files of a corpus
@@ -259,6 +276,7 @@ def write_tokens(
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(mix, pa.int64()), pa.array(slot, pa.int32()), pa.array(packed, pa.binary())], ["id", "mix", "slot", "ids"]
             )
+        _tokenizer(tokenizer_path).forget()
 
     def write(batches):
         system, base = _filesystem(folder)
@@ -311,10 +329,9 @@ def read_tokens(manifest: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                 system, path = _filesystem(file)
                 with system.open_input_file(path) as source:
                     doc_ids, lengths, ids = decode_file(source.read())
-                wide = ids.astype("<u4")
                 ends = np.cumsum(lengths.astype(np.int64))
                 starts = ends - lengths.astype(np.int64)
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(starts + start), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
                     [doc_id, "start", "n_tokens", "ids_crc32"],
