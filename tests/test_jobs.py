@@ -47,8 +47,25 @@ def test_validation_keeps_its_record(spark, sf):
     lineage = runs.read_runs(spark, root, "lineage").first()
     assert lineage["row_count"] == 1000 and lineage["file_size_bytes"] > 0 and lineage["timestamp_utc"]
     assert lineage["columns"] == events.columns and lineage["versions"] == {"spark": spark.version}
-    again = validate(events, root, "r2", "events", ["amount"], events.columns, "label", "amount")
+    again = validate(events, root, "r2", "events", ["amount"], events.columns, "label", "amount", 1000, (1, 999))
     assert again.reused and again.verdict.first()["verdict"] == "PASS"
+    stricter = validate(events, root, "r3", "events", ["amount"], events.columns, "label", "amount", 999, (1, 999))
+    assert not stricter.reused and stricter.verdict.first()["verdict"] == "WARN"
+
+
+def test_a_delivery_gets_its_own_verdict(spark, sf):
+    """A dirty file, a clean one, both again: each under its own name and record."""
+    events, root = bindings.events(spark, sf), scratch_path(spark, "v")
+    dirty = events.withColumn("amount", -F.col("amount"))
+    found = []
+    for run_id, name, rows in (("r1", "f", dirty), ("r2", "g", events), ("r3", "g", events), ("r4", "f", dirty), ("r5", "f", events)):
+        report = validate(rows, root, run_id, name, ["amount"], events.columns, "label", "amount")
+        checks = {r["check"] for r in report.issues.collect()} - {"DRIFT FLAGGED"}
+        found.append((report.verdict.first()["verdict"] == "FAIL", report.reused, checks))
+    assert found == [
+        (True, False, {"NEGATIVE AMOUNT"}), (False, False, set()), (False, True, set()), (True, True, {"NEGATIVE AMOUNT"}),
+        (False, False, {"DIGEST REWRITE"}),
+    ]
 
 
 def test_scores_and_capture_on_the_same_rows(spark, sf):
