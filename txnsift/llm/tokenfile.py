@@ -41,7 +41,7 @@ from txnsift.session import materialize, scratch_path
 MAGIC = b"TKF1"
 _HEADER = struct.Struct("<4sI4Q")
 #: Words, and pieces, that a worker keeps with their ids in each of two generations.
-CACHED = 100_000
+CACHED = 200_000
 #: Values that are coded at once, a multiple of 8.
 SLICE = 1 << 18
 
