@@ -177,6 +177,21 @@ def near_duplicates(
     )
 
 
+def first_rows(rows: DataFrame, group: str) -> DataFrame:
+    """Of each group of rows (id, text_hash, n): the smallest id (no id comes last), then the smaller hash, as `first`."""
+    return rows.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")).alias("first"))
+
+
+def keep_rows(docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that `firsts` names; rows that repeat both id and text are one."""
+    kept = firsts.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.n").alias("__n"))
+    kept = materialize(kept, "kept")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    found = docs.join(kept, same)
+    single = found.filter("__n = 1").select(docs.columns)
+    return single.unionByName(found.filter("__n > 1").dropDuplicates([doc_id, "__hash"]).select(docs.columns))
+
+
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, blocks: int = BLOCKS, dense: int = DENSE
 ) -> DataFrame:
@@ -185,12 +200,4 @@ def drop_near_duplicates(
     Rows that repeat both id and text are one. Only ids and hashes are grouped; whole rows are joined once.
     """
     rows = _labelled(docs, doc_id, text, distance, blocks, dense).groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")).alias("first")
-    kept = rows.groupBy("root").agg(first).select(
-        F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.n").alias("__n")
-    )
-    kept = materialize(kept, "kept")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    found = docs.join(kept, same)
-    single = found.filter("__n = 1").select(docs.columns)
-    return single.unionByName(found.filter("__n > 1").dropDuplicates([doc_id, "__hash"]).select(docs.columns))
+    return keep_rows(docs, first_rows(rows, "root"), doc_id, text)
