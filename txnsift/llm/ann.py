@@ -7,9 +7,10 @@ stays below sqrt((1 - s^2) / s^2) * EPSILON / sqrt(bits - 1) but for a vanishing
 vectors with the highest estimates are computed first; their k-th exact cosine is a bound, and every vector
 whose estimate plus error reaches it is reranked exactly on the original vectors.
 
-Plan: rows that equal each other in their vector tie for every query, so at most k + 1 of them, those of the smallest
-ids, can be in an answer; the rest leave before the index (a partial limit runs ahead of the shuffle, so one very
-common vector is no hot group). The index is a stored table of blocks of about `BLOCK` rows. Queries come in blocks
+Plan: rows that equal each other in their vector tie for every query, so only those of the k + 1 smallest distinct ids can
+be in an answer (one id may be the query's own), up to k rows of each; the rest leave before the index. Rows that repeat
+id and vector are counted first and ids ranked after, both with partial steps ahead of the shuffle, so one very common
+vector is no hot group. The index is a stored table of blocks of about `BLOCK` rows. Queries come in blocks
 as well, each of which meets each block of the index in one task step of bounded memory; a step returns k
 rows per query, and the best k of all steps are the answer.
 
@@ -146,7 +147,9 @@ def nearest(
     rows = rows.filter(F.size("vector") == dim)
     asked = rows.filter("asks").select("id", "vector").distinct()
     same = Window.partitionBy("vector").orderBy("id")
-    kept = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("id", "vector")
+    copies = rows.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    kept = copies.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1)
+    kept = kept.select("id", "vector", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("id", "vector")
     index, n_blocks = build_index(materialize(kept, "vectors"), dim, bits, block)
     asked = materialize(asked, "queries")
     n_groups = max(1, -(-asked.count() // query_block))
