@@ -11,7 +11,8 @@ other valid classes nest below the root element on their path. A template says
 * which text slots are the template's own: on every page (at least `TEXT_PAGES`) with the same text.
 
 Extraction walks a page once more. What is in head, menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments (by element name, role, class or id) is closed. Open text inside article or main elements is
+scripts, styles and comments (by element name, role, class or id) is closed. Class and id words close neither main nor
+articles; an article below an element that they close counts where no other article has text and the rest has less. Open text inside article or main elements is
 the result, else that inside the template's element, else all open text; template text goes, unless it is most of it. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is changed.
 
@@ -82,40 +83,41 @@ def _hash(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _attributes(name: str, rest: str) -> tuple[str, bool]:
-    """The label of an element (name and class words) and whether it is closed by its attributes."""
+def _attributes(name: str, rest: str) -> tuple[str, bool, bool]:
+    """The label of an element (name and class words), whether it is closed by a class or id, and by other attributes."""
     if not rest or rest.isspace():
-        return name, False
-    label, closed = name, False
+        return name, False, False
+    label, worded, closed = name, False, False
     for key, *values in _ATTRIBUTE.findall(rest):
         value, key = "".join(values).lower(), key.lower()
         words = _WORDS.findall(value)
         if key in ("class", "id"):
-            closed = closed or not _CLOSED_WORDS.isdisjoint(words)
+            worded = worded or not _CLOSED_WORDS.isdisjoint(words)
             if key == "class" and words:
                 label += "." + ".".join(sorted(set(words)))
         elif key == "role":
             closed = closed or not _CLOSED_ROLES.isdisjoint(words)
         else:
             closed = closed or key == "hidden" or value == "true"
-    return label, closed
+    return label, worded, closed
 
 
 class _Open:
     """An open element: its name, token of its path, depth, and what it means for text inside it."""
 
-    __slots__ = ("closed", "depth", "main", "name", "token")
+    __slots__ = ("closed", "depth", "hard", "main", "name", "token")
 
-    def __init__(self, name: str, token: int, depth: int, closed: bool, main: bool):
-        self.name, self.token, self.depth, self.closed, self.main = name, token, depth, closed, main
+    def __init__(self, name: str, token: int, depth: int, closed: bool, main: int, hard: bool = False):
+        self.name, self.token, self.depth, self.closed, self.main, self.hard = name, token, depth, closed, main, hard
 
 
 def walk(page: str, tokens: dict[tuple[int, str], int]):
     """Events of a page in order: ("element", token, depth) and, for open text, ("text", path of tokens, text, main).
 
+    main is 2 inside an article or main element, 1 if a class or id word closes what encloses that, else 0.
     `tokens` remembers the numbers of paths between pages.
     """
-    root = _Open("", 0, 0, False, False)
+    root = _Open("", 0, 0, False, 0)
     stack, parts, at = [root], [], 0
     opened: dict[str, int] = {}
 
@@ -165,9 +167,16 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
         if name in _ENDS_SAME:
             end(_ENDS_SAME[name], frozenset(["ul", "ol", "dl", "table", "select"]))
         top = stack[-1]
-        label, closed = _attributes(name, tag[3])
-        closed = closed and name not in ("html", "body")
-        closed = closed or top.closed or name in _CLOSED or (name == "header" and not top.main)
+        label, worded, hard = _attributes(name, tag[3])
+        hard = (hard and name not in ("html", "body")) or top.hard or name in _CLOSED or (name == "header" and not top.main)
+        # words close neither html, body and main nor articles, but for articles inside another one (comments)
+        worded = worded and name not in ("html", "body", "main") and not (name == "article" and not opened.get("article"))
+        main = top.main
+        if name in _MAIN and not hard and not worded:
+            main = main or (1 if top.closed else 2)
+            closed = False
+        else:
+            closed = hard or worded or top.closed
         if block:
             parent = top.token
             token = tokens.get((parent, label))
@@ -183,11 +192,11 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
                 parts.append(html.unescape(page[at:stop]))
             at = stop
             if close:
-                push(_Open(name, token, top.depth + block, closed, top.main))
+                push(_Open(name, token, top.depth + block, closed, top.main, hard))
             else:
                 break
         elif name not in _VOID:
-            push(_Open(name, token, top.depth + block, closed, (top.main or name in _MAIN) and not closed))
+            push(_Open(name, token, top.depth + block, closed, 0 if closed else main, hard))
     yield from flush()
 
 
@@ -307,18 +316,22 @@ def main_text(page: str | None, main: int | None, texts: frozenset, tokens: dict
 
     Where template text is more than half of the main text, the pages of the host are copies of each other and it stays.
     """
-    inside, below, anywhere, nth = [], [], [], {}
+    inside, enclosed, below, anywhere, nth = [], [], [], [], {}
     for event in walk(page or "", tokens):
         if event[0] == "element":
             continue
         _, path, text, in_main = event
         found = text, _slot(path[-1], nth) in texts
+        if in_main == 1:
+            enclosed.append(found)
+            continue
         anywhere.append(found)
         if in_main:
             inside.append(found)
         if main is not None and main in path:
             below.append(found)
-    chosen = inside or below or anywhere
+    rest = below or anywhere
+    chosen = inside or (enclosed if sum(len(t) for t, _ in enclosed) > sum(len(t) for t, _ in rest) else rest)
     if 2 * sum(len(t) for t, framed in chosen if framed) <= sum(len(t) for t, _ in chosen):
         chosen = [c for c in chosen if not c[1]]
     return " ".join(t for t, _ in chosen)
