@@ -16,6 +16,9 @@ articles; an article below an element that they close counts where no other arti
 the result, else that inside the template's element, else all open text; template text goes, unless it is most of it. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is changed.
 
+Templates are found for all pages of a host and for each of its layouts (pages of the same elements down to `LAYOUT_DEPTH`), so
+that an odd page does not undo that of the others; pages without elements take no part.
+
 Hosts of fewer pages have no template and rely on the page alone. Null and empty pages, and pages without text, give
 an empty text; null urls share the empty host. Repeated rows are extracted each (they count as pages). Broken markup is
 read as far as it goes. An empty table gives an empty result. Other columns are not read.
@@ -37,6 +40,8 @@ from txnsift.session import materialize
 
 #: Tokens and pages of a valid class; pages on which a text of the template has to stand; share of the text.
 CLASS_TOKENS, CLASS_PAGES, TEXT_PAGES, MAIN_SHARE = 3, 4, 20, 0.6
+#: Depth of the elements that tell layouts apart: html, body and what lies directly in it.
+LAYOUT_DEPTH = 3
 #: Values (rows and template slots) up to which the templates of all hosts are broadcast.
 BROADCAST_VALUES = 500_000
 #: Pieces into which each host is split where templates are joined.
@@ -200,20 +205,27 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
     yield from flush()
 
 
-def _page_counts(page: str, tokens: dict) -> tuple[dict, dict]:
-    """Of one page: elements {token: [count, depth, open chars below]} and slots {slot: text hash} of open text."""
-    elements, slots, nth = {0: [1, 0, 0]}, {}, {}
+def _layout(shallow: set[int]) -> int:
+    """The number of the layout of a page: of its distinct elements down to `LAYOUT_DEPTH`. 0 is all pages of a host."""
+    return _hash(",".join(map(str, sorted(shallow)))) or 1
+
+
+def _page_counts(page: str, tokens: dict) -> tuple[dict, dict, int]:
+    """Of one page: elements {token: [count, depth, open chars below]}, slots {slot: text hash} of open text, layout."""
+    elements, slots, nth, shallow = {0: [1, 0, 0]}, {}, {}, set()
     for event in walk(page, tokens):
         if event[0] == "element":
             found = elements.setdefault(event[1], [0, event[2], 0])
             found[0] += 1
+            if event[2] <= LAYOUT_DEPTH:
+                shallow.add(event[1])
         else:
             path, text = event[1], event[2]
             for token in set(path):
                 if token in elements:
                     elements[token][2] += len(text)
             slots[_slot(path[-1], nth)] = _hash(text)
-    return elements, slots
+    return elements, slots, _layout(shallow)
 
 
 def _slot(token: int, nth: dict[int, int]) -> int:
@@ -222,13 +234,13 @@ def _slot(token: int, nth: dict[int, int]) -> int:
 
 
 _COUNTS = (
-    "host string, slot boolean, token bigint, pages bigint, low bigint, high bigint, total bigint, depth bigint, "
+    "host string, layout bigint, slot boolean, token bigint, pages bigint, low bigint, high bigint, total bigint, depth bigint, "
     "chars bigint, least bigint, most bigint"
 )
 
 
 def _count(batches):
-    """Sums over the pages of a partition, one row per host and token."""
+    """Sums over the pages of a partition, one row per host, layout (and 0 for all) and token. Pages without elements leave."""
     tokens: dict = {}
     sums: dict[tuple, list] = {}
 
@@ -242,13 +254,17 @@ def _count(batches):
         for host, page_id, page in zip(hosts, batch.column(1).to_pylist(), pages, strict=True):
             text = page.as_py()
             own = xxhash.xxh64_intdigest(f"{page_id}/{len(text)}")
-            elements, slots = _page_counts(text, tokens)
+            elements, slots, layout = _page_counts(text, tokens)
+            if len(elements) == 1:
+                continue
             for token, (n, depth, chars) in elements.items():
                 mark = xxhash.xxh64_intdigest(f"{own}/{n}")
-                _add(sums, (host, False, token), 1, mark & 0x7FFFFFFF, mark >> 33, n, depth, chars, 0, 0)
+                for group in (0, layout):
+                    _add(sums, (host, group, False, token), 1, mark & 0x7FFFFFFF, mark >> 33, n, depth, chars, 0, 0)
+            mark = xxhash.xxh64_intdigest(f"{own}/1")
             for slot, value in slots.items():
-                mark = xxhash.xxh64_intdigest(f"{own}/1")
-                _add(sums, (host, True, slot), 1, mark & 0x7FFFFFFF, mark >> 33, 1, 0, 0, value, value)
+                for group in (0, layout):
+                    _add(sums, (host, group, True, slot), 1, mark & 0x7FFFFFFF, mark >> 33, 1, 0, 0, value, value)
             if len(tokens) > 100_000:
                 tokens.clear()
             if len(sums) > 200_000:
@@ -272,52 +288,60 @@ def _add(sums: dict, key: tuple, pages, low, high, total, depth, chars, least, m
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, main, texts): the element that holds the text, or null, and the slots of template text.
+    """(host, templates): of each layout and of all pages (0) the element that holds the text and the slots of template text.
 
-    `pages` has host, page_id and html (not null). Hosts without a valid root class have no row.
+    `pages` has host, page_id and html (not null). Hosts and layouts without a valid root class have none.
     """
     counted = arrow_map(pages.select("host", "page_id", "html"), _count, _COUNTS)
-    sums = counted.groupBy("host", "slot", "token").agg(
+    sums = counted.groupBy("host", "layout", "slot", "token").agg(
         *[F.sum(c).alias(c) for c in ("pages", "low", "high", "total", "chars")],
         F.max("depth").alias("depth"),
         F.min("least").alias("least"),
         F.max("most").alias("most"),
     )
-    sums = materialize(sums, "tokens")
+    # layouts of too few pages have no class
+    sums = materialize(sums.filter(F.col("pages") >= CLASS_PAGES), "tokens")
     # token 0 is the page itself: its vector is the root class
     roots = sums.filter("not slot and token = 0").select(
-        "host", *[F.col(c).alias(f"root_{c}") for c in ("pages", "low", "high", "total", "chars")]
+        "host", "layout", *[F.col(c).alias(f"root_{c}") for c in ("pages", "low", "high", "total", "chars")]
     )
-    joined = sums.join(roots, "host")
+    joined = sums.join(roots, ["host", "layout"])
     vector = ("pages", "low", "high", "total")
     in_root = F.lit(True)
     for c in vector:
         in_root = in_root & (F.col(c) == F.col(f"root_{c}"))
     classes = joined.filter(~F.col("slot") & (F.col("pages") >= CLASS_PAGES)).withColumn("in_root", in_root)
-    valid = classes.groupBy("host", *vector).agg(
+    valid = classes.groupBy("host", "layout", *vector).agg(
         F.count(F.lit(1)).alias("n_tokens"),
         # nested classes hold text of their own below the root element that encloses them
         F.max(F.struct((F.col("chars") >= MAIN_SHARE * F.col("root_chars")).alias("most"), "depth", "chars", "token")).alias("top"),
         F.first("in_root").alias("in_root"),
     )
     main = valid.filter((F.col("n_tokens") >= CLASS_TOKENS) & F.col("in_root") & F.col("top.most")).select(
-        "host", F.col("top.token").alias("main")
+        "host", "layout", F.col("top.token").alias("main")
     )
     texts = (
         joined.filter(F.col("slot") & (F.col("least") == F.col("most")) & (F.col("pages") >= TEXT_PAGES) & in_root)
-        .groupBy("host")
-        .agg(F.collect_list("token").alias("texts"))  # no more than the shortest page of the host has
+        .groupBy("host", "layout")
+        .agg(F.collect_list("token").alias("texts"))  # no more than the shortest page of the layout has
     )
-    return materialize(main.join(texts, "host", "left"), "templates")
+    own = main.join(texts, ["host", "layout"], "left").withColumn("texts", F.coalesce("texts", F.expr("cast(array() as array<bigint>)")))
+    # at most one layout for CLASS_PAGES pages
+    return materialize(own.groupBy("host").agg(F.collect_list(F.struct("layout", "main", "texts")).alias("templates")), "templates")
 
 
-def main_text(page: str | None, main: int | None, texts: frozenset, tokens: dict) -> str:
-    """The text of one page under the template of its host.
+def main_text(page: str | None, main: int | None, texts: frozenset, tokens: dict, layouts: dict | None = None) -> str:
+    """The text of one page under the template of its host and, by `layouts` {number: (main, texts)}, of its layout.
 
     Where template text is more than half of the main text, the pages of the host are copies of each other and it stays.
     """
     inside, enclosed, below, anywhere, nth = [], [], [], [], {}
-    for event in walk(page or "", tokens):
+    events = list(walk(page or "", tokens))
+    if layouts:
+        own = layouts.get(_layout({e[1] for e in events if e[0] == "element" and e[2] <= LAYOUT_DEPTH}))
+        if own:
+            main, texts = own[0], texts | own[1]
+    for event in events:
         if event[0] == "element":
             continue
         _, path, text, in_main = event
@@ -346,7 +370,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     templates = deduce_templates(slim)
-    size = templates.agg(F.sum(F.lit(1) + F.coalesce(F.size("texts"), F.lit(0)))).first()[0] or 0
+    size = templates.agg(F.sum(F.aggregate("templates", F.lit(1), lambda n, t: n + 2 + F.size(t["texts"])))).first()[0] or 0
     if size <= BROADCAST_VALUES:
         found = slim.join(F.broadcast(templates), "host", "left")
     else:
@@ -356,11 +380,18 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     def extract(batches):
         tokens: dict = {}
+        known: dict[str, dict] = {}
         for batch in batches:
-            ids, urls, pages_, mains, texts = (batch.column(i) for i in range(5))
+            ids, urls, pages_, hosts, templates = (batch.column(i) for i in range(5))
             out = []
-            for page, main, own in zip(pages_, mains.to_pylist(), texts.to_pylist(), strict=True):
-                out.append(main_text(page.as_py(), main, frozenset(own or ()), tokens))
+            for page, host, own in zip(pages_, hosts.to_pylist(), templates, strict=True):
+                layouts = known.get(host)
+                if layouts is None:
+                    if len(known) > 100:
+                        known.clear()
+                    layouts = known[host] = {t["layout"]: (t["main"], frozenset(t["texts"])) for t in own.as_py() or ()}
+                main, texts = layouts.get(0, (None, frozenset()))
+                out.append(main_text(page.as_py(), main, texts, tokens, layouts))
                 if len(tokens) > 100_000:
                     tokens.clear()
             sizes = pa.array([len(t) for t in out], pa.int64())
@@ -368,4 +399,4 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     id_type = pages.schema[page_id].dataType.simpleString()
     schema = f"`{page_id}` {id_type}, `{url}` string, text string, n_chars bigint"
-    return arrow_map(found.select("page_id", "url", "html", "main", "texts"), extract, schema)
+    return arrow_map(found.select("page_id", "url", "html", "host", "templates"), extract, schema)
