@@ -7,7 +7,8 @@ most one key (the end of its host and the start of its path), so the keys of a c
 For each verdict a cascade is built over that universe: level 0 encodes the listed keys, level 1 the other keys that
 level 0 lets through, level 2 the listed keys that level 1 lets through, and so on until a level lets nothing wrong
 through. Membership of every key that occurs is then exact, and judging rows needs no join and no shuffle. Only keys
-that pass level 0 are ever shuffled.
+that pass level 0 are ever shuffled. Where level 0 of a verdict would exceed `MAX_FILTER_BITS`, rules are joined instead, once for
+each length, with the same results.
 
 Nulls and urls without `://` have an empty host and path and no rule. An empty rule table leaves every url to
 the default verdict. A rule listed under both verdicts allows. Rows that repeat are judged alike; other columns
