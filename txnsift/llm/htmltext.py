@@ -5,7 +5,7 @@ slots: the n-th text of a path. Over the pages of one host the occurrence vector
 on each page) is kept as a sum of hashes of (page, count), so equal vectors have equal sums and any number of
 pages is gathered by one grouped sum. Tokens of one vector are an equivalence class. A class is valid when it has
 `CLASS_TOKENS` tokens and `CLASS_PAGES` pages. The class that is once on every page is the root of the template;
-other valid classes nest below the root element on their path. A template says
+other classes are not used. A template says
 
 * which element holds the text: the deepest root element under which most of the host's open text lies,
 * which text slots are the template's own: on every page (at least `TEXT_PAGES`) with the same text.
