@@ -65,11 +65,16 @@ def test_a_curve_reads_its_rows_once(spark, sf):
 def scans_of_lines(spark, run):
     """Scans of the order lines in the plans of all jobs of `run`."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+    wait = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
+
+    def executions():
+        wait()
+        found = store.executionsList()  # the store drops old ones, so their number says nothing
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    last = max(executions(), default=-1)
     run()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    found = store.executionsList()
-    texts = [found.apply(i).physicalPlanDescription() for i in range(before, found.size())]
+    texts = [text for i, text in executions().items() if i > last]
     return sum(text.count("ReadSchema: struct<l_") for text in texts)
 
 
