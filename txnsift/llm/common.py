@@ -55,3 +55,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.Struc
 def extended(df: DataFrame, *fields: T.StructField) -> T.StructType:
     """The schema of `df` and further columns."""
     return T.StructType([*df.schema.fields, *fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` is called so (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnsift.llm import ann, chat, decontaminate, htmltext, langid, licenses, mixing, simhash, tokenfile, urlfilter
+from txnsift.llm import (
+    ann,
+    chat,
+    decontaminate,
+    digestindex,
+    htmltext,
+    langid,
+    lexical,
+    licenses,
+    mixing,
+    phrases,
+    simhash,
+    tokenfile,
+    urlfilter,
+)
 from txnsift.llm.common import load
+from txnsift.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,3 +245,89 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+_PHRASE_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A\x0B\x0C\x0D]')) as piece
+  from documents),
+worded as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces),
+totals as (select lang, sum(len(w))::hugeint as n from worded group by lang),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from worded, range(1, 6) r(k) where len(w) >= k)),
+f as (select lang, k, phrase, count(*) as a from grams group by 1, 2, 3 having count(*) >= 100),
+words as (select *, string_split(phrase, ' ') as w from f),
+inner_parts as (
+  select distinct c.lang, array_to_string(c.w[i:i + size - 1], ' ') as phrase, c.a
+  from (select lang, w, a, k, size, unnest(range(1, k - size + 2)) as i from words, range(2, 5) r(size) where size < k) c),
+kept as (
+  select * from words c where k > 1 and not exists (
+    select 1 from inner_parts p where p.lang = c.lang and p.phrase = c.phrase and 100 * p.a >= 100 * c.a)),
+cuts as (
+  select c.lang, c.phrase, c.a, c.cut, l.a as l, r.a as r, t.n, ((1000 * c.a::hugeint * t.n) // (l.a::hugeint * r.a)) as score
+  from (select lang, phrase, a, w, k, unnest(range(1, k)) as cut from kept) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+  join totals t on t.lang = c.lang),
+lowest as (select *, row_number() over (partition by lang, phrase order by score, cut) as place from cuts),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest where place = 1)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
+@query("op11_phrases", _PHRASE_SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(load(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+_DEDUP_SQL = """
+with hashed as (
+  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256,
+    row_number() over () as row_no
+  from documents),
+placed as (
+  select *, max(doc_id) over g as keep_id, count(*) over g as group_size,
+    row_number() over (partition by text_sha256 order by doc_id desc nulls last, row_no desc) as place
+  from hashed window g as (partition by text_sha256))
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from placed
+"""
+
+
+@query("op12_exact_dedup", _DEDUP_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = digestindex.DigestIndex(spark, scratch_path(spark, "digest-index"))
+    decided = index.add(load(spark, sf_dir, "documents"), "documents")
+    return decided.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+_LEXICAL_SQL = f"""
+with docs as (select row_number() over () as row_no, doc_id, {_ITEM_WORDS} as w from documents),
+sizes as (select row_no, doc_id, len(w) as n from docs where len(w) > 0),
+totals as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes),
+terms as (select row_no, term, count(*) as tf from (select row_no, unnest(w) as term from docs) group by 1, 2),
+items as (
+  select distinct item_no, item_id, term
+  from (select row_number() over () as item_no, item_id, unnest({_ITEM_WORDS}) as term from benchmark)),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+  from terms, totals group by term),
+scored as (
+  select item_no, item_id, s.doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * s.n * n_docs) // n_terms))))::bigint as score
+  from items join terms using (term) join weights using (term) join sizes s using (row_no), totals
+  group by item_no, item_id, s.row_no, s.doc_id),
+ranked as (select *, row_number() over (partition by item_no order by score desc, doc_id nulls last) as rank from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op13_ranked_search", _LEXICAL_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
