@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.bindings import EV, LINE_FEATURES, V, VE, VL, VZ, events, lines, table, trips, vectors
-from txnsift.operators import clustering, outliers, sampling, supervised
+from txnsift.operators import clustering, fourier, outliers, sampling, supervised
 from txnsift.operators.features import scaled_features
 from txnsift.operators.neighbours import local_outlier_factor
 from txnsift.plans import archetypes, scoring
@@ -88,6 +88,14 @@ def _(spark, sf):
     return machine.score(matrix).select("txn_id", "label", "ocsvm_score")
 
 
+@query("n3_fourier_one_class")
+def _(spark, sf):
+    """The one-class machine on random features, fitted on all rows of the largest table."""
+    matrix = scaled_lines(spark, sf)
+    machine = fourier.fit_fourier_one_class(matrix, LINE_FEATURES, "txn_id", "label", sample_rows=None)
+    return machine.score(matrix).select("txn_id", "label", "ocsvm_score")
+
+
 @query("e8_anomaly_metric_table")
 def _(spark, sf):
     from txnsift.operators.ranking import metric_table

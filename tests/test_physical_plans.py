@@ -1,9 +1,12 @@
 """What the optimiser has to do with the operators."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import bindings
 from txnsift.operators import profile, ranking, ranks
+from txnsift.session import materialize
 
 
 def plan_of(df):
@@ -101,3 +104,20 @@ def test_copies_are_limited_before_the_shuffle(spark, sf):
 
     plan = plan_of(distinct_points(bindings.lines(spark, sf), "txn_id", ["quantity", "discount"], 20))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_distances_to_many_centroids_compile(spark):
+    """64 features and 10 centroids: written out, the sums pass the limits of generated code."""
+    from txnsift.operators.clustering import nearest_center
+
+    names = [f"v{i}" for i in range(64)]
+    rows = spark.range(2000).select("id", *[(F.rand(i) * 10).alias(n) for i, n in enumerate(names)])
+    rows = materialize(rows, "wide")
+    centers = [[float((7 * c + i) % 10) for i in range(64)] for c in range(10)]
+    out = rows.select("id", nearest_center(names, centers).alias("c"))
+    code = out._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [len(code.apply(i)._2()) for i in range(code.size())]
+    assert sizes and max(sizes) < 200_000
+    table = np.array([tuple(r) for r in rows.orderBy("id").collect()])[:, 1:]
+    wanted = ((table[:, None] - np.array(centers)[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [r.c for r in out.orderBy("id").collect()] == wanted.tolist()

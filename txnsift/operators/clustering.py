@@ -19,6 +19,8 @@ from txnsift.session import materialize, small_rows
 
 #: Candidates that one seeding scan adds, and seeding scans. They bound the driver's part, not the rows that are read.
 SEED_CANDIDATES, SEED_SCANS = 256, 4
+#: Terms of a distance to all centroids above which it is a loop over arrays.
+UNROLLED_TERMS = 64
 #: Rows of a block of the pairwise silhouette.
 PAIRWISE_BLOCK = 2_048
 
@@ -52,6 +54,16 @@ def squared_distance(features: Sequence[str], center: Sequence[float]) -> Column
 
 
 def nearest_center(features: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centroid, the lower one on ties.
+
+    Many terms are a loop over a constant table of centroids: written out, they pass the size of generated code.
+    """
+    if len(features) * len(centers) > UNROLLED_TERMS:
+        x = F.array(*[F.col(f).cast("double") for f in features])
+        table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
+        squares = lambda c: F.zip_with(x, c, lambda a, b: (a - b) * (a - b))
+        distances = F.transform(table, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda total, v: total + v))
+        return F.array_position(distances, F.array_min(distances)).cast("int") - 1
     options = [
         F.struct(squared_distance(features, c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)
     ]
@@ -463,13 +475,11 @@ class Components:
     variance_ratio: tuple[float, ...]
 
     def columns(self, n: int) -> list[Column]:
+        centred = F.array(*[F.col(f).cast("double") - F.lit(self.scaler.mean[f]) for f in self.features])
         out = []
-        for c in range(n):
-            total = F.lit(0.0)
-            for j, f in enumerate(self.features):
-                centred = F.col(f).cast("double") - F.lit(self.scaler.mean[f])
-                total = total + centred * F.lit(self.loadings[c][j])
-            out.append(total)
+        for loadings in self.loadings[:n]:
+            products = F.zip_with(centred, F.array(*map(F.lit, loadings)), lambda a, b: a * b)
+            out.append(F.aggregate(products, F.lit(0.0), lambda total, v: total + v))
         return out
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnsift.operators.boosting import fit_boosted_trees
 from txnsift.operators.ranks import group_sizes
+from txnsift.session import materialize
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -47,13 +49,11 @@ def logistic_scores(
     sizes = group_sizes(train, label)
     n = sum(sizes.values())
     weights = {c: n / (len(sizes) * m) for c, m in sizes.items()}
-    data = _vectors(train, features, label, weights).persist()
-    try:
-        model = LogisticRegression(
-            weightCol="weight", standardization=False, regParam=1.0 / n, elasticNetParam=0.0, maxIter=max_iter, tol=1e-8
-        ).fit(data)
-    finally:
-        data.unpersist()
+    # stored, so that a lost executor does not compute the training rows again
+    data = materialize(_vectors(train, features, label, weights), "training-rows")
+    model = LogisticRegression(
+        weightCol="weight", standardization=False, regParam=1.0 / n, elasticNetParam=0.0, maxIter=max_iter, tol=1e-8
+    ).fit(data)
     return _scores(model, rows, features, name)
 
 
@@ -66,18 +66,10 @@ def boosted_scores(
     rounds: int = 300,
     depth: int = 5,
     rate: float = 0.08,
-    seed: int = 42,
 ) -> DataFrame:
-    """`rows` with the probability of class 1 from boosted trees; positives weigh neg / pos."""
+    """`rows` with the probability of class 1 from boosted trees over binned features; positives weigh neg / pos."""
     sizes = group_sizes(train, label)
     if not sizes.get(1) or not sizes.get(0):
         raise ValueError("boosted trees need rows of both classes")
-    weights = {1: round(sizes[0] / sizes[1], 2), 0: 1.0}
-    data = _vectors(train, features, label, weights).persist()
-    try:
-        model = GBTClassifier(
-            weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, cacheNodeIds=False
-        ).fit(data)
-    finally:
-        data.unpersist()
-    return _scores(model, rows, features, name)
+    weight = round(sizes[0] / sizes[1], 2)
+    return fit_boosted_trees(train, features, label, weight, rounds, depth, rate).score(rows, name)
