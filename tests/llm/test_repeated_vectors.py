@@ -15,3 +15,14 @@ def test_own_copies_take_no_places(spark, times):
     found = ann.nearest(table, F.col("vec_id") == 50).orderBy("rank").collect()
     expected = sorted([i for i in range(51, 60)] * times)[:5]
     assert [(r.rank, r.vec_id, r.score) for r in found] == [(n, i, 1.0) for n, i in enumerate(expected, 1)]
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rows = [(50, [3.0, 4.0, 0.0]), (100, [3e-200, 4e-200, 0.0]), (200, [3e200, 4e200, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [5e-324, 0.0, 0.0])]
+    rows += [(i, [1.0, 0.0, float(i)]) for i in range(3, 40)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = ann.nearest(table, F.col("vec_id") % 50 == 0, k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [
+        (50, 1, 100), (50, 2, 200), (100, 1, 50), (100, 2, 200), (200, 1, 50), (200, 2, 100),
+    ]
+    assert all(abs(r.score - 1) < 1e-15 for r in found)

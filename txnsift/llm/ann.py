@@ -40,18 +40,22 @@ def rotation(dim: int, bits: int, seed: int = 11) -> np.ndarray:
     return (turned * np.sign(np.diag(triangle)))[:dim].astype(np.float32)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. Dividing by the largest value first keeps the squares of very large and small ones in range."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign codes and correction scalars of vectors (rows)."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turned = unit @ turn
+    turned = unit(vectors) @ turn
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
 
 
 def estimate(codes: np.ndarray, scalars: np.ndarray, queries: np.ndarray, turn: np.ndarray, epsilon: float):
     """Estimated cosines (vectors x queries) and the error bound of each vector."""
     bits = turn.shape[1]
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    turned = (unit @ turn).astype(np.float32)
+    turned = (unit(queries) @ turn).astype(np.float32)
     signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32)
     products = (2 * (signs @ turned.T) - turned.sum(axis=1)) / np.sqrt(bits, dtype=np.float32)
     s = np.maximum(scalars, 1e-6)
