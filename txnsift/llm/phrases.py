@@ -31,21 +31,21 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnsift.llm.common import arrow_map
 from txnsift.session import materialize, scratch_path
 
 #: Bytes of text of a shard; rows of a record batch of counts.
-SHARD_BYTES, OUT_ROWS = 32 << 20, 100_000
+SHARD_BYTES, OUT_ROWS = 16 << 20, 100_000
 #: Bits of a phrase's number within a shard, of a shard's number within its partition.
 NUMBER_BITS, SEQUENCE_BITS = 28, 13
 #: Piece ends become a byte that no text holds, A-Z become lower case.
 _LOWER = bytes(0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, text binary"
 _INDEX = "shard bigint, lang string, first array<int>, lf binary, reverse_lf binary"
-_GROWN = "prefix bigint, suffix bigint, code bigint, low int, reverse_low int, n bigint"
+_GROWN = "prefix bigint, suffix bigint, code bigint, place bigint, n int"
 
 
 def collocations(
@@ -62,7 +62,8 @@ def collocations(
     A phrase is dropped if an extension by one word has at least `subsumed_percent` of its count.
     """
     slim = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    shards, shards_name = _bucketed(arrow_map(slim, _tokenise, _SHARD), "shards")
+    spark, folders = docs.sparkSession, [scratch_path(docs.sparkSession, name) for name in ("shards", "indexes")]
+    shards, shards_name = _bucketed(arrow_map(slim, _tokenise, _SHARD), folders[0])
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "one"))
     words = words.select("shard", "lang", F.col("no").cast("bigint").alias("no"), "one.words", "one.counts")
     totals = materialize(words.groupBy("lang").agg(F.sum("counts").alias("n")), "totals")
@@ -75,12 +76,13 @@ def collocations(
 
     listed = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("listed"))  # a shard's vocabulary
     both = shards.select("shard", "lang", "text", F.size("words").alias("n_words")).join(listed.hint("shuffle_hash"), "shard")
-    indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "n_words", "listed"), _build, _INDEX), "indexes")
+    indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "n_words", "listed"), _build, _INDEX), folders[1])
+    _drop(spark, shards_name, folders[0])
     # intervals of words come from the index itself
-    state = known.select("shard", "no", "id", F.lit(0).alias("low"), F.lit(0).alias("reverse_low"), F.lit(0).cast("bigint").alias("n"))
+    state = known.select("shard", "no", "id", F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("n"))
     for size in range(2, max_words + 1):
         left = size % 2 == 1
-        listed = state.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id", "low", "reverse_low", "n"))).alias("listed"))
+        listed = state.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id", "place", "n"))).alias("listed"))
         table = indexes.select("shard", "first", F.col("lf" if left else "reverse_lf").alias("lf"))
         grown = arrow_map(table.join(listed.hint("shuffle_hash"), "shard").select("shard", "first", "lf", "listed"), _grower(left, size == 2), _GROWN)
         known = materialize(_frequent(grown, ["prefix", "suffix"], "n", min_count), "phrases")
@@ -89,22 +91,28 @@ def collocations(
         state = known.select(
             F.shiftright("code", NUMBER_BITS).alias("shard"),
             F.col("code").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).alias("no"),
-            "id", "low", "reverse_low", "n",
+            "id", "place", "n",
         )
-    for name in (shards_name, indexes_name):
-        docs.sparkSession.sql(f"DROP TABLE {name}")  # the result reads the levels only
+    _drop(spark, indexes_name, folders[1])  # the result reads the levels only
     return _scored(levels, totals, top, subsumed_percent)
 
 
-def _bucketed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` as a table of the scratch folder, bucketed by shard, and its name: joins on it move only the other side."""
+def _bucketed(df: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """`df` as a table at `path`, bucketed by shard, and its name: joins on it move only the other side."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"txnsift_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "shard").option("path", scratch_path(spark, name)).saveAsTable(table)
+    table = f"txnsift_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
     return spark.table(table), table
 
 
+def _drop(spark: SparkSession, table: str, path: str) -> None:
+    """Deletes a table of `_bucketed` that no later step reads."""
+    spark.sql(f"DROP TABLE {table}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _frequent(rows: DataFrame, key: list[str], count: str, min_count: int) -> DataFrame:
     """`rows` whose counts over all shards reach `min_count`: f, and an id, which is the smallest code of the key."""
     group = Window.partitionBy(*key)
@@ -258,7 +266,8 @@ def _grower(left: bool, of_words: bool):
 
     def one(shard, first, lf, listed):
         first, lf = first.values.to_numpy(), np.frombuffer(lf.as_buffer(), np.int32)
-        ids, low, other, n = (listed.values.field(c).to_numpy() for c in ("id", "low", "reverse_low", "n"))
+        ids, place, n = (listed.values.field(c).to_numpy() for c in ("id", "place", "n"))
+        low, other = place >> 32, place & 0xFFFFFFFF
         if of_words:
             low = other = first[1:-1]
             n = np.diff(first[1:])
@@ -276,9 +285,9 @@ def _grower(left: bool, of_words: bool):
         if len(count) >> NUMBER_BITS:
             raise ValueError("too many phrases in a shard: choose smaller shards")
         code = shard.as_py() << NUMBER_BITS | np.arange(len(count), dtype=np.int64)
-        rows = new if left else new_other, new_other if left else new
-        columns = [prefix, suffix, code, rows[0].astype(np.int32), rows[1].astype(np.int32), count.astype(np.int64)]
-        names = ["prefix", "suffix", "code", "low", "reverse_low", "n"]
+        new, new_other = (new, new_other) if left else (new_other, new)
+        place = new.astype(np.int64) << 32 | new_other.astype(np.int64)
+        columns, names = [prefix, suffix, code, place, count.astype(np.int32)], ["prefix", "suffix", "code", "place", "n"]
         for a in range(0, len(count), OUT_ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + OUT_ROWS]) for c in columns], names)
 
