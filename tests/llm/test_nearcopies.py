@@ -70,3 +70,19 @@ def test_one_large_group_and_odd_rows(spark):
     found = nearcopies.drop_near_copies(table)
     assert found.columns == table.columns
     assert sorted(r.doc_id for r in found.collect()) == [0, 1000, 1003, 1004]
+
+
+def test_dense_band_values_lose_no_link(spark, monkeypatch):
+    """Copies of one text with few to many changed words: most are below the limit, and the links between the others stay."""
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(120)]
+    texts = {}
+    for i in range(160):
+        changed = list(words)
+        for at in rng.sample(range(120), rng.choice([1, 3, 5, 8, 12])):
+            changed[at] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(changed)
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], DOCS)
+    for dense in (2, 48, 10_000):
+        monkeypatch.setattr(nearcopies, "DENSE", dense)
+        assert sorted(r.doc_id for r in nearcopies.drop_near_copies(table).collect()) == expected_ids(texts)
