@@ -1,27 +1,30 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Tokens of a page are its block elements, told apart by their path (names and classes from the root), and its text
-slots: the n-th text of a path. Over the pages of one host the occurrence vector of a token (how often it is
-on each page) is kept as a sum of hashes of (page, count), so equal vectors have equal sums and any number of
-pages is gathered by one grouped sum. Tokens of one vector are an equivalence class. A class is valid when it has
-`CLASS_TOKENS` tokens and `CLASS_PAGES` pages. The class that is once on every page is the root of the template;
-other classes are not used. A template says
-
-* which element holds the text: the deepest root element under which most of the host's open text lies,
-* which text slots are the template's own: on every page (at least `TEXT_PAGES`) with the same text.
-
-Extraction walks a page once more. What is in head, menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments (by element name, role, class or id) is closed. Class and id words close neither main nor
-articles; an article below an element that they close counts where no other article has text and the rest has less. Open text inside article or main elements is
-the result, else that inside the template's element, else all open text; template text goes, unless it is most of it. Character references
-are decoded, white space inside a block becomes one space, blocks are joined by one space; nothing else is changed.
-
-Templates are found for all pages of a host and for each of its layouts (pages of the same elements down to `LAYOUT_DEPTH`), so
-that an odd page does not undo that of the others; pages without elements take no part.
-
-Hosts of fewer pages have no template and rely on the page alone. Null and empty pages, and pages without text, give
-an empty text; null urls share the empty host. Repeated rows are extracted each (they count as pages). Broken markup is
-read as far as it goes. An empty table gives an empty result. Other columns are not read.
+Tokens of a page are its block elements, told apart by their path (names and classes from the root), and its texts, told
+apart by path and wording. Over the pages of one layout of a host (pages of the same elements down to `LAYOUT_DEPTH`), and
+for elements also over all its pages, the occurrence vector of a token (how often it is on each page) is kept as a sum of hashes of
+(page, count): equal vectors have equal sums, and any number of pages is gathered by one grouped sum. Tokens of one vector are an
+equivalence class. A class is valid when it has `CLASS_TOKENS` tokens on `CLASS_PAGES` pages and nests: the parents of
+all its elements and texts but one are in the class.
+
+* The class that is once on every page is the root of the template. Its texts, on `TEXT_PAGES` pages, are the frame; what lies
+  between its tokens are the open slots. The deepest root element that holds most of the text holds the slots of the result; it
+  widens to an article or main element around it, or to the smallest root element that adds a main heading and little else.
+* Valid classes below it that hold texts of their own are records with a fixed wording (a reader comment and its "Reply"). The wording goes; the
+  whole record goes if it lies outside article and main and is no table row, figure or quotation.
+
+Extraction walks a page once more and returns the open slots below the template's element, without records. Names only
+break ties: elements that HTML defines as head, menus, footers, asides, forms and scripts are closed everywhere; class and id words
+(the last word of a name that is not a structural one, so that `comments-open` or `share-price` close nothing) close an
+element unless the template's element lies in it; an article inside the template's element narrows it when it holds most of
+the text. Hosts of fewer pages, and pages that lack the template's element, rely on names alone: text inside article or main
+elements, else all open text, else (nothing is open) what class words closed. Character references are decoded, white space inside a block
+becomes one space, blocks are joined by one space; nothing else is changed. Template text stays where it is most of
+a page's text: such pages are copies of each other.
+
+Null and empty pages, and pages without text, give an empty text; null urls share the empty host; pages without elements
+take no part in templates. Repeated rows are extracted each (they count as pages). Broken markup is read as far as it goes. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,8 +75,19 @@ _CLOSED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login "
     "share sharing social related recommended comment comments disqus respond reply replies footer masthead copyright "
-    "pagination pager skip toolbar widget".split()
+    "pagination pager skip toolbar widget response responses discussion reactions legal disclaimer topbar".split()
 )
+# Words of structure that may follow the word of a class or id that says what an element is.
+_STRUCTURE = frozenset(
+    "area bar block body box button buttons container content cta group header heading icons inner item items label link links list "
+    "media panel posts region row section slot stories text thread title tools top bottom left right main unit wrap wrapper".split()
+)
+# First words of names that say what a page has or lacks.
+_NEGATIONS = frozenset("has hide is no show with without".split())
+# Elements that hold data in rows of their own, so that a repeated wording in them makes no frame of them.
+_DATA = frozenset("blockquote dd dt figure li pre table td th tr".split())
+#: What an element's name says to the choice of the template's element, as bits.
+ARTICLE, HEADING, DATA = 1, 2, 4
 _CLOSED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _TAG = re.compile(
@@ -81,6 +95,20 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
+
+
+def _closes(value: str) -> bool:
+    """Whether a class or id, in lower case, names something that is no main text."""
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p]
+        if parts and parts[0] in _NEGATIONS:
+            continue
+        while len(parts) > 1 and (parts[-1] in _STRUCTURE or parts[-1][0].isdigit()):
+            parts.pop()
+        if parts and parts[-1].rstrip("0123456789") in _CLOSED_WORDS:
+            return True
+    return False
 
 
 def _hash(text: str) -> int:
@@ -97,7 +125,7 @@ def _attributes(name: str, rest: str) -> tuple[str, bool, bool]:
         value, key = "".join(values).lower(), key.lower()
         words = _WORDS.findall(value)
         if key in ("class", "id"):
-            worded = worded or not _CLOSED_WORDS.isdisjoint(words)
+            worded = worded or _closes(value)
             if key == "class" and words:
                 label += "." + ".".join(sorted(set(words)))
         elif key == "role":
@@ -108,18 +136,24 @@ def _attributes(name: str, rest: str) -> tuple[str, bool, bool]:
 
 
 class _Open:
-    """An open element: its name, token of its path, depth, and what it means for text inside it."""
+    """An open element: its name, token of its path, depth, and what it means for text inside it.
 
-    __slots__ = ("closed", "depth", "hard", "main", "name", "token")
+    `soft` is the token of the innermost block that a class or id word closes, or 0.
+    """
+
+    __slots__ = ("closed", "depth", "hard", "main", "name", "soft", "token")
 
-    def __init__(self, name: str, token: int, depth: int, closed: bool, main: int, hard: bool = False):
+    def __init__(self, name: str, token: int, depth: int, closed: bool, main: int, hard: bool = False, soft: int = 0):
         self.name, self.token, self.depth, self.closed, self.main, self.hard = name, token, depth, closed, main, hard
+        self.soft = soft
 
 
 def walk(page: str, tokens: dict[tuple[int, str], int]):
-    """Events of a page in order: ("element", token, depth) and, for open text, ("text", path of tokens, text, main).
+    """Events of a page in order: ("element", token, depth, token of its parent, bits of its name) and, for text that no
+    element name closes, ("text", path of tokens, text, main, soft).
 
-    main is 2 inside an article or main element, 1 if a class or id word closes what encloses that, else 0.
+    main is 2 inside an article or main element, 1 if a class or id word closes what encloses that, else 0. soft is the
+    innermost element of the path that such a word closes, or 0.
     `tokens` remembers the numbers of paths between pages.
     """
     root = _Open("", 0, 0, False, 0)
@@ -131,7 +165,7 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
         parts.clear()
         if text:
             top = stack[-1]
-            yield "text", [e.token for e in stack if e.name not in _INLINE], text, top.main
+            yield "text", [e.token for e in stack if e.name not in _INLINE], text, top.main, top.soft
 
     def push(element):
         stack.append(element)
@@ -176,18 +210,21 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
         hard = (hard and name not in ("html", "body")) or top.hard or name in _CLOSED or (name == "header" and not top.main)
         # words close neither html, body and main nor articles, but for articles inside another one (comments)
         worded = worded and name not in ("html", "body", "main") and not (name == "article" and not opened.get("article"))
-        main = top.main
+        main, soft = top.main, top.soft
+        # a word closes a block softly, so that the template may open it; inline elements and their text go
+        closed = hard or top.closed or (worded and not block)
         if name in _MAIN and not hard and not worded:
-            main = main or (1 if top.closed else 2)
-            closed = False
-        else:
-            closed = hard or worded or top.closed
+            main = 1 if soft else (main or 2)
+        elif block and (worded or (soft and main != 1)):
+            main = 0
         if block:
             parent = top.token
             token = tokens.get((parent, label))
             if token is None:
                 token = tokens[parent, label] = _hash(f"{parent}/{label}")
-            yield "element", token, top.depth + 1
+            bits = (ARTICLE if main and name in _MAIN else 0) | (HEADING if name == "h1" else 0) | (DATA if name in _DATA else 0)
+            yield "element", token, top.depth + 1, parent, bits
+            soft = token if worded else soft
         else:
             token = top.token
         if name in _RAW:
@@ -197,11 +234,11 @@ def walk(page: str, tokens: dict[tuple[int, str], int]):
                 parts.append(html.unescape(page[at:stop]))
             at = stop
             if close:
-                push(_Open(name, token, top.depth + block, closed, top.main, hard))
+                push(_Open(name, token, top.depth + block, closed, top.main, hard, soft))
             else:
                 break
         elif name not in _VOID:
-            push(_Open(name, token, top.depth + block, closed, 0 if closed else main, hard))
+            push(_Open(name, token, top.depth + block, closed, 0 if closed else main, hard, soft))
     yield from flush()
 
 
@@ -211,36 +248,35 @@ def _layout(shallow: set[int]) -> int:
 
 
 def _page_counts(page: str, tokens: dict) -> tuple[dict, dict, int]:
-    """Of one page: elements {token: [count, depth, open chars below]}, slots {slot: text hash} of open text, layout."""
-    elements, slots, nth, shallow = {0: [1, 0, 0]}, {}, {}, set()
+    """Of one page: elements {token: [count, depth, chars below, parent, bits]}, texts {token: [count, depth, chars, parent, bits]}, layout."""
+    elements, texts, shallow = {0: [1, 0, 0, 0, 0]}, {}, set()
     for event in walk(page, tokens):
         if event[0] == "element":
-            found = elements.setdefault(event[1], [0, event[2], 0])
-            found[0] += 1
-            if event[2] <= LAYOUT_DEPTH:
-                shallow.add(event[1])
+            _, token, depth, parent, bits = event
+            elements.setdefault(token, [0, depth, 0, parent, bits])[0] += 1
+            if depth <= LAYOUT_DEPTH:
+                shallow.add(token)
         else:
             path, text = event[1], event[2]
             for token in set(path):
-                if token in elements:
-                    elements[token][2] += len(text)
-            slots[_slot(path[-1], nth)] = _hash(text)
-    return elements, slots, _layout(shallow)
+                elements[token][2] += len(text)
+            texts.setdefault(_text_token(path[-1], text), [0, len(path), 0, path[-1], ARTICLE if event[3] == 2 else 0])[0] += 1
+    return elements, texts, _layout(shallow)
 
 
-def _slot(token: int, nth: dict[int, int]) -> int:
-    n = nth[token] = nth.get(token, 0) + 1
-    return _hash(f"{token}#{n}")
+def _text_token(parent: int, text: str) -> int:
+    return _hash(f"{parent}#{text}")
 
 
 _COUNTS = (
-    "host string, layout bigint, slot boolean, token bigint, pages bigint, low bigint, high bigint, total bigint, depth bigint, "
-    "chars bigint, least bigint, most bigint"
+    "host string, layout bigint, is_text boolean, token bigint, pages bigint, low bigint, high bigint, total bigint, chars bigint, "
+    "depth bigint, parent bigint, bits bigint"
 )
+_VECTOR = ("pages", "low", "high", "total")
 
 
 def _count(batches):
-    """Sums over the pages of a partition, one row per host, layout (and 0 for all) and token. Pages without elements leave."""
+    """Sums over the pages of a partition, one row per host, layout (elements also 0 for all) and token. Pages without elements leave."""
     tokens: dict = {}
     sums: dict[tuple, list] = {}
 
@@ -250,21 +286,20 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _COUNTS.split(", ")])
 
     for batch in batches:
-        hosts, pages = batch.column(0).to_pylist(), batch.column(2)
-        for host, page_id, page in zip(hosts, batch.column(1).to_pylist(), pages, strict=True):
+        for host, page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = page.as_py()
             own = xxhash.xxh64_intdigest(f"{page_id}/{len(text)}")
-            elements, slots, layout = _page_counts(text, tokens)
+            elements, texts, layout = _page_counts(text, tokens)
             if len(elements) == 1:
                 continue
-            for token, (n, depth, chars) in elements.items():
-                mark = xxhash.xxh64_intdigest(f"{own}/{n}")
-                for group in (0, layout):
-                    _add(sums, (host, group, False, token), 1, mark & 0x7FFFFFFF, mark >> 33, n, depth, chars, 0, 0)
-            mark = xxhash.xxh64_intdigest(f"{own}/1")
-            for slot, value in slots.items():
-                for group in (0, layout):
-                    _add(sums, (host, group, True, slot), 1, mark & 0x7FFFFFFF, mark >> 33, 1, 0, 0, value, value)
+            marks: dict[int, int] = {}
+            for is_text, groups, found in ((False, (0, layout), elements), (True, (layout,), texts)):
+                for token, (n, depth, chars, parent, bits) in found.items():
+                    mark = marks.get(n)
+                    if mark is None:
+                        mark = marks[n] = xxhash.xxh64_intdigest(f"{own}/{n}")
+                    for group in groups:
+                        _add(sums, (host, group, is_text, token), mark, n, chars, (depth, parent, bits))
             if len(tokens) > 100_000:
                 tokens.clear()
             if len(sums) > 200_000:
@@ -273,90 +308,139 @@ def _count(batches):
         yield rows()
 
 
-def _add(sums: dict, key: tuple, pages, low, high, total, depth, chars, least, most) -> None:
+def _add(sums: dict, key: tuple, mark: int, n: int, chars: int, fixed: tuple) -> None:
     found = sums.get(key)
     if found is None:
-        sums[key] = [pages, low, high, total, depth, chars, least, most]
+        sums[key] = [1, mark & 0x7FFFFFFF, mark >> 33, n, chars, *fixed]
     else:
-        found[0] += pages
-        found[1] += low
-        found[2] += high
-        found[3] += total
-        found[5] += chars
-        found[6] = min(found[6], least)
-        found[7] = max(found[7], most)
+        found[0] += 1
+        found[1] += mark & 0x7FFFFFFF
+        found[2] += mark >> 33
+        found[3] += n
+        found[4] += chars
+
+
+def choose_main(elements: list[tuple[int, int, int, int, int]]) -> int | None:
+    """The element that holds the slots of the result, of a root class (token, parent, depth, chars, bits) with the page itself (token 0)."""
+    known = {e[0]: e for e in elements}
+
+    def above(token):
+        while token in known and token != 0:
+            token = known[token][1]
+            yield token
+
+    whole = known[0][3]
+    holds = [e for e in elements if whole and e[3] >= MAIN_SHARE * whole]
+    if not holds:
+        return None
+    best = max(holds, key=lambda e: (e[2], e[3], e[0]))
+    around = [t for t in (best[0], *above(best[0])) if t in known and known[t][4] & ARTICLE]
+    if around:
+        return around[-1]
+    within = {best[0], *above(best[0])}
+    for heading in sorted((e for e in elements if e[4] & HEADING and e[3]), key=lambda e: (-e[3], e[0])):
+        meet = next((t for t in above(heading[0]) if t in within), None)
+        if meet in known and known[meet][2] < best[2] and known[meet][3] <= best[3] + heading[3] + best[3] // 2:
+            return meet
+    return best[0]
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): of each layout and of all pages (0) the element that holds the text and the slots of template text.
+    """(host, templates): of each layout and of all pages (0) the element that holds the text, the frame's texts and wordings of records, and records.
 
     `pages` has host, page_id and html (not null). Hosts and layouts without a valid root class have none.
     """
     counted = arrow_map(pages.select("host", "page_id", "html"), _count, _COUNTS)
-    sums = counted.groupBy("host", "layout", "slot", "token").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "low", "high", "total", "chars")],
-        F.max("depth").alias("depth"),
-        F.min("least").alias("least"),
-        F.max("most").alias("most"),
+    sums = counted.groupBy("host", "layout", "is_text", "token").agg(
+        *[F.sum(c).alias(c) for c in (*_VECTOR, "chars")], *[F.min(c).alias(c) for c in ("depth", "parent", "bits")]
     )
-    # layouts of too few pages have no class
+    # tokens of too few pages are in no valid class
     sums = materialize(sums.filter(F.col("pages") >= CLASS_PAGES), "tokens")
     # token 0 is the page itself: its vector is the root class
-    roots = sums.filter("not slot and token = 0").select(
-        "host", "layout", *[F.col(c).alias(f"root_{c}") for c in ("pages", "low", "high", "total", "chars")]
-    )
-    joined = sums.join(roots, ["host", "layout"])
-    vector = ("pages", "low", "high", "total")
+    roots = sums.filter("not is_text and token = 0").select("host", "layout", *[F.col(c).alias(f"root_{c}") for c in _VECTOR])
     in_root = F.lit(True)
-    for c in vector:
+    for c in _VECTOR:
         in_root = in_root & (F.col(c) == F.col(f"root_{c}"))
-    classes = joined.filter(~F.col("slot") & (F.col("pages") >= CLASS_PAGES)).withColumn("in_root", in_root)
-    valid = classes.groupBy("host", "layout", *vector).agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        # nested classes hold text of their own below the root element that encloses them
-        F.max(F.struct((F.col("chars") >= MAIN_SHARE * F.col("root_chars")).alias("most"), "depth", "chars", "token")).alias("top"),
-        F.first("in_root").alias("in_root"),
+    marked = sums.join(roots, ["host", "layout"]).withColumn("in_root", in_root)
+    # no more than the shortest page of the layout has
+    root = marked.filter("in_root").groupBy("host", "layout").agg(
+        F.collect_list(F.when(~F.col("is_text"), F.struct("token", "parent", "depth", "chars", "bits"))).alias("elements"),
+        F.collect_list(F.when(F.col("is_text") & (F.col("pages") >= TEXT_PAGES), F.col("token"))).alias("texts"),
     )
-    main = valid.filter((F.col("n_tokens") >= CLASS_TOKENS) & F.col("in_root") & F.col("top.most")).select(
-        "host", "layout", F.col("top.token").alias("main")
+    other = marked.filter("not in_root")
+    held = other.filter("not is_text").select("host", "layout", *_VECTOR, F.col("token").alias("parent"), F.lit(True).alias("nested"))
+    classes = other.join(held, ["host", "layout", *_VECTOR, "parent"], "left").groupBy("host", "layout", *_VECTOR).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("nested").alias("n_nested"),
+        F.min(F.when(F.col("nested").isNull(), F.struct("is_text", "token", "bits"))).alias("top"),
+        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("wording"),
+        F.max(F.when(F.col("is_text"), F.col("bits").bitwiseAND(F.lit(ARTICLE)))).alias("inside"),
     )
-    texts = (
-        joined.filter(F.col("slot") & (F.col("least") == F.col("most")) & (F.col("pages") >= TEXT_PAGES) & in_root)
-        .groupBy("host", "layout")
-        .agg(F.collect_list("token").alias("texts"))  # no more than the shortest page of the layout has
+    valid = classes.filter(
+        (F.col("n") >= CLASS_TOKENS) & (F.col("n_nested") == F.col("n") - 1) & ~F.col("top.is_text") & (F.col("pages") >= TEXT_PAGES)
+    ).filter(F.size("wording") > 0)
+    frame = (F.col("inside") == 0) & (F.col("top.bits").bitwiseAND(F.lit(DATA)) == 0)
+    records = valid.groupBy("host", "layout").agg(  # a class has three tokens on four pages
+        F.flatten(F.collect_list("wording")).alias("wordings"), F.collect_list(F.when(frame, F.col("top.token"))).alias("records")
     )
-    own = main.join(texts, ["host", "layout"], "left").withColumn("texts", F.coalesce("texts", F.expr("cast(array() as array<bigint>)")))
+    none = F.expr("cast(array() as array<bigint>)")
+    own = root.filter(F.size("elements") >= CLASS_TOKENS).join(records, ["host", "layout"], "left")
+    own = own.select("host", "layout", "elements", F.concat("texts", F.coalesce("wordings", none)).alias("texts"), F.coalesce("records", none).alias("records"))
+
+    def decide(batches):
+        for batch in batches:
+            found = [
+                choose_main([tuple(e[c] for c in ("token", "parent", "depth", "chars", "bits")) for e in elements])
+                for elements in batch.column(2).to_pylist()
+            ]
+            columns = [*batch.columns[:2], pa.array(found, pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "main", "texts", "records"])
+
+    decided = arrow_map(own, decide, "host string, layout bigint, main bigint, texts array<bigint>, records array<bigint>")
     # at most one layout for CLASS_PAGES pages
-    return materialize(own.groupBy("host").agg(F.collect_list(F.struct("layout", "main", "texts")).alias("templates")), "templates")
+    templates = decided.groupBy("host").agg(F.collect_list(F.struct("layout", "main", "texts", "records")).alias("templates"))
+    return materialize(templates, "templates")
 
 
-def main_text(page: str | None, main: int | None, texts: frozenset, tokens: dict, layouts: dict | None = None) -> str:
-    """The text of one page under the template of its host and, by `layouts` {number: (main, texts)}, of its layout.
+def _size(found: list[tuple[str, bool]]) -> int:
+    return sum(len(t) for t, _ in found)
 
-    Where template text is more than half of the main text, the pages of the host are copies of each other and it stays.
-    """
-    inside, enclosed, below, anywhere, nth = [], [], [], [], {}
+
+def main_text(
+    page: str | None, main: int | None, texts: frozenset, tokens: dict, layouts: dict | None = None, records: frozenset = frozenset()
+) -> str:
+    """The text of one page under the template of its host and, by `layouts` {number: (main, texts, records)}, of its layout."""
+    inside, enclosed, shut, slots, narrow, anywhere = [], [], [], [], [], []
     events = list(walk(page or "", tokens))
     if layouts:
         own = layouts.get(_layout({e[1] for e in events if e[0] == "element" and e[2] <= LAYOUT_DEPTH}))
         if own:
-            main, texts = own[0], texts | own[1]
+            main, texts, records = own
     for event in events:
         if event[0] == "element":
             continue
-        _, path, text, in_main = event
-        found = text, _slot(path[-1], nth) in texts
-        if in_main == 1:
-            enclosed.append(found)
+        _, path, text, in_main, soft = event
+        if not records.isdisjoint(path):
+            continue
+        found = text, _text_token(path[-1], text) in texts
+        opened = not soft
+        if main is not None and main in path:
+            opened = opened or path.index(soft) <= path.index(main)
+            if opened:
+                slots.append(found)
+                if in_main:
+                    narrow.append(found)
+        if soft:
+            (enclosed if in_main == 1 else shut).append(found)
             continue
         anywhere.append(found)
         if in_main:
             inside.append(found)
-        if main is not None and main in path:
-            below.append(found)
-    rest = below or anywhere
-    chosen = inside or (enclosed if sum(len(t) for t, _ in enclosed) > sum(len(t) for t, _ in rest) else rest)
-    if 2 * sum(len(t) for t, framed in chosen if framed) <= sum(len(t) for t, _ in chosen):
+    if slots:
+        chosen = narrow if 2 * _size(narrow) > _size(slots) else slots
+    else:
+        chosen = inside or (enclosed if _size(enclosed) > _size(anywhere) else anywhere) or shut
+    if 2 * _size([c for c in chosen if c[1]]) <= _size(chosen):
         chosen = [c for c in chosen if not c[1]]
     return " ".join(t for t, _ in chosen)
 
@@ -370,7 +454,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     templates = deduce_templates(slim)
-    size = templates.agg(F.sum(F.aggregate("templates", F.lit(1), lambda n, t: n + 2 + F.size(t["texts"])))).first()[0] or 0
+    size = templates.agg(F.sum(F.aggregate("templates", F.lit(1), lambda n, t: n + 2 + F.size(t["texts"]) + F.size(t["records"])))).first()[0] or 0
     if size <= BROADCAST_VALUES:
         found = slim.join(F.broadcast(templates), "host", "left")
     else:
@@ -389,9 +473,11 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
                 if layouts is None:
                     if len(known) > 100:
                         known.clear()
-                    layouts = known[host] = {t["layout"]: (t["main"], frozenset(t["texts"])) for t in own.as_py() or ()}
-                main, texts = layouts.get(0, (None, frozenset()))
-                out.append(main_text(page.as_py(), main, texts, tokens, layouts))
+                    layouts = known[host] = {
+                        t["layout"]: (t["main"], frozenset(t["texts"]), frozenset(t["records"])) for t in own.as_py() or ()
+                    }
+                main, texts, records = layouts.get(0, (None, frozenset(), frozenset()))
+                out.append(main_text(page.as_py(), main, texts, tokens, layouts, records))
                 if len(tokens) > 100_000:
                     tokens.clear()
             sizes = pa.array([len(t) for t in out], pa.int64())
