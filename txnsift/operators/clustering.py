@@ -8,13 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txnsift.functions import HASH_BOUND, hash60, percent
 from txnsift.operators.features import Scaler, fit_scaler
+from txnsift.operators.tallqr import centred_factor
 from txnsift.session import materialize, small_rows
 
 #: Candidates that one seeding scan adds, and seeding scans. They bound the driver's part, not the rows that are read.
@@ -484,20 +483,26 @@ class Components:
 
 
 def fit_components(df: DataFrame, features: Sequence[str], n: int = 50) -> Components:
-    """Principal components of the centred features; the largest loading of each is positive."""
+    """Principal components of the centred features; the largest loading of each is positive.
+
+    They come from the singular values of the table's triangular factor, not from a covariance, so columns far from zero
+    keep their digits.
+    """
     scaler = fit_scaler(df, features)
     n = min(n, len(features))
-    centred = df.select(
-        array_to_vector(F.array(*[F.col(f).cast("double") - F.lit(scaler.mean[f]) for f in features])).alias("x")
-    )
-    model = PCA(k=n, inputCol="x", outputCol="y").fit(centred)
-    loadings = model.pc.toArray().T
+    factor, _ = centred_factor(df, features, [scaler.mean[f] for f in features])
+    _, singular, axes = np.linalg.svd(factor, full_matrices=True)
+    variance = np.zeros(len(features))
+    variance[: len(singular)] = singular**2
+    total = variance.sum()
+    ratio = variance / total if total > 0 else variance
+    loadings = axes[:n]
     signs = np.sign(loadings[np.arange(n), np.abs(loadings).argmax(axis=1)])
     return Components(
         tuple(features),
         scaler,
         tuple(map(tuple, (loadings * signs[:, None]).tolist())),
-        tuple(float(v) for v in model.explainedVariance.toArray()),
+        tuple(map(float, ratio[:n])),
     )
 
 
