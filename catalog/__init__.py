@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from catalog import checks, evaluation, models, profiling, quality, sampling, sources  # noqa: F401
+    from catalog import checks, evaluation, models, profiling, quality, sampling, sources, stored  # noqa: F401

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from txnsift.operators import profile, quality
+from txnsift.operators import profile, quality, sketches
 from txnsift.sources import runs
 
 
@@ -62,23 +62,27 @@ def validate(
     versions: Mapping[str, str] | None = None,
     earlier_rows: DataFrame | None = None,
     stored_at: str | None = None,
+    rejected: Mapping[str, int] | None = None,
+    distributions: bool = False,
 ) -> Report:
     """Check a delivery against expectations and the run before it, and store everything.
 
     The newest earlier record of the same name decides: with the same digest and the same expectations its stored
     issues, and so its verdict, are reused; another digest is a rewrite. Schema, null and
     negative-amount issues fail the delivery; other issues warn. With `earlier_rows` the drift
-    check compares distributions too, not only means.
+    check compares distributions too, not only means. With `distributions` it does so from the
+    rank sketches that each run stores, without earlier rows.
     """
     spark = df.sparkSession
     digest = quality.content_digest(df, df.columns).first()
     checked = json.dumps(
         [list(expected_columns), label, amount, expected_rows, positive_band, list(numeric), earlier_rows is not None]
+        + ([True] if distributions else [])
     )
 
     def record(issues_path: str) -> DataFrame:
         return runs.lineage_record(
-            spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions, stored_at, checked, issues_path
+            spark, run_id, data_file, digest["digest"], digest["n_rows"], df.schema, versions, stored_at, checked, issues_path, rejected
         )
 
     before = _last_record(spark, root, data_file, run_id)
@@ -89,6 +93,8 @@ def validate(
 
     stats_path = runs.write_run(profile.fingerprint(df, numeric), root, "feature_stats", run_id)
     statistics = spark.read.parquet(stats_path)
+    if distributions:
+        sketch = spark.read.parquet(runs.write_run(sketches.rank_sketch(df, numeric), root, "rank_sketches", run_id))
     issues = [
         quality.schema_issues(df, expected_columns),
         quality.table_issues(df, label, amount, expected_rows, positive_band),
@@ -101,6 +107,9 @@ def validate(
     old_stats = _earlier(spark, root, "feature_stats", run_id)
     if old_stats is not None:
         ks = None if earlier_rows is None else quality.ks_drift(earlier_rows, df, numeric)
+        old_sketch = _earlier(spark, root, "rank_sketches", run_id) if distributions and ks is None else None
+        if old_sketch is not None:
+            ks = sketches.ks_from_sketches(old_sketch.drop("run_id"), sketch)
         drift = quality.drift_report(quality.mean_drift(statistics, old_stats), ks)
         drift = spark.read.parquet(runs.write_run(drift, root, "drift", run_id))
         issues.append(quality.drift_issues(drift))

@@ -29,6 +29,31 @@ def read_csv_set(spark: SparkSession, pattern: str, schema: T.StructType) -> Dat
     return read_csv(spark, pattern, schema)
 
 
+def read_csv_quarantine(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files with a header row: bad lines are set aside as (file, record), not errors.
+
+    A line is rejected when a value does not fit its type or the number of values is not that of the header. The files are parsed
+    once and stored. A header that does not match the declared names is still an error.
+    """
+    record, source = "__record", "__file"
+    if {record, source} & set(schema.names):
+        raise ValueError(f"column names {record} and {source} are taken")
+    whole = T.StructType([*schema.fields, T.StructField(record, T.StringType())])
+    reader = spark.read.schema(whole).option("header", True).option("enforceSchema", False)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record)
+    parsed = reader.csv(list(path) if not isinstance(path, str) else path).select("*", F.col("_metadata.file_path").alias(source))
+    parsed = materialize(parsed, "parsed")
+    bad = F.col(record).isNotNull()
+    return parsed.where(~bad).select(*schema.names), parsed.where(bad).select(F.col(source).alias("file"), F.col(record).alias("record"))
+
+
+def reject_counts(rejects: DataFrame) -> DataFrame:
+    """(file, n_rejected) of the lines that a read set aside; files without any are not listed."""
+    return rejects.groupBy("file").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
 def append_tables(tables: Sequence[DataFrame]) -> DataFrame:
     """Rows of all tables, columns matched by name."""
     out = tables[0]
