@@ -320,7 +320,8 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     Rows without a hit are unchanged. `n_chars`, where present, follows the new text. Cutting joins what stood
     around a passage, so what was cut is searched again until nothing is hit.
     """
-    names = docs.columns
+    own, names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with a finding
+    docs, text, n_chars = docs.toDF(*names), names[own.index(text)], names[own.index(n_chars)] if n_chars in own else None
 
     def cut(batches):
         for batch in batches:
@@ -342,4 +343,4 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         if n_chars in names:
             done = done.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
         clean, dirty = clean.unionByName(done), again.filter(F.size("__spans") > 0)
-    return clean
+    return clean.toDF(*own)

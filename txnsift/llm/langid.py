@@ -38,7 +38,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """For each code point its lower-case form if it is a letter, else 0."""
     table = np.zeros(0x110000, np.uint32)
-    for i in range(0x30000):
+    for i in range(len(table)):
         c = chr(i)
         if c.isalpha():
             table[i] = ord(c.lower()[0])
