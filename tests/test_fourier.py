@@ -61,3 +61,24 @@ def test_no_rows(cloud):
     _, df = cloud
     with pytest.raises(ValueError, match="no rows"):
         fourier.fit_fourier_one_class(df.filter("id < 0"), NAMES, "id", "label", sample_rows=None)
+
+
+def test_cosines():
+    x = np.concatenate((np.random.default_rng(4).uniform(-200, 200, 100_000), [0.0, np.pi, -np.pi / 2, np.nan]))
+    found = x.copy()
+    fourier._cosine(found)
+    assert np.allclose(found, np.cos(x), rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_newton_steps_read_few_rows_and_end_at_the_same_weights(cloud, monkeypatch):
+    """A sample to start from and scans that choose rows: the gradient over all rows vanishes as without them."""
+    x, df = cloud
+    options = dict(nu=0.05, sample_rows=None, n_features=64)
+    plain = fourier.fit_fourier_one_class(df, NAMES, "id", "label", **options)
+    seen, sums = [], fourier._sums
+    monkeypatch.setattr(fourier, "WARM_ROWS", 500)
+    monkeypatch.setattr(fourier, "_sums", lambda rows, *rest: seen.append(rows.count()) or sums(rows, *rest))
+    found = fourier.fit_fourier_one_class(df, NAMES, "id", "label", **options)
+    assert seen[0] == 500 and seen.count(500) > 2
+    assert abs(found.rho - plain.rho) < 1e-3 * plain.rho
+    assert np.linalg.norm(found.weights - plain.weights) < 1e-3 * np.linalg.norm(plain.weights)
