@@ -156,3 +156,42 @@ def test_archetypes_need_enough_complete_rows(spark):
         archetypes.run(df, "trip_id")
     with pytest.raises(ValueError, match="missing columns"):
         archetypes.run(df.drop("tip_pct"), "trip_id")
+
+
+def test_silhouette_sends_a_block_once_for_each_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(300, 3)), rng.integers(0, 4, 300)
+    df = spark.createDataFrame([(*map(float, r), int(g)) for r, g in zip(x, c, strict=True)], "a double, b double, c double, g int")
+    monkeypatch.setattr(clustering, "GROUPS", 3)
+    found = clustering.silhouette(df, ["a", "b", "c"], ["g"], block=20).first()
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    total = np.stack([dist[:, c == j].sum(axis=1) for j in range(4)], axis=1)
+    size, rows = np.bincount(c), np.arange(300)
+    own, mean = total[rows, c] / (size[c] - 1), total / size
+    mean[rows, c] = np.inf
+    near = mean.min(axis=1)
+    assert found["n_rows"] == 300
+    assert abs(found["silhouette"] - ((near - own) / np.maximum(own, near)).mean()) < 1e-9
+
+
+def test_seedings_settle_before_all_rows_are_scanned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(m, 1.0, (1500, 2)) for m in ((0, 0), (2.5, 0), (0, 2.5))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double")
+    scans, sums = [], clustering._assignment_sums
+    monkeypatch.setattr(clustering, "_assignment_sums", lambda *a: scans.append(len(a[2])) or sums(*a))
+    fits = clustering.kmeans_sweep(df, ["a", "b"], "id", ks=(3, 4), restarts=4)
+    assert len(scans) <= 5
+    for fit in fits.values():
+        near = ((x[:, None] - np.array(fit.centers)[None]) ** 2).sum(axis=2)
+        means = np.array([x[near.argmin(axis=1) == j].mean(axis=0) for j in range(fit.k)])
+        assert ((means - np.array(fit.centers)) ** 2).sum() <= 2e-4 * x.var(axis=0).mean()
+        assert abs(near.min(axis=1).sum() - fit.inertia) < 1e-6 * fit.inertia
+
+
+def test_the_map_holds_every_row():
+    import inspect
+
+    from txnsift.plans import modelling
+
+    assert inspect.signature(modelling.cluster_rows).parameters["map_rows"].default is None
