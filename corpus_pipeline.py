@@ -19,9 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group of near copies (five-word Jaccard similarity of 0.8 or more)."""
+    """Keeps the document of the smallest id in each group of near copies (SimHash within two bits, or five-word Jaccard similarity of 0.8 or more)."""
     prepare(spark)
-    return nearcopies.drop_near_copies(docs)
+    return nearcopies.drop_near_copies(docs, distance=2)
 
 
 def remove_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,14 @@ def test_dense_band_values_lose_no_link(spark, monkeypatch):
     for dense in (2, 48, 10_000):
         monkeypatch.setattr(nearcopies, "DENSE", dense)
         assert sorted(r.doc_id for r in nearcopies.drop_near_copies(table).collect()) == expected_ids(texts)
+
+
+def test_stage_links_what_simhash_links(spark):
+    """A text that says the same over and over has the fingerprint of its longer form, though shingles at the seams are new."""
+    words = "a b c d e f g".split()
+    rows = [(1, " ".join(words * 30)), (2, " ".join(words * 30 + ["x", "y", "z", "u"])), (3, "nothing like the others, at all")]
+    table = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOCS)
+    assert expected_ids(dict(rows)) == [1, 2, 3]
+    assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= 2
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, table, "").collect()) == [1, 3]

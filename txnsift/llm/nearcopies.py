@@ -1,15 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles: found by MinHash bands, verified exactly.
+"""Near copies by SimHash fingerprints and, beyond their reach, by the Jaccard similarity of word shingles.
+
+With a `distance`, texts whose 64-bit SimHash fingerprints (see `simhash`: three-word shingles) differ in so many bits or fewer are
+linked. That finds copies with hardly a change. Copies with more changes are found by MinHash bands and verified exactly:
 
 Shingles: A-Z lowered, words are runs without ASCII white space, the set of all runs of five words (a shorter text is one
 shingle), by XXH64. Two texts are linked when their sets have a Jaccard similarity of `SIMILARITY` or more.
 
-Blocks of one 64-bit SimHash cannot find these pairs: they differ in up to 11 bits (three-word fingerprints, sf0.01), and
+Blocks of one 64-bit SimHash cannot find all of these pairs: they differ in up to 11 bits (three-word fingerprints, sf0.01), and
 blocks that survive 12 changed bits are 4 to 5 bits wide, which most texts share. Here each text has `BANDS` fingerprints of `ROWS` MinHash
 values each; a pair of similarity s shares one of them with probability 1 - (1 - s^ROWS)^BANDS: above 0.999996 at 0.8.
 
 Texts of one band value meet in two steps, so that a large group forms no pairs among itself. First each is verified
 against a leader of the band value, and components are formed. Then texts of one band value that are still in
-different components are verified against each other (of large band values, those that share one of their rarest shingles). What remains apart has been compared and found below the limit. Equal
+different components (those of the fingerprints included) are verified against each other (of large band values, those that share one of their rarest shingles). What remains apart has been compared and found below the limit. Equal
 word sequences are one text from the start; texts without words, and nulls, are one text.
 
 The document of the smallest id stays of each component (no id comes last). An empty table gives an empty result.
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnsift.llm.common import arrow_map
-from txnsift.llm.simhash import components, first_rows, keep_rows
+from txnsift.llm.simhash import components, fingerprint, first_rows, keep_rows, near_pairs
 from txnsift.session import materialize
 
 #: Words of a shingle, seed of its hash, similarity of near copies.
@@ -75,20 +78,22 @@ def bands(values: np.ndarray) -> list[int]:
 
 
 def _marked(slim: DataFrame) -> DataFrame:
-    """id, text_hash, words (128-bit hash of the word sequence) and bands of rows (id, text_hash, text)."""
+    """id, text_hash, words (128-bit hash of the word sequence), fp (SimHash) and bands of rows (id, text_hash, text)."""
 
     def mark(batches):
         for batch in batches:
-            hashes, found = [], []
+            hashes, prints, found = [], [], []
             for text in batch.column(2):
                 words = words_of(text.as_py())
+                prints.append(fingerprint(text.as_py()))
                 hashes.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else b"")
                 found.append(bands(shingles(words)))
-            columns = [batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "words", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(hashes, pa.binary())]
+            columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "words", "fp", "bands"])
 
     id_type = slim.schema["id"].dataType.simpleString()
-    return arrow_map(slim, mark, f"id {id_type}, text_hash bigint, words binary, bands array<bigint>")
+    return arrow_map(slim, mark, f"id {id_type}, text_hash bigint, words binary, fp bigint, bands array<bigint>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -191,8 +196,19 @@ def _prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return left.join(right, "shingle").filter(meets).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, doc_id: str, text: str, named: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the keys of `named` (key, id, text_hash, bands) that have near copies."""
+def _print_links(named: DataFrame, distance: int) -> DataFrame:
+    """The texts (a, b) whose SimHash fingerprints are linked: a star around the smallest key of each component."""
+    prints = materialize(named.groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    parts = components(near_pairs(prints.select("fp"), distance))
+    rooted = prints.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    centres = rooted.groupBy("root").agg(F.min("least").alias("a"))
+    stars = rooted.join(centres, "root").select("fp", "a")
+    return named.select("fp", F.col("key").alias("b")).join(stars, "fp").filter("a <> b").select("a", "b")
+
+
+def _links(docs: DataFrame, doc_id: str, text: str, named: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """(node, root) of the keys of `named` (key, id, text_hash, fp, bands) that have near copies."""
+    prints = materialize(_print_links(named, distance), "print-links") if distance else None
     banded = named.select("key", F.posexplode("bands").alias("band", "value"))  # 32 narrow rows a text
     several = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = materialize(banded.join(several, ["band", "value"]), "shared")
@@ -204,6 +220,7 @@ def _links(docs: DataFrame, doc_id: str, text: str, named: DataFrame, similarity
     sets = materialize(_sets(texts), "sets")
 
     first = materialize(_verified(_leader_pairs(shared), sets, similarity), "leader-links")
+    first = first.unionByName(prints) if distance else first
     parts = materialize(components(first), "parts")
     second = materialize(_verified(_open_pairs(shared, parts, named, sets, similarity), sets, similarity), "open-links")
     if not second.limit(1).count():
@@ -211,19 +228,19 @@ def _links(docs: DataFrame, doc_id: str, text: str, named: DataFrame, similarity
     return components(first.unionByName(second))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, distance: int = 0) -> DataFrame:
     """The rows of `docs`, one of each component: its smallest id (no id comes last), then the smaller text hash.
 
-    Rows that repeat both id and text are one. Only ids and hashes are grouped; whole rows are joined once.
+    SimHash fingerprints within `distance` bits link texts as well; with 0 the similarity alone counts. Rows that repeat both id and text are one. Only ids and hashes are grouped; whole rows are joined once.
     """
     slim = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     marked = materialize(_marked(slim), "marked")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")  # no id comes last
-    counted = marked.groupBy("words", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    # equal word sequences have equal bands
-    named = counted.groupBy("words").agg(one, F.min_by("n", F.struct(F.col("id").isNull(), "id", "text_hash")).alias("n"), F.first("bands").alias("bands"))
-    named = named.select("one.id", "one.text_hash", "n", "bands", F.monotonically_increasing_id().alias("key"))
+    counted = marked.groupBy("words", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # equal word sequences have equal fingerprints and bands
+    named = counted.groupBy("words").agg(one, F.min_by("n", F.struct(F.col("id").isNull(), "id", "text_hash")).alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    named = named.select("one.id", "one.text_hash", "n", "fp", "bands", F.monotonically_increasing_id().alias("key"))
     named = materialize(named, "named")  # keys are used only as written
-    parts = _links(docs, doc_id, text, named, similarity)
+    parts = _links(docs, doc_id, text, named, similarity, distance)
     rooted = named.join(parts, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "id", "text_hash", "n")
     return keep_rows(docs, first_rows(rooted, "root"), doc_id, text)
