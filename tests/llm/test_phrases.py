@@ -105,3 +105,28 @@ def test_both_directions_find_the_same_phrases():
                 one, two = (a, b) if left else (b, a)
                 words = [(s, *words[o]) if left else (*words[o], s) for o, s in zip(own.tolist(), symbol.tolist(), strict=True)]
             assert dict(zip(words, size.tolist(), strict=True)) == counts
+
+
+def test_memory_of_a_shard_is_a_few_words_a_word():
+    """Suffix order and extensions of a long shard: once 71 and 53 bytes a word, which took an executor over its limit."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = np.minimum(rng.zipf(1.3, 600_000), 3000).astype(np.int32)
+    words[::17] = 0
+    text = phrases.runs(words)
+    tracemalloc.start()
+    try:
+        first, lf = phrases.lf_steps(text, 3000)
+        assert tracemalloc.get_traced_memory()[1] < 45 * len(text)
+        low, n = first[1:-1], np.diff(first[1:])
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        found = [phrases.grow(first, lf, low, low, n, a, b) for a, b in phrases.slices(n)]
+        assert tracemalloc.get_traced_memory()[1] - held < 45 * len(text)
+    finally:
+        tracemalloc.stop()
+    whole = phrases.grow(first, lf, low, low, n)
+    assert len(found) > 1
+    for part, all_at_once in zip(zip(*found, strict=True), whole, strict=True):
+        assert np.array_equal(np.concatenate(part), all_at_once)

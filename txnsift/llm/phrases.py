@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -39,11 +40,13 @@ from txnsift.session import materialize, scratch_path
 
 #: Bytes of text of a shard; rows of a record batch of counts.
 SHARD_BYTES, OUT_ROWS = 16 << 20, 100_000
+#: Occurrences of phrases that are extended at once.
+SLICE = 1 << 18
 #: Bits of a phrase's number within a shard, of a shard's number within its partition.
 NUMBER_BITS, SEQUENCE_BITS = 28, 13
 #: Piece ends become a byte that no text holds, A-Z become lower case.
 _LOWER = bytes(0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, text binary"
+_SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, n_words int, text binary"
 _INDEX = "shard bigint, lang string, first array<int>, lf binary, reverse_lf binary"
 _GROWN = "prefix bigint, suffix bigint, code bigint, place bigint, n int"
 
@@ -75,7 +78,7 @@ def collocations(
     levels = [materialize(whole.select("*", F.array("f").alias("heads"), F.array("f").alias("tails"), F.col("phrase").alias("last")), "level")]
 
     listed = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("listed"))  # a shard's vocabulary
-    both = shards.select("shard", "lang", "text", F.size("words").alias("n_words")).join(listed.hint("shuffle_hash"), "shard")
+    both = shards.select("shard", "lang", "text", "n_words").join(listed.hint("shuffle_hash"), "shard")
     indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "n_words", "listed"), _build, _INDEX), folders[1])
     _drop(spark, shards_name, folders[0])
     # intervals of words come from the index itself
@@ -138,7 +141,7 @@ def _tokenise(batches):
 
 class Shard:
     def __init__(self, lang: str):
-        self.lang, self.size, self.parts = lang, 0, []
+        self.lang, self.size, self.numbers = lang, 0, array("i")
         self.vocabulary: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
         self.vocabulary[b"\xff"] = 0
 
@@ -147,13 +150,14 @@ class Shard:
             return
         raw = text.encode("utf-8", "surrogatepass").translate(_LOWER)
         words = raw.replace(b"\xff", b" \xff ").split()
-        self.parts.append(np.array([*map(self.vocabulary.__getitem__, words), 0], np.int32))
+        self.numbers.extend(map(self.vocabulary.__getitem__, words))
+        self.numbers.append(0)
         self.size += len(raw)
 
     def row(self, partition: int, sequence: int) -> pa.RecordBatch:
         if sequence >> SEQUENCE_BITS or partition >> 63 - NUMBER_BITS - SEQUENCE_BITS or len(self.vocabulary) >> NUMBER_BITS:
             raise ValueError("too many shards of a partition, partitions or words: choose larger shards")
-        numbers = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+        numbers = np.frombuffer(self.numbers, np.int32)
         del self.vocabulary[b"\xff"]
         counts = np.bincount(numbers, minlength=len(self.vocabulary) + 1)[1:]
         words = pa.array([list(self.vocabulary)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
@@ -162,9 +166,10 @@ class Shard:
             pa.array([self.lang]),
             words,
             pa.array([counts], pa.list_(pa.int64())),
+            pa.array([len(counts)], pa.int32()),
             pa.array([numbers.tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "text"])
+        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "n_words", "text"])
 
 
 def _build(batches):
@@ -199,7 +204,7 @@ def runs(text: np.ndarray) -> np.ndarray:
 
 def lf_steps(text: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of the first suffix of each symbol (and the end), and for each row the row of the suffix one symbol longer."""
-    order = suffix_order(text.astype(np.int64), n_symbols)
+    order = suffix_order(text, n_symbols)
     rank = np.empty(len(text), np.int32)
     rank[order] = np.arange(len(text), dtype=np.int32)
     first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols + 1)))).astype(np.int32)
@@ -210,40 +215,55 @@ def suffix_order(text: np.ndarray, n_symbols: int) -> np.ndarray:
     """The suffixes of a text that ends with 0, in order. Each 0 is smaller than all symbols and than the zeros after it."""
     n, bits = len(text), max(1, int(n_symbols).bit_length())
     width = max(1, min(63 // bits, n))
-    key, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    key, ended, symbol = np.zeros(n, np.int64), np.zeros(n, bool), np.empty(n, np.int32)
     for ahead in range(width):
-        symbol = np.zeros(n, np.int64)
-        symbol[: n - ahead] = text[ahead:]
+        symbol[: n - ahead], symbol[n - ahead :] = text[ahead:], 0
         symbol[ended] = 0
         ended |= symbol == 0
-        key = key << bits | symbol
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
+        key <<= bits
+        key |= symbol
+    del symbol
+    # numbers of rows have 32 bits, and what is done with goes: the workers' memory is the tightest figure
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     # a window with a separator is told apart from equal ones by its place, which a stable sort keeps
-    head = np.concatenate(([True], ordered[1:] != ordered[:-1])) | ended[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    head = np.concatenate(([True], key[1:] != key[:-1])) | ended[order]
+    del key, ended
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     while True:
         size = np.diff(np.append(np.flatnonzero(head), n))
-        tied = np.flatnonzero(np.repeat(size > 1, size))
+        tied = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32)
         if not len(tied):
             return order
         suffixes = order[tied]
-        group = rank[suffixes]
-        key = group * n + rank[suffixes + width]  # tied suffixes hold no separator in their first words
+        # tied suffixes hold no separator in their first words
+        key = rank[suffixes].astype(np.int64) * n + rank[suffixes + width]
         by = np.argsort(key, kind="stable")
         order[tied], key = suffixes[by], key[by]
+        del suffixes, by
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        del key
         head[tied] = fresh
-        rank[order[tied]] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        rank[order[tied]] = np.maximum.accumulate(np.where(fresh, tied, np.int32(0)))
         width *= 2
 
 
-def grow(first: np.ndarray, lf: np.ndarray, low: np.ndarray, other_low: np.ndarray, n: np.ndarray):
+def slices(n: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of phrases (first, end) with some `SLICE` occurrences each, from the occurrences n of all."""
+    starts = np.flatnonzero(np.diff(np.cumsum(n, dtype=np.int64) // SLICE, prepend=-1)).tolist() or [0]
+    return [*zip(starts, [*starts[1:], len(n)], strict=True)]
+
+
+def grow(first: np.ndarray, lf: np.ndarray, low: np.ndarray, other_low: np.ndarray, n: np.ndarray, begin: int = 0, end: int | None = None):
     """All extensions of phrases by one symbol: (phrase, symbol, low, other low, n) as arrays, by phrase and symbol.
 
-    `low` are the rows of the phrases in the index of `lf`, `other_low` those in the index of the reversed text.
+    `low` are the rows of the phrases in the index of `lf`, `other_low` those in the index of the reversed text. Only the phrases
+    from `begin` to before `end` are extended.
     """
+    if begin or end is not None:
+        own, *rest = grow(first, lf, low[begin:end], other_low[begin:end], n[begin:end])
+        return own + begin, *rest
     phrase = np.repeat(np.arange(len(n)), n)
     rows = np.arange(len(phrase)) + np.repeat(low - (np.cumsum(n) - n), n)
     after = lf[rows]
@@ -271,16 +291,17 @@ def _grower(left: bool, of_words: bool):
         if of_words:
             low = other = first[1:-1]
             n = np.diff(first[1:])
-        if left:
-            source, _, new, new_other, count = grow(first, lf, low, other, n)
-        else:
-            source, _, new, new_other, count = grow(first, lf, other, low, n)
         # the part without the old end is a frequent phrase if the new interval lies within one of its intervals
-        starts = low if left else other
+        starts, found = (low if left else other), []
         by = np.argsort(starts, kind="stable")
-        at = by[np.maximum(np.searchsorted(starts[by], new, side="right") - 1, 0)] if len(by) else source
-        inside = (new >= starts[at]) & (new < starts[at] + n[at])
-        source, at, new, new_other, count = (x[inside] for x in (source, at, new, new_other, count))
+        ordered = starts[by]
+        for a, b in slices(n):
+            source, _, new, new_other, count = grow(first, lf, *((low, other) if left else (other, low)), n, a, b)
+            at = by[np.maximum(np.searchsorted(ordered, new, side="right") - 1, 0)] if len(by) else source
+            inside = (new >= starts[at]) & (new < starts[at] + n[at])
+            found.append([x[inside] for x in (source, at, new, new_other, count)])
+        source, at, new, new_other, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         prefix, suffix = (ids[at], ids[source]) if left else (ids[source], ids[at])
         if len(count) >> NUMBER_BITS:
             raise ValueError("too many phrases in a shard: choose smaller shards")
