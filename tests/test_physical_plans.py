@@ -121,3 +121,13 @@ def test_distances_to_many_centroids_compile(spark):
     table = np.array([tuple(r) for r in rows.orderBy("id").collect()])[:, 1:]
     wanted = ((table[:, None] - np.array(centers)[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert [r.c for r in out.orderBy("id").collect()] == wanted.tolist()
+
+
+def test_trips_are_stored_without_a_key_that_nothing_reads(spark, sf, monkeypatch):
+    from catalog import QUERIES, checks
+
+    stored, write = [], checks.materialize
+    monkeypatch.setattr(checks, "materialize", lambda df, name: stored.append(df) or write(df, name))
+    QUERIES["k7_profile_of_fixed_centers"](spark, sf)
+    assert stored[0].columns == checks.TRIP_FEATURES
+    assert "md5" not in stored[0]._jdf.queryExecution().optimizedPlan().toString()
