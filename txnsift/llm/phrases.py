@@ -10,8 +10,10 @@ language (null: `und`). f(phrase) counts the contiguous occurrences within piece
    FM-index, written out per row. A phrase is a pair of row intervals, one in each index, of equal length.
 3. Phrases grow by one word at a time: to the left by LF steps of the index, to the right by those of the reversed
    one. The interval of the other index narrows by the number of smaller neighbours. A longer phrase is counted in a shard only if both
-   its first and its last words (all but one) are frequent over all shards; counts are summed over shards by one shuffle.
-   Only frequent phrases return to their shards, as pairs of intervals. Indexes are bucketed by shard and never shuffled.
+   its first and its last words (all but one) are frequent over all shards; counts are summed over shards by one shuffle, in
+   blocks: phrases are dealt to groups by a hash, and what a shard sends to a group is one row of packed numbers, sorted by phrase.
+   Only frequent phrases return to their shards. Pairs return as numbers and find their intervals by growing again (most pairs
+   are rare, and intervals do not pack), longer phrases take their intervals along. Indexes are bucketed by shard and never shuffled.
 4. Each frequent phrase then knows the counts of all its beginnings and ends, and the largest count of its extensions by
    one word to the left and right. A longer candidate around a phrase has at most the count of such an extension, which is itself
    a candidate; so extensions by one word decide which phrases a longer one subsumes.
@@ -19,7 +21,7 @@ language (null: `und`). f(phrase) counts the contiguous occurrences within piece
 score = floor(1000 a n / (l r)) with a = f(phrase), n all words of the language, l and r the counts of the two parts; the cut with
 the lowest score counts, then the earliest. Products are decimals of 38 digits. Ranks: score, then a (both descending), then the
 phrase in byte order. Repeated rows count as often as they occur; ids are not read; an empty table gives no rows. A shard holds a
-phrase once, so the sums over shards shuffle at most one row per phrase and shard, however often it occurs.
+phrase once, so the sums over shards shuffle at most one entry per phrase and shard, however often it occurs.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from txnsift.llm.common import arrow_map
 from txnsift.session import materialize, scratch_path
 
-#: Bytes of text of a shard; rows of a record batch of counts.
-SHARD_BYTES, OUT_ROWS = 16 << 20, 100_000
+#: Bytes of text of a shard; words for each group in which phrases are summed.
+SHARD_BYTES, GROUP_WORDS = 16 << 20, 1 << 19
 #: Occurrences of phrases that are extended at once.
 SLICE = 1 << 18
 #: Bits of a phrase's number within a shard, of a shard's number within its partition.
@@ -47,8 +49,9 @@ NUMBER_BITS, SEQUENCE_BITS = 28, 13
 #: Piece ends become a byte that no text holds, A-Z become lower case.
 _LOWER = bytes(0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, n_words int, text binary"
-_INDEX = "shard bigint, lang string, first array<int>, lf binary, reverse_lf binary"
-_GROWN = "prefix bigint, suffix bigint, code bigint, place bigint, n int"
+_INDEX = "shard bigint, lang string, ids array<bigint>, first array<int>, lf binary, reverse_lf binary"
+_GROWN = "group bigint, shard bigint, start bigint, phrases int, packed binary"
+_KNOWN = "shard bigint, no bigint, id bigint, prefix bigint, suffix bigint, place bigint, n int, f bigint"
 
 
 def collocations(
@@ -81,21 +84,17 @@ def collocations(
     both = shards.select("shard", "lang", "text", "n_words").join(listed.hint("shuffle_hash"), "shard")
     indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "n_words", "listed"), _build, _INDEX), folders[1])
     _drop(spark, shards_name, folders[0])
-    # intervals of words come from the index itself
-    state = known.select("shard", "no", "id", F.lit(0).cast("bigint").alias("place"), F.lit(0).alias("n"))
+    groups = (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS + 1
     for size in range(2, max_words + 1):
-        left = size % 2 == 1
-        listed = state.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id", "place", "n"))).alias("listed"))
-        table = indexes.select("shard", "first", F.col("lf" if left else "reverse_lf").alias("lf"))
-        grown = arrow_map(table.join(listed.hint("shuffle_hash"), "shard").select("shard", "first", "lf", "listed"), _grower(left, size == 2), _GROWN)
-        known = materialize(_frequent(grown, ["prefix", "suffix"], "n", min_count), "phrases")
+        # ids and intervals of words come from the index itself, intervals of pairs from the reversed one
+        table = indexes.select("shard", "ids", "first", *[c for c, sizes in (("lf", (3, 5)), ("reverse_lf", (2, 3, 4))) if size in sizes])
+        if size > 2:
+            listed = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id", "place", "n"))).alias("listed"))
+            table = table.join(listed.hint("shuffle_hash"), "shard")
+        grown = arrow_map(table, _grower(size, groups), _GROWN)
+        known = materialize(grown.groupBy("group").applyInArrow(_summer(size, groups, min_count), _KNOWN), "phrases")
         level = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("prefix", "suffix", "f")])
         levels.append(materialize(_spelled(level, levels[-1]), "level"))
-        state = known.select(
-            F.shiftright("code", NUMBER_BITS).alias("shard"),
-            F.col("code").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).alias("no"),
-            "id", "place", "n",
-        )
     _drop(spark, indexes_name, folders[1])  # the result reads the levels only
     return _scored(levels, totals, top, subsumed_percent)
 
@@ -184,11 +183,12 @@ def _build(batches):
             columns = [
                 batch.column("shard")[i : i + 1],
                 batch.column("lang")[i : i + 1],
+                pa.array([batch.column("listed")[i].values.field("id").to_numpy()], pa.list_(pa.int64())),
                 pa.array([first], pa.list_(pa.int32())),
                 pa.array([lf.tobytes()], pa.binary()),
                 pa.array([lf_steps(text[::-1], len(listed))[1].tobytes()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "first", "lf", "reverse_lf"])
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "ids", "first", "lf", "reverse_lf"])
 
 
 def runs(text: np.ndarray) -> np.ndarray:
@@ -278,39 +278,112 @@ def grow(first: np.ndarray, lf: np.ndarray, low: np.ndarray, other_low: np.ndarr
     return own[some], symbol[start][some], after[start][some], (other_low[own] + smaller)[some], count[some]
 
 
-def _grower(left: bool, of_words: bool):
+def extended(first: np.ndarray, lf: np.ndarray, left: bool, ids: np.ndarray, low: np.ndarray, other: np.ndarray, n: np.ndarray, groups: int):
+    """Extensions of frequent phrases whose part without the old end is frequent too: group, prefix, suffix, place and n, in this order.
+
+    `low` are the rows of the phrases in the index, `other` those in the index of the reversed text; a place holds both.
+    """
+    starts, found = (low if left else other), []
+    by = np.argsort(starts, kind="stable")
+    ordered = starts[by]
+    for a, b in slices(n):
+        source, _, new, new_other, count = grow(first, lf, *((low, other) if left else (other, low)), n, a, b)
+        # that part is a frequent phrase if the new interval lies within one of its intervals
+        at = by[np.maximum(np.searchsorted(ordered, new, side="right") - 1, 0)] if len(by) else source
+        inside = (new >= starts[at]) & (new < starts[at] + n[at])
+        found.append([x[inside] for x in (source, at, new, new_other, count)])
+    source, at, new, new_other, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    prefix, suffix = (ids[at], ids[source]) if left else (ids[source], ids[at])
+    del source, at
+    new, new_other = (new, new_other) if left else (new_other, new)
+    place = new.astype(np.int64) << 32 | new_other.astype(np.int64)
+    group = group_of(prefix, suffix, groups)
+    by = np.lexsort((suffix, prefix, group))
+    return group[by], prefix[by], suffix[by], place[by], count[by]
+
+
+def group_of(prefix: np.ndarray, suffix: np.ndarray, groups: int) -> np.ndarray:
+    """The group in which a phrase is summed: a hash of both its parts, so that the phrases of a frequent word are spread."""
+    mixed = prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length: differences of neighbours, the first bytes of all, then the second ones and so on, compressed."""
+    steps = [np.diff(c.astype(np.int64), prepend=0) for c in columns]
+    planes = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8).T).tobytes() for s in steps]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, rows: int, n_columns: int) -> np.ndarray:
+    """The columns that `pack` took, one a row."""
+    planes = np.frombuffer(pa.decompress(packed, 8 * rows * n_columns, "zstd", asbytes=True), np.uint8).reshape(n_columns, 8, rows)
+    return np.cumsum(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0], axis=1)
+
+
+def _grower(size: int, groups: int):
+    """Phrases of `size` words in a shard, one row for each group in which they are summed. They count from 0 in the order of `extended`."""
+
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                yield from one(*[batch.column(c)[i] for c in ("shard", "first", "lf", "listed")])
-
-    def one(shard, first, lf, listed):
-        first, lf = first.values.to_numpy(), np.frombuffer(lf.as_buffer(), np.int32)
-        ids, place, n = (listed.values.field(c).to_numpy() for c in ("id", "place", "n"))
-        low, other = place >> 32, place & 0xFFFFFFFF
-        if of_words:
-            low = other = first[1:-1]
-            n = np.diff(first[1:])
-        # the part without the old end is a frequent phrase if the new interval lies within one of its intervals
-        starts, found = (low if left else other), []
-        by = np.argsort(starts, kind="stable")
-        ordered = starts[by]
-        for a, b in slices(n):
-            source, _, new, new_other, count = grow(first, lf, *((low, other) if left else (other, low)), n, a, b)
-            at = by[np.maximum(np.searchsorted(ordered, new, side="right") - 1, 0)] if len(by) else source
-            inside = (new >= starts[at]) & (new < starts[at] + n[at])
-            found.append([x[inside] for x in (source, at, new, new_other, count)])
-        source, at, new, new_other, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        del found
-        prefix, suffix = (ids[at], ids[source]) if left else (ids[source], ids[at])
-        if len(count) >> NUMBER_BITS:
-            raise ValueError("too many phrases in a shard: choose smaller shards")
-        code = shard.as_py() << NUMBER_BITS | np.arange(len(count), dtype=np.int64)
-        new, new_other = (new, new_other) if left else (new_other, new)
-        place = new.astype(np.int64) << 32 | new_other.astype(np.int64)
-        columns, names = [prefix, suffix, code, place, count.astype(np.int32)], ["prefix", "suffix", "code", "place", "n"]
-        for a in range(0, len(count), OUT_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + OUT_ROWS]) for c in columns], names)
+                yield one({c: batch.column(c)[i] for c in batch.schema.names})
+
+    def one(row):
+        ids, first = (row[c].values.to_numpy() for c in ("ids", "first"))
+        lf, reverse_lf = (np.frombuffer(row[c].as_buffer(), np.int32) if c in row else None for c in ("lf", "reverse_lf"))
+        low = other = first[1:-1]
+        n, left = np.diff(first[1:]), size % 2 == 1
+        if size > 2:
+            no, own, place, count = (row["listed"].values.field(c).to_numpy() for c in ("no", "id", "place", "n"))
+            if size == 3:
+                place, count = (x[no] for x in extended(first, reverse_lf, False, ids, low, other, n, groups)[3:])
+            ids, low, other, n = own, place >> 32, place & 0xFFFFFFFF, count
+        group, prefix, suffix, place, n = extended(first, lf if left else reverse_lf, left, ids, low, other, n, groups)
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        columns = [prefix, suffix, n] if size == 2 else [prefix, suffix, n, place >> 32, place & 0xFFFFFFFF]
+        lengths = np.diff(np.append(starts, len(group)))
+        packed = [pack([c[a : a + k] for c in columns]) for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        out = [
+            pa.array(group[starts]),
+            pa.array(np.full(len(starts), row["shard"].as_py(), np.int64)),
+            pa.array(starts.astype(np.int64)),
+            pa.array(lengths.astype(np.int32)),
+            pa.array(packed, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(out, ["group", "shard", "start", "phrases", "packed"])
+
+    return run
+
+
+def _summer(size: int, groups: int, min_count: int):
+    """The entries of a group whose counts over all shards reach `min_count`, with that sum and a number of the phrase."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length = table.column("phrases").to_numpy()
+        blocks = zip(table.column("packed").to_pylist(), length.tolist(), strict=True)
+        prefix, suffix, n, *place = np.concatenate([unpack(packed, rows, 3 if size == 2 else 5) for packed, rows in blocks], axis=1)
+        by = np.lexsort((suffix, prefix))
+        head = np.append(True, (np.diff(prefix[by]) != 0) | (np.diff(suffix[by]) != 0))
+        f = np.add.reduceat(n[by], np.flatnonzero(head))
+        number = np.cumsum(f >= min_count) - 1
+        phrase = np.cumsum(head) - 1
+        frequent = f[phrase] >= min_count
+        by, phrase = by[frequent], phrase[frequent]
+        no = np.arange(len(n)) + np.repeat(table.column("start").to_numpy() - (np.cumsum(length) - length), length)
+        columns = [
+            np.repeat(table.column("shard").to_numpy(), length)[by],
+            no[by],
+            number[phrase] * groups + table.column("group")[0].as_py(),
+            prefix[by],
+            suffix[by],
+            place[0][by] << 32 | place[1][by] if place else np.zeros(len(by), np.int64),
+            n[by].astype(np.int32),
+            f[phrase],
+        ]
+        return pa.table(columns, names=["shard", "no", "id", "prefix", "suffix", "place", "n", "f"])
 
     return run
 
