@@ -130,3 +130,47 @@ def test_memory_of_a_shard_is_a_few_words_a_word():
     assert len(found) > 1
     for part, all_at_once in zip(zip(*found, strict=True), whole, strict=True):
         assert np.array_equal(np.concatenate(part), all_at_once)
+
+
+def test_phrases_summed_in_many_groups(spark, monkeypatch):
+    """Groups of few words: every phrase is summed in one of some hundred groups, and finds its intervals in each shard again."""
+    monkeypatch.setattr(phrases, "GROUP_WORDS", 100)
+    rows = made_up(9)
+    table = spark.createDataFrame([(i, t, lang, "a", "b", "c") for i, (t, lang) in enumerate(rows)], DOCS).repartition(3, "doc_id")
+    assert rows_of(phrases.collocations(table, min_count=3)) == brute(rows, 3, 2000)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(-(2**62), 2**62, 50), np.arange(50), np.zeros(50, np.int32)]
+    assert np.array_equal(phrases.unpack(phrases.pack(columns), 50, 3), np.stack(columns))
+    symbols = rng.integers(0, 2**31, 50).astype(np.int32)
+    assert phrases.unpack(phrases.pack([symbols], np.int32), 50, 1, np.int32)[0].tolist() == symbols.tolist()
+
+
+def test_a_pair_travels_in_few_bytes():
+    """Pairs of frequent words and shards were rows of 22 bytes, rows of an index took 8 bytes a word: most of the disk."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = np.minimum(rng.zipf(1.3, 400_000), 5000).astype(np.int32)
+    text[::17] = 0
+    text = phrases.runs(text)
+    bwts = [phrases.symbols_before(t, 5000) for t in (text, text[::-1])]
+    packed = [phrases.pack([b], np.int32) for b in bwts]
+    assert sum(map(len, packed)) < 4 * len(text)
+    for b, p in zip(bwts, packed, strict=True):
+        assert np.array_equal(phrases.unpack(p, len(b), 1, np.int32)[0], b)
+    index = {
+        "shard": pa.array([7]), "ids": pa.array([np.arange(5000) << 28]), "first": pa.array([phrases.starts_of(text, 5000)]),
+        "reverse_bwt": pa.array([packed[1]], pa.binary()),
+    }
+    (sent,) = phrases._grower(2, 8)([pa.RecordBatch.from_arrays([*index.values()], [*index])])
+    pairs = sum(sent.column("phrases").to_pylist())
+    both = (text[:-1] > 0) & (text[1:] > 0)
+    assert pairs == len(np.unique(text[:-1][both].astype(np.int64) << 32 | text[1:][both]))
+    assert sum(map(len, sent.column("packed").to_pylist())) < 8 * pairs
+    # each group answers with one row, however many pairs are frequent
+    for i in range(len(sent)):
+        answer = phrases._summer(2, 8, 3)(pa.Table.from_batches([sent.slice(i, 1)]))
+        assert len(answer) == 1

@@ -6,13 +6,13 @@ language (null: `und`). f(phrase) counts the contiguous occurrences within piece
 1. A shard is a run of documents of one language in a partition, about `SHARD_BYTES` of text; it is stored as its vocabulary and
    its word numbers. Counts of words are summed over shards, and words below `min_count` leave (no candidate holds them).
 2. The runs of frequent words that remain get a suffix array and one of the reversed text (packed words, then prefix
-   doubling; separators differ, so that no comparison passes one). Stored are the LF steps of both: the first rank table of an
-   FM-index, written out per row. A phrase is a pair of row intervals, one in each index, of equal length.
+   doubling; separators differ, so that no comparison passes one). Stored is the symbol before each row of both, packed; a stable
+   sort turns it into LF steps. A phrase is a pair of row intervals, one in each index, of equal length.
 3. Phrases grow by one word at a time: to the left by LF steps of the index, to the right by those of the reversed
    one. The interval of the other index narrows by the number of smaller neighbours. A longer phrase is counted in a shard only if both
    its first and its last words (all but one) are frequent over all shards; counts are summed over shards by one shuffle, in
    blocks: phrases are dealt to groups by a hash, and what a shard sends to a group is one row of packed numbers, sorted by phrase.
-   Only frequent phrases return to their shards. Pairs return as numbers and find their intervals by growing again (most pairs
+   Only frequent phrases return to their shards, packed as well. Pairs return as numbers and find their intervals by growing again (most pairs
    are rare, and intervals do not pack), longer phrases take their intervals along. Indexes are bucketed by shard and never shuffled.
 4. Each frequent phrase then knows the counts of all its beginnings and ends, and the largest count of its extensions by
    one word to the left and right. A longer candidate around a phrase has at most the count of such an extension, which is itself
@@ -48,10 +48,13 @@ SLICE = 1 << 18
 NUMBER_BITS, SEQUENCE_BITS = 28, 13
 #: Piece ends become a byte that no text holds, A-Z become lower case.
 _LOWER = bytes(0xFF if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, n_words int, text binary"
-_INDEX = "shard bigint, lang string, ids array<bigint>, first array<int>, lf binary, reverse_lf binary"
+_SHARD = "shard bigint, lang string, words array<string>, counts array<bigint>, n_words int, length int, text binary"
+_INDEX = "shard bigint, lang string, ids array<bigint>, first array<int>, bwt binary, reverse_bwt binary"
 _GROWN = "group bigint, shard bigint, start bigint, phrases int, packed binary"
-_KNOWN = "shard bigint, no bigint, id bigint, prefix bigint, suffix bigint, place bigint, n int, f bigint"
+_KNOWN = (
+    "`group` bigint, ids array<bigint>, prefixes array<bigint>, suffixes array<bigint>, sums array<bigint>, "
+    "replies array<struct<shard: bigint, phrases: int, packed: binary>>"
+)
 
 
 def collocations(
@@ -81,19 +84,21 @@ def collocations(
     levels = [materialize(whole.select("*", F.array("f").alias("heads"), F.array("f").alias("tails"), F.col("phrase").alias("last")), "level")]
 
     listed = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id"))).alias("listed"))  # a shard's vocabulary
-    both = shards.select("shard", "lang", "text", "n_words").join(listed.hint("shuffle_hash"), "shard")
-    indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "n_words", "listed"), _build, _INDEX), folders[1])
+    both = shards.select("shard", "lang", "text", "length", "n_words").join(listed.hint("shuffle_hash"), "shard")
+    indexes, indexes_name = _bucketed(arrow_map(both.select("shard", "lang", "text", "length", "n_words", "listed"), _build, _INDEX), folders[1])
     _drop(spark, shards_name, folders[0])
     groups = (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS + 1
     for size in range(2, max_words + 1):
         # ids and intervals of words come from the index itself, intervals of pairs from the reversed one
-        table = indexes.select("shard", "ids", "first", *[c for c, sizes in (("lf", (3, 5)), ("reverse_lf", (2, 3, 4))) if size in sizes])
+        table = indexes.select("shard", "ids", "first", *_read(size))
         if size > 2:
-            listed = known.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("no", "id", "place", "n"))).alias("listed"))
+            replies = known.select("group", F.explode("replies").alias("one")).select("group", "one.*")
+            listed = replies.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("group", "phrases", "packed"))).alias("listed"))
             table = table.join(listed.hint("shuffle_hash"), "shard")
         grown = arrow_map(table, _grower(size, groups), _GROWN)
         known = materialize(grown.groupBy("group").applyInArrow(_summer(size, groups, min_count), _KNOWN), "phrases")
-        level = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("prefix", "suffix", "f")])
+        level = known.select(F.explode(F.arrays_zip("ids", "prefixes", "suffixes", "sums")).alias("one"))
+        level = level.select(*[F.col(f"one.{old}").alias(new) for old, new in zip(("ids", "prefixes", "suffixes", "sums"), ("id", "prefix", "suffix", "f"), strict=True)])
         levels.append(materialize(_spelled(level, levels[-1]), "level"))
     _drop(spark, indexes_name, folders[1])  # the result reads the levels only
     return _scored(levels, totals, top, subsumed_percent)
@@ -104,7 +109,7 @@ def _bucketed(df: DataFrame, path: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"txnsift_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
+    df.write.option("compression", "zstd").bucketBy(buckets, "shard").option("path", path).saveAsTable(table)
     return spark.table(table), table
 
 
@@ -166,9 +171,10 @@ class Shard:
             words,
             pa.array([counts], pa.list_(pa.int64())),
             pa.array([len(counts)], pa.int32()),
-            pa.array([numbers.tobytes()], pa.binary()),
+            pa.array([len(numbers)], pa.int32()),
+            pa.array([pack([numbers], np.int32)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "n_words", "text"])
+        return pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "counts", "n_words", "length", "text"])
 
 
 def _build(batches):
@@ -178,17 +184,18 @@ def _build(batches):
             listed = batch.column("listed")[i].values.field("no").to_numpy()
             symbols = np.zeros(batch.column("n_words")[i].as_py() + 1, np.int32)
             symbols[listed + 1] = np.arange(1, len(listed) + 1)  # numbers count from 0 here, 0 is a separator in texts
-            text = runs(symbols[np.frombuffer(batch.column("text")[i].as_buffer(), np.int32)])
-            first, lf = lf_steps(text, len(listed))
+            numbers = unpack(batch.column("text")[i].as_buffer(), batch.column("length")[i].as_py(), 1, np.int32)[0]
+            text = runs(symbols[numbers])
+            del numbers
             columns = [
                 batch.column("shard")[i : i + 1],
                 batch.column("lang")[i : i + 1],
                 pa.array([batch.column("listed")[i].values.field("id").to_numpy()], pa.list_(pa.int64())),
-                pa.array([first], pa.list_(pa.int32())),
-                pa.array([lf.tobytes()], pa.binary()),
-                pa.array([lf_steps(text[::-1], len(listed))[1].tobytes()], pa.binary()),
+                pa.array([starts_of(text, len(listed))], pa.list_(pa.int32())),
+                pa.array([pack([symbols_before(text, len(listed))], np.int32)], pa.binary()),
+                pa.array([pack([symbols_before(text[::-1], len(listed))], np.int32)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "ids", "first", "lf", "reverse_lf"])
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "ids", "first", "bwt", "reverse_bwt"])
 
 
 def runs(text: np.ndarray) -> np.ndarray:
@@ -202,13 +209,26 @@ def runs(text: np.ndarray) -> np.ndarray:
     return np.insert(text[words], np.concatenate(([0], ends)), 0) if len(words) else np.zeros(1, text.dtype)
 
 
+def starts_of(text: np.ndarray, n_symbols: int) -> np.ndarray:
+    """Row of the first suffix of each symbol, and the end."""
+    return np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols + 1)))).astype(np.int32)
+
+
+def symbols_before(text: np.ndarray, n_symbols: int) -> np.ndarray:
+    """For each row the symbol before its suffix (Burrows-Wheeler transform)."""
+    return text[suffix_order(text, n_symbols) - 1]
+
+
+def steps_of(bwt: np.ndarray) -> np.ndarray:
+    """For each row the row of the suffix one symbol longer; those that start with a separator are in any order."""
+    steps = np.empty(len(bwt), np.int32)
+    steps[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    return steps
+
+
 def lf_steps(text: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of the first suffix of each symbol (and the end), and for each row the row of the suffix one symbol longer."""
-    order = suffix_order(text, n_symbols)
-    rank = np.empty(len(text), np.int32)
-    rank[order] = np.arange(len(text), dtype=np.int32)
-    first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols + 1)))).astype(np.int32)
-    return first, rank[order - 1]
+    return starts_of(text, n_symbols), steps_of(symbols_before(text, n_symbols))
 
 
 def suffix_order(text: np.ndarray, n_symbols: int) -> np.ndarray:
@@ -310,17 +330,22 @@ def group_of(prefix: np.ndarray, suffix: np.ndarray, groups: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length: differences of neighbours, the first bytes of all, then the second ones and so on, compressed."""
-    steps = [np.diff(c.astype(np.int64), prepend=0) for c in columns]
-    planes = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8).T).tobytes() for s in steps]
-    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+def pack(columns: list[np.ndarray], kind: type = np.int64) -> bytes:
+    """Columns of whole numbers, of equal length: the first bytes of all numbers, then the second ones and so on, compressed."""
+    planes = [np.ascontiguousarray(c.astype(kind, copy=False).view(np.uint8).reshape(len(c), -1).T) for c in columns]
+    return pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
 
 
-def unpack(packed: bytes, rows: int, n_columns: int) -> np.ndarray:
+def unpack(packed: bytes | pa.Buffer, rows: int, n_columns: int, kind: type = np.int64) -> np.ndarray:
     """The columns that `pack` took, one a row."""
-    planes = np.frombuffer(pa.decompress(packed, 8 * rows * n_columns, "zstd", asbytes=True), np.uint8).reshape(n_columns, 8, rows)
-    return np.cumsum(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64)[:, :, 0], axis=1)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, width * rows * n_columns, "zstd"), np.uint8).reshape(n_columns, width, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind)[:, :, 0]
+
+
+def _read(size: int) -> list[str]:
+    """Columns of the indexes that phrases of `size` words are grown from: pairs to the right, then to the left and so on."""
+    return [*(["bwt"] if size % 2 else []), *(["reverse_bwt"] if size % 2 == 0 or size == 3 else [])]
 
 
 def _grower(size: int, groups: int):
@@ -333,19 +358,25 @@ def _grower(size: int, groups: int):
 
     def one(row):
         ids, first = (row[c].values.to_numpy() for c in ("ids", "first"))
-        lf, reverse_lf = (np.frombuffer(row[c].as_buffer(), np.int32) if c in row else None for c in ("lf", "reverse_lf"))
+        lf, reverse_lf = (steps_of(unpack(row[c].as_buffer(), int(first[-1]), 1, np.int32)[0]) if c in row else None for c in ("bwt", "reverse_bwt"))
         low = other = first[1:-1]
         n, left = np.diff(first[1:]), size % 2 == 1
         if size > 2:
-            no, own, place, count = (row["listed"].values.field(c).to_numpy() for c in ("no", "id", "place", "n"))
+            listed = row["listed"].values
+            blocks = zip(listed.field("packed"), listed.field("phrases").to_pylist(), strict=True)
+            own, *rest = np.concatenate([_reply(packed.as_buffer(), rows, size - 1) for packed, rows in blocks], axis=1)
             if size == 3:
-                place, count = (x[no] for x in extended(first, reverse_lf, False, ids, low, other, n, groups)[3:])
-            ids, low, other, n = own, place >> 32, place & 0xFFFFFFFF, count
+                rest = [x[rest[0]] for x in extended(first, reverse_lf, False, ids, low, other, n, groups)[3:]]
+            place, n = rest
+            ids, low, other = own, place >> 32, place & 0xFFFFFFFF
         group, prefix, suffix, place, n = extended(first, lf if left else reverse_lf, left, ids, low, other, n, groups)
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         columns = [prefix, suffix, n] if size == 2 else [prefix, suffix, n, place >> 32, place & 0xFFFFFFFF]
         lengths = np.diff(np.append(starts, len(group)))
-        packed = [pack([c[a : a + k] for c in columns]) for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        packed = []
+        for a, k in zip(starts.tolist(), lengths.tolist(), strict=True):
+            block = [c[a : a + k] for c in columns]
+            packed.append(pack([*(np.diff(c, prepend=0) for c in block[:2]), *block[2:]]))
         out = [
             pa.array(group[starts]),
             pa.array(np.full(len(starts), row["shard"].as_py(), np.int64)),
@@ -359,35 +390,44 @@ def _grower(size: int, groups: int):
 
 
 def _summer(size: int, groups: int, min_count: int):
-    """The entries of a group whose counts over all shards reach `min_count`, with that sum and a number of the phrase."""
+    """The phrases of a group whose counts over all shards reach `min_count`, with a number and that sum, and the replies to the shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        length = table.column("phrases").to_numpy()
+        length, group = table.column("phrases").to_numpy(), table.column("group")[0].as_py()
         blocks = zip(table.column("packed").to_pylist(), length.tolist(), strict=True)
-        prefix, suffix, n, *place = np.concatenate([unpack(packed, rows, 3 if size == 2 else 5) for packed, rows in blocks], axis=1)
+        columns = [unpack(packed, rows, 3 if size == 2 else 5) for packed, rows in blocks]
+        for block in columns:
+            np.cumsum(block[:2], axis=1, out=block[:2])
+        prefix, suffix, n, *place = np.concatenate(columns, axis=1)
+        del columns
         by = np.lexsort((suffix, prefix))
-        head = np.append(True, (np.diff(prefix[by]) != 0) | (np.diff(suffix[by]) != 0))
-        f = np.add.reduceat(n[by], np.flatnonzero(head))
-        number = np.cumsum(f >= min_count) - 1
-        phrase = np.cumsum(head) - 1
-        frequent = f[phrase] >= min_count
-        by, phrase = by[frequent], phrase[frequent]
-        no = np.arange(len(n)) + np.repeat(table.column("start").to_numpy() - (np.cumsum(length) - length), length)
-        columns = [
-            np.repeat(table.column("shard").to_numpy(), length)[by],
-            no[by],
-            number[phrase] * groups + table.column("group")[0].as_py(),
-            prefix[by],
-            suffix[by],
-            place[0][by] << 32 | place[1][by] if place else np.zeros(len(by), np.int64),
-            n[by].astype(np.int32),
-            f[phrase],
-        ]
-        return pa.table(columns, names=["shard", "no", "id", "prefix", "suffix", "place", "n", "f"])
+        starts = np.flatnonzero(np.append(True, (np.diff(prefix[by]) != 0) | (np.diff(suffix[by]) != 0)))
+        f = np.add.reduceat(n[by], starts)
+        frequent = f >= min_count
+        numbers = (np.cumsum(frequent) - 1) * groups + group
+        at = np.empty(len(n), np.int64)  # the phrase of each entry
+        at[by] = np.repeat(np.arange(len(f)), np.diff(np.append(starts, len(n))))
+        replies, end = [], np.cumsum(length).tolist()
+        for shard, start, k, e in zip(*(table.column(c).to_pylist() for c in ("shard", "start", "phrases")), end, strict=True):
+            kept = e - k + np.flatnonzero(frequent[at[e - k : e]])
+            if len(kept):
+                rest = [place[0][kept], place[1][kept], n[kept]] if place else [np.diff(kept - (e - k) + start, prepend=0)]
+                replies.append({"shard": shard, "phrases": len(kept), "packed": pack([numbers[at[kept]], *rest])})
+        first = by[starts[frequent]]
+        found = [numbers[frequent], prefix[first], suffix[first], f[frequent]]
+        reply = pa.list_(pa.struct({"shard": pa.int64(), "phrases": pa.int32(), "packed": pa.binary()}))
+        out = [pa.array([group], pa.int64()), *[pa.array([c], pa.list_(pa.int64())) for c in found], pa.array([replies], reply)]
+        return pa.table(out, names=["group", "ids", "prefixes", "suffixes", "sums", "replies"])
 
     return run
 
 
+def _reply(packed: pa.Buffer, rows: int, size: int) -> np.ndarray:
+    """What a group of `_summer` sent back on phrases of `size` words: ids and numbers of pairs; ids, places and counts of longer ones."""
+    own, *rest = unpack(packed, rows, 2 if size == 2 else 4)
+    return np.stack([own, np.cumsum(rest[0])]) if size == 2 else np.stack([own, rest[0] << 32 | rest[1], rest[2]])
+
+
 def _spelled(level: DataFrame, shorter: DataFrame) -> DataFrame:
     """The phrases of a level with their words and the counts of their beginnings and ends."""
     head = shorter.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head"), "heads")
