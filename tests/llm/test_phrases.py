@@ -146,6 +146,7 @@ def test_packed_numbers_come_back():
     assert np.array_equal(phrases.unpack(phrases.pack(columns), 50, 3), np.stack(columns))
     symbols = rng.integers(0, 2**31, 50).astype(np.int32)
     assert phrases.unpack(phrases.pack([symbols], np.int32), 50, 1, np.int32)[0].tolist() == symbols.tolist()
+    assert not len(phrases.unpack(phrases.pack([symbols[:0]], np.int32), 0, 1, np.int32)[0])
 
 
 def test_a_pair_travels_in_few_bytes():

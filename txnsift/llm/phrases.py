@@ -332,7 +332,8 @@ def group_of(prefix: np.ndarray, suffix: np.ndarray, groups: int) -> np.ndarray:
 
 def pack(columns: list[np.ndarray], kind: type = np.int64) -> bytes:
     """Columns of whole numbers, of equal length: the first bytes of all numbers, then the second ones and so on, compressed."""
-    planes = [np.ascontiguousarray(c.astype(kind, copy=False).view(np.uint8).reshape(len(c), -1).T) for c in columns]
+    width = np.dtype(kind).itemsize
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c, kind).view(np.uint8).reshape(len(c), width).T) for c in columns]
     return pa.compress(np.concatenate(planes).tobytes(), "zstd", asbytes=True)
 
 
