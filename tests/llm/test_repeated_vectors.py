@@ -26,3 +26,10 @@ def test_very_large_and_very_small_vectors(spark):
         (50, 1, 100), (50, 2, 200), (100, 1, 50), (100, 2, 200), (200, 1, 50), (200, 2, 100),
     ]
     assert all(abs(r.score - 1) < 1e-15 for r in found)
+
+
+def test_blocks_of_queries_are_not_broadcast(spark):
+    """They are repeated for each block of the index, which estimates of size do not see."""
+    table = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(1, 101)], "vec_id bigint, embedding array<double>")
+    plan = ann.nearest(table, F.col("vec_id") % 50 == 0, block=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -165,7 +165,8 @@ def nearest(
 
     grouped = asked.withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.lit(n_groups)))
     queries = grouped.groupBy("part").applyInArrow(gather, "query_ids binary, queries binary")
-    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(index, "block")
+    # every block of queries is repeated for each block of the index, which estimates of size do not see: never broadcast
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).hint("merge").join(index, "block")
 
     def search(batches):
         turn = rotation(dim, bits)
