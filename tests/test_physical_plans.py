@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import bindings
-from txnsift.operators import profile, ranking, ranks
+from txnsift.operators import neighbours, profile, ranking, ranks
 from txnsift.session import materialize
 
 
@@ -131,3 +131,12 @@ def test_trips_are_stored_without_a_key_that_nothing_reads(spark, sf, monkeypatc
     QUERIES["k7_profile_of_fixed_centers"](spark, sf)
     assert stored[0].columns == checks.TRIP_FEATURES
     assert "md5" not in stored[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_of_a_salted_join_are_not_broadcast(spark):
+    """Sixteen copies of each row, of which the estimated size holds one."""
+    many = spark.range(1000).select(F.col("id").alias("point"), (F.col("id") % 7).alias("neighbour"))
+    one = materialize(spark.range(7).select(F.col("id").alias("neighbour"), F.lit(1.0).alias("density")), "salted-one")
+    joined = neighbours.join_on_neighbour(many, one)
+    assert "SortMergeJoin" in plan_of(joined) and "BroadcastHashJoin" not in plan_of(joined)
+    assert joined.count() == 1000
