@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txnsift.operators import clustering, features, outliers, supervised
-from txnsift.plans import archetypes
+from txnsift.plans import archetypes, scoring
 
 NAMES = ["f0", "f1", "f2", "f3"]
 
@@ -122,6 +122,24 @@ def test_one_class_machine(planted):
     assert outside <= nu * 1408 + 1
 
 
+def test_one_class_machine_of_all_rows_keeps_few_kernel_values(planted, monkeypatch):
+    """Without a sample, and with kernel values of 16 points at most in memory: the machine is the same."""
+    whole = outliers.fit_one_class_svm(planted, NAMES, "id", "label", nu=0.02)
+    monkeypatch.setattr(outliers, "GRAM_ROWS", 16)
+    monkeypatch.setattr(outliers, "stratified_sample", None)
+    lean = outliers.fit_one_class_svm(planted, NAMES, "id", "label", nu=0.02, sample_rows=None)
+    assert lean.weights.sum() == pytest.approx(0.02 * 1408) and lean.gap <= 1e-3
+    x = np.array([tuple(r) for r in planted.select(*NAMES).collect()])
+    a, b = (outliers._kernel_sums(x, m.support, m.weights, m.gamma, 500) for m in (whole, lean))
+    assert np.abs(a - b).max() < 2e-2 * a.max()
+
+
+def test_anomaly_scores_fit_on_all_rows(planted, monkeypatch):
+    monkeypatch.setattr(outliers, "stratified_sample", None)
+    scores = scoring.anomaly_scores(planted, "id", "label", NAMES)
+    assert scores.where("ocsvm_score IS NOT NULL").count() == 1408
+
+
 def test_sweep_lowers_inertia_and_finds_the_groups(planted):
     dense = planted.where("label = 0").cache()
     fits = clustering.kmeans_sweep(dense, NAMES, "id", ks=[2, 3, 4], restarts=3)
