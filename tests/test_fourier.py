@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import catalog
 from txnsift.operators import fourier
 
 NAMES = ["a", "b", "c"]
@@ -82,3 +83,10 @@ def test_newton_steps_read_few_rows_and_end_at_the_same_weights(cloud, monkeypat
     assert seen[0] == 500 and seen.count(500) > 2
     assert abs(found.rho - plain.rho) < 1e-3 * plain.rho
     assert np.linalg.norm(found.weights - plain.weights) < 1e-3 * np.linalg.norm(plain.weights)
+
+
+def test_the_check_with_planted_rows_fits_on_all_rows(spark, sf, monkeypatch):
+    catalog.load()
+    monkeypatch.setattr(fourier, "stratified_sample", None)
+    found = catalog.QUERIES["n3_fourier_planted_rows"](spark, sf).first()
+    assert tuple(found) == (6005, 0, 5)
