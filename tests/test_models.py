@@ -154,6 +154,26 @@ def test_sweep_lowers_inertia_and_finds_the_groups(planted):
     assert sorted(r["count"] for r in sizes)[0] > 690
 
 
+def test_seedings_settle_on_growing_samples_and_then_on_all_rows(planted, monkeypatch):
+    scans, plain = [], clustering._assignment_sums
+
+    def counted(*given):
+        out = plain(*given)
+        scans.append(int(next(iter(out.values()))[0].sum()))
+        return out
+
+    monkeypatch.setattr(clustering, "WARM_VALUES", 64)
+    monkeypatch.setattr(clustering, "_assignment_sums", counted)
+    fits = clustering.kmeans_sweep(planted, NAMES, "id", ks=[2, 3], restarts=3)
+    assert scans[-1] == scans[-2] == 1408 and any(0 < n < 700 for n in scans)
+    x = np.array([tuple(r) for r in planted.select(*NAMES).collect()])
+    for fit in fits.values():  # whatever the samples were, the centroids are the means of all their rows
+        centers = np.array(fit.centers)
+        own = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        means = np.array([x[own == i].mean(axis=0) for i in range(fit.k)])
+        assert ((means - centers) ** 2).sum() <= 1e-4 * x.var(axis=0).mean()
+
+
 def test_silhouettes_equal_brute_force(planted):
     df = planted.withColumn("c", (F.col("f0") > 0).cast("int")).cache()
     data = np.array([tuple(r) for r in df.select(*NAMES, "c").collect()])
